@@ -4,36 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scan import chunked, nearest, positions
+from lacuna.functions.scan import UNBOUNDED, chunked
 
 KEYS = ("location", "variable")
 
 
+def _shift(point: Column, base: Column, inner: str | None = None) -> Column:
+    """Chunk-local positions of an observation (and of the one beyond it) to series ones."""
+    moved = point.withField("pos", point["pos"] + base)
+    if inner:
+        deep = point[inner]
+        moved = moved.withField(inner, F.when(deep.isNotNull(), deep.withField("pos", deep["pos"] + base)))
+    return F.when(point.isNotNull(), moved)
+
+
 def neighbours(
-    cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date",
-    axis: str = "row", depth: int = 1,
+    cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date", depth: int = 1
 ) -> DataFrame:
-    """Add ``pos``, ``prev`` and ``next``: structs (pos, obs_date, value) of the closest
-    observed cell at or before, and at or after.
+    """Add ``pos`` (0-based row of the series), ``pos_last``, ``prev`` and ``next``:
+    structs (pos, obs_date, value) of the closest observed cell at or before, and at or
+    after. With ``depth=2`` each also carries the observation beyond it:
+    ``prev.before``, ``next.after``.
 
-    ``axis='row'`` counts rows of the series (and adds ``pos_last``), ``'day'`` counts
-    days. With ``depth=2`` each struct also carries the observation beyond it: ``prev.before``, ``next.after``.
+    One exchange on (keys, chunk) and one sort per direction. A chunk sums up to one row
+    (its size, first and last observation) from that same exchange; the summaries of a
+    series, one per ``CHUNK_DAYS``, carry positions and observations across chunk borders.
     """
-    rows = chunked(cells, ts)
-    if axis == "row":
-        rows = positions(rows, keys, ts)
+    part = [*keys, "_chunk"]
+    up = Window.partitionBy(*part).orderBy(ts)
+    down = Window.partitionBy(*part).orderBy(F.desc(ts))
+    upto, beyond = (UNBOUNDED, 0), (UNBOUNDED, -1)
+    rows = chunked(cells, ts).withColumn("_rn", F.row_number().over(up).cast("long"))
+    point = F.when(
+        F.col(value).isNotNull(), F.struct(F.col("_rn").alias("pos"), F.col(ts).alias("obs_date"), F.col(value).alias("value"))
+    )
+    rows = rows.withColumn("_obs", point)
+    if depth == 2:
+        near = lambda w: F.last("_obs", ignorenulls=True).over(w.rowsBetween(*beyond))
+        deeper = lambda name, w: F.when(F.col("_obs").isNotNull(), F.struct("_obs.*", near(w).alias(name)))
+        rows = rows.withColumn("_lo", deeper("before", up))
+        rows = rows.withColumn("prev", F.last("_lo", ignorenulls=True).over(up.rowsBetween(*upto)))
+        rows = rows.withColumn("_hi", deeper("after", down))
+        rows = rows.withColumn("next", F.last("_hi", ignorenulls=True).over(down.rowsBetween(*upto)))
     else:
-        rows = rows.withColumn("pos", F.unix_date(ts).cast("long"))
-    point = F.struct("pos", F.col(ts).alias("obs_date"), F.col(value).alias("value"))
-    rows = rows.withColumn("_obs", F.when(F.col(value).isNotNull(), point))
+        rows = rows.withColumn("prev", F.last("_obs", ignorenulls=True).over(up.rowsBetween(*upto)))
+        rows = rows.withColumn("next", F.last("_obs", ignorenulls=True).over(down.rowsBetween(*upto)))
+        rows = rows.withColumn("_lo", F.col("_obs")).withColumn("_hi", F.col("_obs"))
+
+    seen = F.when(F.col("_obs").isNotNull(), F.col(ts))
+    ends = rows.groupBy(*part).agg(
+        F.max("_rn").alias("_n"), F.max_by("_lo", seen).alias("_last"), F.min_by("_hi", seen).alias("_first")
+    )
+    series = Window.partitionBy(*keys)
+    lower = series.orderBy("_chunk").rowsBetween(*beyond)
+    upper = series.orderBy(F.desc("_chunk")).rowsBetween(*beyond)
+    base = F.coalesce(F.sum("_n").over(lower), F.lit(0)) - 1
+    ends = ends.withColumn("_base", base).withColumn("pos_last", F.sum("_n").over(series) - 1)
+    inner_lo, inner_hi = ("before", "after") if depth == 2 else (None, None)
+    ends = ends.withColumn("_last", _shift(F.col("_last"), F.col("_base"), inner_lo)).withColumn(
+        "_first", _shift(F.col("_first"), F.col("_base"), inner_hi)
+    )
+    from_left = lambda: F.last("_last", ignorenulls=True).over(lower)
+    from_right = lambda: F.last("_first", ignorenulls=True).over(upper)
     if depth == 2:
-        rows = nearest(rows, keys, "_obs", "_before", "_after", ts, strict=True)
-        wide = F.struct("_obs.*", F.col("_before").alias("before"), F.col("_after").alias("after"))
-        rows = rows.withColumn("_obs", F.when(F.col("_obs").isNotNull(), wide)).drop("_before", "_after")
-    return nearest(rows, keys, "_obs", ts=ts).drop("_obs", "_chunk")
+        ends = ends.withColumn("_c", from_left()).withColumn("_last", _beyond("_last", "before", "_c"))
+        ends = ends.withColumn("_c", from_right()).withColumn("_first", _beyond("_first", "after", "_c"))
+    ends = ends.withColumn("_left", from_left()).withColumn("_right", from_right())
+
+    out = rows.drop("_obs", "_lo", "_hi").join(
+        ends.select(*part, "_base", "pos_last", "_left", "_right"), part
+    )
+    out = out.withColumn("pos", F.col("_rn") + F.col("_base"))
+    for side, carried, inner in (("prev", "_left", inner_lo), ("next", "_right", inner_hi)):
+        out = out.withColumn(side, _shift(F.col(side), F.col("_base"), inner))
+        if inner:
+            out = out.withColumn(side, _beyond(side, inner, carried))
+        out = out.withColumn(side, F.coalesce(side, carried))
+    return out.drop("_rn", "_base", "_chunk", "_left", "_right")
+
+
+def _beyond(point: str, inner: str, carried: str) -> Column:
+    """Where the observation beyond lies in another chunk, take the carried one."""
+    p, c = F.col(point), F.col(carried)
+    flat = F.when(c.isNotNull(), F.struct(*[c[f].alias(f) for f in ("pos", "obs_date", "value")]))
+    return F.when(p.isNotNull(), p.withField(inner, F.coalesce(p[inner], flat)))
 
 
 def gap_length(value: str = "value") -> Column:
@@ -47,7 +104,7 @@ def with_gaps(
     cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date", depth: int = 1
 ) -> DataFrame:
     """:func:`neighbours` by row, plus ``gap_length``."""
-    return neighbours(cells, keys, value, ts, "row", depth).withColumn("gap_length", gap_length(value))
+    return neighbours(cells, keys, value, ts, depth).withColumn("gap_length", gap_length(value))
 
 
 def gap_runs(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date") -> DataFrame:

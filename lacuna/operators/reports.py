@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.spatial import correlation
+
 # Nominal gap days per pattern, reporting order, the renamed method.
 GAP_DAYS = {
     "random_10": 1,
@@ -155,6 +157,6 @@ def pair_fit(pairs: DataFrame, value: str = "value", donor: str = "donor_value")
     """Correlation and straight-line fit of each site pair and variable."""
     both = pairs.filter(F.col(value).isNotNull() & F.col(donor).isNotNull())
     return both.groupBy("location", "donor", "variable").agg(
-        F.count(F.lit(1)).alias("n"), F.corr(value, donor).alias("r"),
+        F.count(F.lit(1)).alias("n"), correlation(value, donor).alias("r"),
         F.regr_slope(donor, value).alias("slope"), F.regr_intercept(donor, value).alias("intercept"),
     )

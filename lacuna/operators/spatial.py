@@ -23,6 +23,11 @@ from lacuna.functions.scan import drop_halo, with_halo
 PAIR = ("location", "donor", "variable")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson r of rows where both exist, NULL where one of them does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def _apply(pairs: DataFrame, model: DataFrame, estimate: Column, extra: Sequence[str] = ()) -> DataFrame:
     """Join one coefficient row per pair and variable back, and coalesce."""
     cols = [c for c in model.columns if c not in PAIR]
@@ -138,7 +143,7 @@ def best_lag(
     per_lag = (
         target.join(moved, ["donor", "variable", "obs_date"])
         .groupBy(*PAIR, "lag")
-        .agg(F.count(F.lit(1)).alias("n"), F.corr("_t", "_d").alias("r"))
+        .agg(F.count(F.lit(1)).alias("n"), correlation("_t", "_d").alias("r"))
         .filter((F.col("n") > min_pairs) & (F.col("r") > -1))
     )
     return per_lag.groupBy(*PAIR).agg(
@@ -162,13 +167,14 @@ def advection(cells: DataFrame, donors: DataFrame, fit: str = "value", max_lag:
 
 def knn(
     wide: DataFrame, donors: DataFrame, variable: str, features: Sequence[str], k: int = 5,
-    decay: float = 0.95, block_days: int = 512,
+    decay: float = 0.95, block_days: int = 512, train: DataFrame | None = None,
 ) -> DataFrame:
     """Fill ``variable`` at a target from the ``k`` most alike days at its donor.
 
     Distance between days t and t' is the Euclidean distance of all ``features`` at the
     donor, divided by decay^|days apart|; the estimate is the inverse-distance weighted
-    mean of the donor's ``variable``. Only complete donor days take part.
+    mean of the donor's ``variable``. Only donor days with all features take part;
+    ``train`` names another panel to learn from (the held-back truth, say).
 
     The estimate depends on (donor, day) alone, so it is computed once however many
     targets share the donor. It is exact: every asked day meets every training day, but
@@ -176,19 +182,20 @@ def knn(
     answers with its k best per asked day, never with its pairs, and a second grouping
     keeps the best k overall.
     """
-    complete = wide.dropna(subset=list(features))
     day = F.unix_date("obs_date").alias("day")
-    train = complete.select(
-        F.col("location").alias("donor"), day, F.array(*features).alias("x"), F.col(variable).alias("y")
-    ).withColumn("tblock", F.floor(F.col("day") / block_days))
+    site, x = F.col("location").alias("donor"), F.array(*features).alias("x")
+    learn = wide if train is None else train
+    known = learn.dropna(subset=[*features, variable]).select(site, day, x, F.col(variable).alias("y"))
+    known = known.withColumn("tblock", F.floor(F.col("day") / block_days))
     wanted = (
         wide.filter(F.col(variable).isNull())
         .join(donors.select(F.col("target").alias("location"), "donor"), "location")
         .select("location", "obs_date", "donor", day)
     )
-    asked = train.select("donor", "day", "x").join(wanted.select("donor", "day").distinct(), ["donor", "day"])
+    complete = wide.dropna(subset=list(features)).select(site, day, x)
+    asked = complete.join(wanted.select("donor", "day").distinct(), ["donor", "day"])
     # Block numbers of a donor: one per ``block_days`` of calendar.
-    spans = train.select("donor", "tblock").distinct()
+    spans = known.select("donor", "tblock").distinct()
     asked = asked.withColumn("qblock", F.floor(F.col("day") / block_days))
     pairs = asked.select("donor", "qblock").distinct().join(spans, "donor")
     keys = ["donor", "qblock", "tblock"]
@@ -196,8 +203,8 @@ def knn(
     def nearest_in_block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if q.empty or t.empty:
             return pd.DataFrame({"donor": [], "day": [], "dist": [], "y": [], "train_day": []})
-        qx, tx = np.stack(q["x"].to_numpy()), np.stack(t["x"].to_numpy())
-        qd, td = q["day"].to_numpy(), t["day"].to_numpy()
+        qx, tx = np.stack(q["x"].to_numpy()), np.stack(t["r_x"].to_numpy())
+        qd, td = q["day"].to_numpy(), t["r_day"].to_numpy()
         sq = np.zeros((len(q), len(t)))
         for j in range(qx.shape[1]):
             sq += (qx[:, j, None] - tx[None, :, j]) ** 2
@@ -208,14 +215,17 @@ def knn(
         return pd.DataFrame(
             {
                 "donor": q["donor"].to_numpy()[rows], "day": qd[rows], "dist": dist[rows, order],
-                "y": t["y"].to_numpy()[order], "train_day": td[order],
+                "y": t["r_y"].to_numpy()[order], "train_day": td[order],
             }
         )
 
+    block = known.join(pairs, ["donor", "tblock"]).select(
+        *[F.col(k).alias(f"r_{k}") for k in keys], F.col("day").alias("r_day"), F.col("x").alias("r_x"), F.col("y").alias("r_y")
+    )
     near = (
         asked.join(pairs, ["donor", "qblock"])
         .groupBy(*keys)
-        .cogroup(train.join(pairs, ["donor", "tblock"]).groupBy(*keys))
+        .cogroup(block.groupBy("r_donor", "r_qblock", "r_tblock"))
         .applyInPandas(nearest_in_block, "donor string, day int, dist double, y double, train_day int")
     )
     rank = F.row_number().over(Window.partitionBy("donor", "day").orderBy("dist", "train_day"))

@@ -52,7 +52,7 @@ def linear(
     many steps from an observation on either side; their values still come from the
     full gap.
     """
-    rows = neighbours(cells, keys, value, ts, axis)
+    rows = neighbours(cells, keys, value, ts)
     estimate = _line(axis, ts)
     if edges == "both":
         estimate = F.coalesce(estimate, F.col("prev.value"), F.col("next.value"))
@@ -93,12 +93,12 @@ def quadratic(
     """Local order-2 polynomial; linear where a series has fewer than three points; ends
     stay missing. It uses the three closest known points, where a global spline would
     have to solve one system over the whole series."""
-    rows = neighbours(cells, keys, value, ts, axis, depth=2)
+    rows = neighbours(cells, keys, value, ts, depth=2)
     return _done(rows, F.coalesce(_parabola(axis, ts), _line(axis, ts)), value)
 
 
 def ffill_bfill(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date") -> DataFrame:
-    rows = neighbours(cells, keys, value, ts, "day")
+    rows = neighbours(cells, keys, value, ts)
     return _done(rows, F.coalesce(F.col("prev.value"), F.col("next.value")), value)
 
 
