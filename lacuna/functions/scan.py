@@ -30,8 +30,13 @@ def time_chunk(ts: str | Column, span_days: int = CHUNK_DAYS) -> Column:
     return F.floor(F.unix_date(ts) / F.lit(span_days)).cast("int")
 
 
-def chunked(df: DataFrame, ts: str = "obs_date", span_days: int = CHUNK_DAYS) -> DataFrame:
-    return df.withColumn("_chunk", time_chunk(ts, span_days))
+def chunked(df: DataFrame, keys: Sequence[str], ts: str = "obs_date", span_days: int = CHUNK_DAYS) -> DataFrame:
+    """Add ``_chunk``; rows without a key or a day belong to no series. Said here, the
+    null filters are the same in every branch, which lets Spark reuse one exchange."""
+    out = df.withColumn("_chunk", time_chunk(ts, span_days))
+    for c in (*keys, "_chunk"):
+        out = out.filter(F.col(c).isNotNull())
+    return out
 
 
 def positions(df: DataFrame, keys: Sequence[str], ts: str = "obs_date", out: str = "pos") -> DataFrame:

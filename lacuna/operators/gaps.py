@@ -37,7 +37,7 @@ def neighbours(
     up = Window.partitionBy(*part).orderBy(ts)
     down = Window.partitionBy(*part).orderBy(F.desc(ts))
     upto, beyond = (UNBOUNDED, 0), (UNBOUNDED, -1)
-    rows = chunked(cells, ts).withColumn("_rn", F.row_number().over(up).cast("long"))
+    rows = chunked(cells, keys, ts).withColumn("_rn", F.row_number().over(up).cast("long"))
     point = F.when(
         F.col(value).isNotNull(), F.struct(F.col("_rn").alias("pos"), F.col(ts).alias("obs_date"), F.col(value).alias("value"))
     )

@@ -47,7 +47,7 @@ def nearest_date(
     both = line.join(
         readings.filter(F.col(values[0]).isNotNull()).select(key, ts, mark.alias("_hit")), [key, ts], "full_outer"
     )
-    rows = nearest(chunked(both, ts), [key], "_hit", ts=ts)
+    rows = nearest(chunked(both, [key], ts), [key], "_hit", ts=ts)
     left, right = F.datediff(ts, "prev.d"), F.datediff("next.d", ts)
     best = F.when(right < left, F.col("next")).otherwise(F.coalesce("prev", "next"))
     picked = rows.filter("_t").select(key, ts, best.alias("best"))

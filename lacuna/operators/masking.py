@@ -107,7 +107,7 @@ def mask_block(cells: DataFrame, length: int, blocks: int, seed: int = 42) -> Da
     from lacuna.functions.scan import chunked, positions
 
     keys = ["location", "variable"]
-    rows = positions(chunked(cells), keys).withColumn("_slot", F.floor(F.col("pos") / length)).drop("_chunk")
+    rows = positions(chunked(cells, keys), keys).withColumn("_slot", F.floor(F.col("pos") / length)).drop("_chunk")
     slots = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"), F.count("value").alias("_obs"))
     series = Window.partitionBy(*keys)
     full = slots.withColumn("_observed", F.sum("_obs").over(series)).filter(

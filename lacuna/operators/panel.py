@@ -51,7 +51,10 @@ def daily_spine(
 
 
 def to_cells(df: DataFrame, variables: Sequence[str], ids: Sequence[str] = ID_COLUMNS) -> DataFrame:
-    return df.unpivot(list(ids), list(variables), "variable", "value")
+    """Wide to one row per cell. ``inline`` instead of ``unpivot``: filters on the ids pass
+    it the same way in every branch of a plan, so branches can share an exchange."""
+    pairs = [F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value")) for v in variables]
+    return df.select(*ids, F.inline(F.array(*pairs)))
 
 
 def to_wide(cells: DataFrame, variables: Sequence[str], ids: Sequence[str] = ID_COLUMNS) -> DataFrame:
