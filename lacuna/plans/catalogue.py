@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lacuna.plans import gap_queries, impute_queries, panel_queries
+from lacuna.plans import gap_queries, impute_queries, metric_queries, panel_queries
 
-MODULES = (panel_queries, gap_queries, impute_queries)
+MODULES = (panel_queries, gap_queries, impute_queries, metric_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
