@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
 from lacuna.operators.metrics import binary_scores, roc_auc
+from lacuna.sources.files import stored
 
 SAMPLE = ("split_num", "sample_id", "label")
 
@@ -71,7 +72,8 @@ def stacked(probs: DataFrame, models: Sequence[str], splits: Sequence[int]) -> D
     wide = filled.groupBy(*SAMPLE).agg(
         *[F.coalesce(F.max(F.when(F.col("model") == m, F.col("prob"))), F.lit(0.5)).alias(m) for m in models]
     )
-    rows = VectorAssembler(inputCols=list(models), outputCol="_raw").transform(wide)
+    # Every fit reads these rows many times: write them once.
+    rows = VectorAssembler(inputCols=list(models), outputCol="_raw").transform(stored(probs.sparkSession, wide, "stack"))
     out = None
     counts = {
         r["split_num"]: (r["n"], r["p"])

@@ -73,7 +73,7 @@ def search_report(spark: SparkSession, fitted) -> DataFrame:
     best = max(fitted.avgMetrics)
     for i, (params, auc) in enumerate(zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)):
         named = {p.name: v for p, v in params.items()}
-        rows.append((i, int(named["maxDepth"]), float(named["stepSize"]), float(named["subsamplingRate"]), float(auc), auc == best))
+        rows.append((i, int(named["maxDepth"]), float(named["stepSize"]), float(named["subsamplingRate"]), float(auc), bool(auc == best)))
     return spark.createDataFrame(
         rows, "draw int, max_depth int, step_size double, subsampling double, mean_auc double, is_best boolean"
     )

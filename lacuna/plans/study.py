@@ -31,6 +31,11 @@ def _kept(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return _STORED[key]
 
 
+def forget() -> None:
+    """Start the next report from the raw tables again."""
+    _STORED.clear()
+
+
 def masked_sets(spark: SparkSession, sf: str, patterns=PATTERNS) -> DataFrame:
     """(mask_type, split_num, location, variable, obs_date, value with holes, truth, is_masked)."""
     panel = _kept(spark, sf, "cells", lambda: cells(spark, sf, "region"))
