@@ -147,6 +147,34 @@ def running_totals(
     return out.drop("_piece", *[f"_{m}_base" for m in measures])
 
 
+def hash_rank(
+    df: DataFrame, by: Sequence[str], digest: str, counted: Column | None = None, digits: int = 3
+) -> DataFrame:
+    """1-based rank by a hex ``digest`` within ``by`` (``_rank``) and the group's size
+    (``_all``), counting only rows where ``counted`` is true.
+
+    A group may be the whole table, so it is never sorted in one task: the leading hex
+    digits split it evenly into 16^digits pieces, counts of the lower pieces give the
+    rank offset, and only a piece is ordered.
+    """
+    one = F.lit(1).cast("long") if counted is None else counted.cast("long")
+    pieces = df.withColumn("_piece", F.substring(digest, 1, digits))
+    part = [*by, "_piece"]
+    counts = pieces.groupBy(*part).agg(F.sum(one).alias("_c"))
+    group = Window.partitionBy(*by)
+    lower = group.orderBy("_piece").rowsBetween(UNBOUNDED, -1)
+    offsets = counts.select(
+        *part, F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below"), F.sum("_c").over(group).alias("_all")
+    )
+    local = F.sum(one).over(Window.partitionBy(*part).orderBy(digest).rowsBetween(UNBOUNDED, 0))
+    return (
+        pieces.withColumn("_rank", local)
+        .join(offsets, part)
+        .withColumn("_rank", F.col("_rank") + F.col("_below"))
+        .drop("_piece", "_below")
+    )
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], pieces: int = 64
 ) -> DataFrame:

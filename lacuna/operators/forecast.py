@@ -188,9 +188,10 @@ def yesterday(today: DataFrame, past: DataFrame) -> DataFrame:
 
 
 def summary(forecasts: DataFrame, by: Sequence[str] = ("run_date",)) -> DataFrame:
-    """Sites per colour, mean confidence and quality, and the sites at Moderate or above.
+    """Sites per colour, sites at Moderate or above, mean confidence and quality.
 
-    ``confidence`` is text such as ``54.3%``. The site list is as long as the sites are.
+    ``confidence`` is text such as ``54.3%``. The names behind ``elevated_locations`` are
+    rows of :func:`elevated_sites`, not a list in one cell.
     """
     key = E.risk_key(F.col("risk_level"))
     number = F.replace(F.col("confidence"), F.lit("%"), F.lit("")).try_cast("double")
@@ -198,10 +199,15 @@ def summary(forecasts: DataFrame, by: Sequence[str] = ("run_date",)) -> DataFram
     return forecasts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_locations"), *counts,
         F.round(F.avg(number), 1).alias("average_confidence"), F.round(F.avg("quality_score"), 1).alias("data_quality_avg"),
-        F.array_join(F.array_sort(F.collect_list(F.when(E.elevated(F.col("risk_level")), F.col("location")))), ",").alias("high_risk_locations"),
+        F.sum(E.elevated(F.col("risk_level")).cast("long")).alias("elevated_locations"),
     )
 
 
+def elevated_sites(forecasts: DataFrame) -> DataFrame:
+    """The sites at Moderate risk or above."""
+    return forecasts.filter(E.elevated(F.col("risk_level")))
+
+
 def pad_outlook(cards: DataFrame, target: int = 7, key: str = "location") -> DataFrame:
     """Exactly ``target`` cards per site: surplus ones go, missing ones repeat the last
     with the following dates. ``cards`` has (key, day, date, risk_level, confidence)."""

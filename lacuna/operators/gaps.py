@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scan import UNBOUNDED, chunked
+from lacuna.functions.scan import CHUNK_DAYS, UNBOUNDED, chunked
 
 KEYS = ("location", "variable")
 
@@ -22,7 +22,8 @@ def _shift(point: Column, base: Column, inner: str | None = None) -> Column:
 
 
 def neighbours(
-    cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date", depth: int = 1
+    cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date", depth: int = 1,
+    span_days: int = CHUNK_DAYS,
 ) -> DataFrame:
     """Add ``pos`` (0-based row of the series), ``pos_last``, ``prev`` and ``next``:
     structs (pos, obs_date, value) of the closest observed cell at or before, and at or
@@ -31,13 +32,13 @@ def neighbours(
 
     One exchange on (keys, chunk) and one sort per direction. A chunk sums up to one row
     (its size, first and last observation) from that same exchange; the summaries of a
-    series, one per ``CHUNK_DAYS``, carry positions and observations across chunk borders.
+    series, one per ``span_days``, carry positions and observations across chunk borders.
     """
     part = [*keys, "_chunk"]
     up = Window.partitionBy(*part).orderBy(ts)
     down = Window.partitionBy(*part).orderBy(F.desc(ts))
     upto, beyond = (UNBOUNDED, 0), (UNBOUNDED, -1)
-    rows = chunked(cells, keys, ts).withColumn("_rn", F.row_number().over(up).cast("long"))
+    rows = chunked(cells, keys, ts, span_days).withColumn("_rn", F.row_number().over(up).cast("long"))
     point = F.when(
         F.col(value).isNotNull(), F.struct(F.col("_rn").alias("pos"), F.col(ts).alias("obs_date"), F.col(value).alias("value"))
     )

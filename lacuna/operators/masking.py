@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scan import UNBOUNDED
+from lacuna.functions.scan import chunked, hash_rank, positions
 from lacuna.operators.splits import RollingOrigin, rolling_splits, window_membership
 
 # The months of the wet season and the standard strategies.
@@ -54,33 +54,12 @@ def cell_hash(seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]))
 
 
-def _lowest_hashes(cells: DataFrame, pool: Sequence[str], rate: Column, seed: int, digits: int = 3) -> DataFrame:
-    """Flag the ``floor(n * rate)`` observed cells of each pool with the lowest hash.
-
-    A pool may be the whole table, so it is never sorted in one task: the leading
-    hex digits split it evenly (16^digits pieces), counts of the lower pieces give
-    the rank offset, and only a piece is ordered.
-    """
-    observed = F.col("value").isNotNull().cast("long")
-    hashed = cells.withColumn("_h", cell_hash(seed, "variable", "location", "obs_date")).withColumn(
-        "_piece", F.substring("_h", 1, digits)
-    )
-    part = [*pool, "_piece"]
-    counts = hashed.groupBy(*part).agg(F.sum(observed).alias("_c"))
-    lower = Window.partitionBy(*pool).orderBy("_piece").rowsBetween(UNBOUNDED, -1)
-    offsets = counts.select(
-        *part,
-        F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_below"),
-        F.sum("_c").over(Window.partitionBy(*pool)).alias("_all"),
-    )
-    rank = F.sum(observed).over(Window.partitionBy(*part).orderBy("_h").rowsBetween(UNBOUNDED, 0))
-    chosen = F.col("value").isNotNull() & (F.col("_below") + F.col("_rank") <= F.floor(F.col("_all") * rate))
-    return (
-        hashed.withColumn("_rank", rank)
-        .join(offsets, part)
-        .withColumn("is_masked", chosen)
-        .drop("_h", "_piece", "_below", "_all", "_rank")
-    )
+def _lowest_hashes(cells: DataFrame, pool: Sequence[str], rate: Column, seed: int) -> DataFrame:
+    """Flag the ``floor(n * rate)`` observed cells of each pool with the lowest hash."""
+    hashed = cells.withColumn("_h", cell_hash(seed, "variable", "location", "obs_date"))
+    ranked = hash_rank(hashed, pool, "_h", F.col("value").isNotNull())
+    chosen = F.col("value").isNotNull() & (F.col("_rank") <= F.floor(F.col("_all") * rate))
+    return ranked.withColumn("is_masked", chosen).drop("_h", "_rank", "_all")
 
 
 def mask_random(cells: DataFrame, rate: float, seed: int = 42) -> DataFrame:
@@ -104,8 +83,6 @@ def mask_block(cells: DataFrame, length: int, blocks: int, seed: int = 42) -> Da
     Series with fewer observed values than ``length`` are left alone; missing cells
     inside a run count as masked.
     """
-    from lacuna.functions.scan import chunked, positions
-
     keys = ["location", "variable"]
     rows = positions(chunked(cells, keys), keys).withColumn("_slot", F.floor(F.col("pos") / length)).drop("_chunk")
     slots = rows.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"), F.count("value").alias("_obs"))

@@ -81,12 +81,12 @@ def with_donor(cells: DataFrame, donors: DataFrame, columns: Sequence[str] = ("v
     """Each target cell beside its donor's cell of the same variable and day.
 
     Pairs come from the donor table, never from all pairs of sites, so the output is
-    at most donors-per-target times the panel.
+    at most donors-per-target times the panel. A site without donor keeps its rows.
     """
     other = cells.select(
         F.col("location").alias("donor"), "variable", "obs_date", *[F.col(c).alias(f"donor_{c}") for c in columns]
     )
-    mine = cells.join(donors.withColumnRenamed("target", "location"), "location")
+    mine = cells.join(donors.withColumnRenamed("target", "location"), "location", "left")
     return mine.join(other, ["donor", "variable", "obs_date"], "left")
 
 

@@ -133,7 +133,7 @@ def best_lag(
     cells: DataFrame, donors: DataFrame, value: str = "value", max_lag: int = 7, min_pairs: int = 20
 ) -> DataFrame:
     """Per pair and variable the lag in 0..``max_lag`` days with the highest correlation
-    between target and lagged donor; on a tie the smaller lag."""
+    between target and lagged donor; on a tie (to 12 digits) the smaller lag."""
     lag = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
     moved = cells.filter(F.col(value).isNotNull()).select(
         F.col("location").alias("donor"), "variable", F.col(value).alias("_d"), "obs_date", lag
@@ -147,7 +147,7 @@ def best_lag(
         .filter((F.col("n") > min_pairs) & (F.col("r") > -1))
     )
     return per_lag.groupBy(*PAIR).agg(
-        F.max_by("lag", F.struct("r", -F.col("lag"))).alias("lag"), F.max("r").alias("r")
+        F.max_by("lag", F.struct(F.round("r", 12), -F.col("lag"))).alias("lag"), F.max("r").alias("r")
     )
 
 

@@ -37,7 +37,7 @@ def _steps(axis: str, newer: str | Column, older: str | Column) -> Column:
 def _line(axis: str, ts: str = "obs_date") -> Column:
     """Straight line between ``prev`` and ``next``; NULL unless both exist."""
     here = F.col("pos") if axis == "row" else F.col(ts)
-    slope = (F.col("next.value") - F.col("prev.value")) / _steps(axis, "next", "prev")
+    slope = F.try_divide(F.col("next.value") - F.col("prev.value"), _steps(axis, "next", "prev"))
     return F.col("prev.value") + slope * _steps(axis, here, "prev")
 
 
@@ -76,9 +76,9 @@ def _parabola(axis: str, ts: str = "obs_date") -> Column:
         xc = _steps(axis, here, c)
         ab, ac, bc = _steps(axis, a, b), _steps(axis, a, c), _steps(axis, b, c)
         return (
-            F.col(f"{a}.value") * (xb * xc) / (ab * ac)
-            - F.col(f"{b}.value") * (xa * xc) / (ab * bc)
-            + F.col(f"{c}.value") * (xa * xb) / (ac * bc)
+            F.try_divide(F.col(f"{a}.value") * (xb * xc), ab * ac)
+            - F.try_divide(F.col(f"{b}.value") * (xa * xc), ab * bc)
+            + F.try_divide(F.col(f"{c}.value") * (xa * xb), ac * bc)
         )
 
     both = F.col("prev").isNotNull() & F.col("next").isNotNull()

@@ -300,7 +300,7 @@ LAGS = [
     """per_lag AS (SELECT t.location, x.donor, t.variable, k.lag, covar_pop(t.value, d.value) / nullif(sqrt(var_pop(t.value) * var_pop(d.value)), 0) AS r FROM cells t JOIN donors x ON x.target = t.location CROSS JOIN ks k
   JOIN cells d ON d.location = x.donor AND d.variable = t.variable AND d.obs_date = t.obs_date - k.lag
   WHERE t.value IS NOT NULL AND d.value IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) > 20)""",
-    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location, donor, variable ORDER BY r DESC, lag) AS rk FROM per_lag WHERE r > -1) WHERE rk = 1)",
+    "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location, donor, variable ORDER BY round(r, 12) DESC, lag) AS rk FROM per_lag WHERE r > -1) WHERE rk = 1)",
 ]
 
 

@@ -80,7 +80,7 @@ def history_load(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH dim AS (SELECT n_nationkey AS location_id, n_name AS location_name FROM nation WHERE n_regionkey < 2),
 fresh AS (SELECT DISTINCT c_mktsegment AS location_name FROM customer UNION SELECT n_name FROM nation)
-SELECT CAST(row_number() OVER (ORDER BY location_name) + (SELECT max(location_id) FROM dim) AS INTEGER) AS location_id, location_name
+SELECT CAST(row_number() OVER (ORDER BY md5(location_name)) + (SELECT max(location_id) FROM dim) AS INTEGER) AS location_id, location_name
 FROM fresh WHERE location_name NOT IN (SELECT location_name FROM dim)""")
 def location_dim_upsert(spark: SparkSession, sf: str) -> DataFrame:
     nation = T.table(spark, sf, "nation")

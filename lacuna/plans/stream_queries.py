@@ -18,7 +18,7 @@ def stream_prediction_log(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "log")
     for run in ("a", "b"):
         events = log.read_events(spark, f"{sf}/events*.parquet")
-        log.append_log(events, path, f"{path}-checkpoint-{run}").awaitTermination()
+        log.append_log(events, path, f"{path}-checkpoint-{run}", run=run).awaitTermination()
     rows = spark.read.parquet(path)
     return rows.select("event_type", F.col("prediction_timestamp").cast("timestamp_ntz").alias("prediction_timestamp"), "value")
 

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.scan import hash_rank
+
 # Panel variable -> fact column.
 HISTORY_FIELDS = {"thetao": "sst", "CHL": "chlorophyll_a_proxy", "precip_mm_day": "rainfall_mm", "so": "salinity"}
 
 
 def new_locations(names: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Names the dimension does not hold yet, with ids following its greatest one."""
+    """Names the dimension does not hold yet, with ids following its greatest one, in the
+    order of the names' md5: dense, repeatable, and numbered without one big sort."""
     fresh = names.select("location_name").distinct().join(dimension, "location_name", "left_anti")
     top = dimension.select(F.coalesce(F.max("location_id"), F.lit(0))).scalar()
-    rank = F.row_number().over(Window.orderBy("location_name"))
-    return fresh.select((rank + top).cast("int").alias("location_id"), "location_name")
+    keyed = fresh.withColumn("_h", F.md5("location_name")).withColumn("_g", F.lit(0))
+    ranked = hash_rank(keyed, ["_g"], "_h", digits=2)
+    return ranked.select((F.col("_rank") + top).cast("int").alias("location_id"), "location_name")
 
 
 def history_rows(

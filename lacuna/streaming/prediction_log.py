@@ -44,23 +44,28 @@ def daily_totals(events: DataFrame, delay: str = "1 day", key: str = "event_type
     )
 
 
-def append_log(events: DataFrame, log_path: str, checkpoint: str, key: str = "event_type"):
+def append_log(events: DataFrame, log_path: str, checkpoint: str, key: str = "event_type", run: str = "daily"):
     """Append at most one row per site and day to a parquet log.
 
-    A batch is written to a directory of its own number and replaces itself when it is
-    retried; the log it is compared with leaves that directory out. So a restart after
-    a crash neither loses nor doubles rows.
+    The log is partitioned by day and batch number. A batch that is retried after a
+    crash replaces its own directories, and the log it is compared with leaves its own
+    rows out: nothing is lost or doubled. Only the days of the batch are read back.
     """
+    schema = f"{key} string, prediction_timestamp timestamp, value double, day date, run string, epoch long"
+
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(key, F.col("ts").alias("prediction_timestamp"), "value")
-        schema = f"{key} string, prediction_timestamp timestamp, value double, epoch long"
-        spark.createDataFrame([], schema).write.mode("append").partitionBy("epoch").parquet(log_path)
-        log = spark.read.schema(schema).parquet(log_path).filter(F.col("epoch") < epoch)
+        span = rows.agg(F.to_date(F.min("prediction_timestamp")).alias("lo"), F.to_date(F.max("prediction_timestamp")).alias("hi")).first()
+        if span["lo"] is None:
+            return
+        spark.createDataFrame([], schema).write.mode("append").partitionBy("day", "run", "epoch").parquet(log_path)
+        own = (F.col("run") == run) & (F.col("epoch") >= epoch)
+        log = spark.read.schema(schema).parquet(log_path).filter(F.col("day").between(span["lo"], span["hi"]) & ~own)
         fresh = new_predictions(rows, log, (key,))
-        fresh.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("epoch").parquet(log_path)
+        fresh.select("*", F.to_date("prediction_timestamp").alias("day"), F.lit(run).alias("run"), F.lit(epoch).alias("epoch")).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("day", "run", "epoch").parquet(log_path)
 
     return (
         events.writeStream.foreachBatch(write)
