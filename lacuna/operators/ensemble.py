@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
 from lacuna.operators.metrics import binary_scores, roc_auc
-from lacuna.sources.files import stored
+from lacuna.sources.files import join_stats, stored
 
 SAMPLE = ("split_num", "sample_id", "label")
 
@@ -31,10 +31,9 @@ def weighted(probs: DataFrame, weights: DataFrame, by: Sequence[str] = ("model",
     weights are 0 they are equal. One missing probability makes the result missing,
     except that a model with none at all in a split takes no part."""
     live = probs.groupBy("split_num", "model").agg(F.count("prob").alias("_n")).filter("_n > 0").drop("_n")
-    table = weights.select(*by, F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)).alias("_w"))
-    joined = probs.join(live, ["split_num", "model"]).join(table, list(by), "left").withColumn(
-        "_w", F.coalesce("_w", F.lit(1.0))
-    )
+    w = F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(0.0)).alias("_w")
+    table = live.join(weights, list(by), "left").select("split_num", "model", w)
+    joined = join_stats(probs, table, ["split_num", "model"], "inner")
     total = F.sum("_w")
     mean = F.when(total > 0, F.sum(F.col("prob") * F.col("_w")) / total).otherwise(F.avg("prob"))
     return joined.groupBy(*SAMPLE).agg(F.when(F.count("prob") == F.count(F.lit(1)), mean).alias("prob"))
@@ -66,7 +65,7 @@ def stacked(probs: DataFrame, models: Sequence[str], splits: Sequence[int]) -> D
     back to the soft vote. The loop is over held-out splits, each fit is distributed.
     """
     med = exact_quantiles(probs, ["split_num", "model"], "prob", {"_med": 0.5}, pieces=16)
-    filled = probs.join(med, ["split_num", "model"], "left").withColumn(
+    filled = join_stats(probs, med, ["split_num", "model"]).withColumn(
         "prob", F.coalesce("prob", "_med", F.lit(0.5))
     )
     wide = filled.groupBy(*SAMPLE).agg(

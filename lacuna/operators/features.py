@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scan import drop_halo, with_halo
 from lacuna.operators.masking import WET_MONTHS
+from lacuna.sources.files import join_stats
 
 # Rolling windows, lags and the stress threshold in degrees.
 ROLLING_ROWS = (7, 14, 30)
@@ -132,7 +133,7 @@ class MinMax:
     def transform(self, df: DataFrame, by: Sequence[str] = ("split_num",), missing_as_zero: bool = True) -> DataFrame:
         """Test values may leave the range. Missing values stay out of the fit and become 0
         after scaling, which is how a model without imputation reads them."""
-        joined = df.join(self.stats, list(by))
+        joined = join_stats(df, self.stats, by, "inner")
         out = []
         for c in df.columns:
             if c not in self.columns:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators import spatial, temporal
 from lacuna.operators.gaps import with_gaps
-from lacuna.operators.panel import with_donor
+from lacuna.operators.panel import sites_wide, to_wide, with_donor
 
 # Method key -> display name and family.
 METHODS = {
@@ -69,10 +69,46 @@ def gap_ensemble(cells: DataFrame, donors: DataFrame, zero_fill: bool = False) -
     )
 
 
-def dispatch(cells: DataFrame, donors: DataFrame, mask_type: str, wide_fill: DataFrame | None = None) -> DataFrame:
+def leading_modes(cells: DataFrame, locations: Sequence[str], variables: Sequence[str]) -> DataFrame:
+    """:func:`spatial.eof_pca` on a cell panel: the named sites and variables become the
+    columns of one wide matrix and come back as cells."""
+    wide = sites_wide(to_wide(cells, variables), variables, locations)
+    filled = spatial.eof_pca(wide, [f"{v}_{loc}" for v in variables for loc in locations])
+    back = filled.select(
+        "obs_date",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(loc).alias("location"), F.lit(v).alias("variable"), F.col(f"`{v}_{loc}`").alias("_e"))
+                    for v in variables
+                    for loc in locations
+                ]
+            )
+        ),
+    )
+    return cells.join(back, ["location", "variable", "obs_date"], "left").withColumn(
+        "filled", F.coalesce("value", "_e")
+    ).drop("_e")
+
+
+def similar_days(cells: DataFrame, donors: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """:func:`spatial.knn` for every variable of a cell panel, all of them as features."""
+    wide = to_wide(cells, variables)
+    fills = None
+    for v in variables:
+        one = spatial.knn(wide, donors, v, variables).select("location", F.lit(v).alias("variable"), "obs_date", F.col("filled").alias("_e"))
+        fills = one if fills is None else fills.unionByName(one)
+    return cells.join(fills, ["location", "variable", "obs_date"], "left").withColumn(
+        "filled", F.coalesce("value", "_e")
+    ).drop("_e")
+
+
+def dispatch(
+    cells: DataFrame, donors: DataFrame, mask_type: str, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+) -> DataFrame:
     """Choose by gap pattern: random linear, block regression, seasonal the mean of
-    climatology and regression, cross-variable the leading modes, rolling origin
-    climatology; otherwise per series linear if its longest gap is at most 7 days, else
+    climatology and regression, cross-variable the leading modes of ``matrix`` (sites,
+    variables), rolling origin climatology; otherwise per series linear if its longest gap is at most 7 days, else
     climatology."""
     if mask_type.startswith("random"):
         return temporal.linear(cells)
@@ -80,14 +116,14 @@ def dispatch(cells: DataFrame, donors: DataFrame, mask_type: str, wide_fill: Dat
         return temporal.climatology_doy(cells)
     helper = ("donor", "distance_km", "donor_value")
     if mask_type.startswith("block"):
-        return spatial.regression1(_donor_view(cells, donors)).drop(*helper)
+        return spatial.regression3(spatial.with_donor_lags(cells, donors, (1, 7))).drop(*helper)
     if mask_type == "seasonal":
         clim = _rename(temporal.climatology_doy(cells), "_c")
-        reg = _rename(spatial.regression1(_donor_view(clim, donors)), "_r")
+        reg = _rename(spatial.regression3(spatial.with_donor_lags(clim, donors, (1, 7))), "_r")
         mean = F.coalesce((F.col("_c") + F.col("_r")) / 2, F.col("_c"), F.col("_r"))
         return reg.withColumn("filled", F.coalesce("value", mean)).drop("_c", "_r", *helper)
-    if mask_type == "cross_variable" and wide_fill is not None:
-        return cells.join(wide_fill, ["location", "variable", "obs_date"], "left")
+    if mask_type == "cross_variable" and matrix is not None:
+        return leading_modes(cells, *matrix)
     rows = with_gaps(cells)
     line = F.coalesce(temporal._line("row"), F.col("prev.value"), F.col("next.value"))
     rows = rows.withColumn("_t", line).drop("pos", "pos_last", "prev", "next")
@@ -97,12 +133,19 @@ def dispatch(cells: DataFrame, donors: DataFrame, mask_type: str, wide_fill: Dat
     return both.withColumn("filled", F.coalesce("value", pick)).drop("_t", "_c", "_max", "gap_length")
 
 
-def registry(donors: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """Method key -> function of a cell panel. KNN and the leading modes work on the wide
-    panel and are called directly."""
+def registry(
+    donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Method key -> function of a cell panel. The two methods that see all variables at
+    once need ``matrix``, the names of the sites and variables."""
     helper = ("donor", "distance_km", "donor_value")
     view = lambda c: _donor_view(c, donors)
+    wide = {} if matrix is None else {
+        "eof_pca": lambda c: leading_modes(c, *matrix),
+        "cross_knn": lambda c: similar_days(c, donors, matrix[1]),
+    }
     return {
+        **wide,
         "linear": temporal.linear,
         "climatology": temporal.climatology_doy,
         "kriging": lambda c: spatial.kriging(view(c)).drop(*helper),
@@ -115,9 +158,11 @@ def registry(donors: DataFrame) -> dict[str, Callable[[DataFrame], DataFrame]]:
     }
 
 
-def impute(cells: DataFrame, method: str, donors: DataFrame) -> DataFrame:
+def impute(
+    cells: DataFrame, method: str, donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+) -> DataFrame:
     """Run a registered method, then previous/next fill, then the exact median."""
-    first = registry(donors)[method](cells)
+    first = registry(donors, matrix)[method](cells)
     rest = temporal.ffill_bfill(_rename(first, "_m"), value="_m").drop("_m")
     last = temporal.median_fill(_rename(rest, "_f"), value="_f")
     return last.drop("_f")

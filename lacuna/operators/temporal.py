@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
 from lacuna.operators.gaps import KEYS, neighbours, with_gaps
+from lacuna.sources.files import join_stats
 
 HELPERS = ("pos", "pos_last", "prev", "next", "gap_length")
 
@@ -199,8 +200,7 @@ class MeanImputer:
     def transform(self, cells: DataFrame, value: str = "value", out: str = "filled") -> DataFrame:
         series, every = self.tables()
         return (
-            cells.join(series, ["variable", "location"], "left")
-            .join(every, "variable", "left")
+            join_stats(cells.join(series, ["variable", "location"], "left"), every, ["variable"])
             .withColumn(out, F.coalesce(F.col(value), F.try_element_at("_months", F.month("obs_date")), "_l", "_g"))
             .drop("_months", "_l", "_g")
         )
@@ -233,7 +233,7 @@ def gap_adaptive(
 def median_fill(cells: DataFrame, value: str = "value", by: Sequence[str] = ("variable",)) -> DataFrame:
     """Exact median of each variable over all locations, as the last resort."""
     medians = exact_quantiles(cells, list(by), value, {"_median": 0.5})
-    return _done(cells.join(medians, list(by), "left"), F.col("_median"), value).drop("_median")
+    return _done(join_stats(cells, medians, by), F.col("_median"), value).drop("_median")
 
 
 def nowcast(

@@ -187,7 +187,10 @@ def horizon_decay(spark: SparkSession, sf: str) -> DataFrame:
     return rr(FC.horizon(forecast_rows(spark, sf), run_date(spark, sf)), "confidence", "probability")
 
 
-@query()
+@query(with_(*ROWS) + f"""SELECT location, {RUN} AS run_date, risk_level, printf('%.1f%%', confidence * 100) AS confidence, split_part(risk_level, ' ', 1) AS red_tide_probability,
+  CAST(CASE WHEN data_limited THEN 5 ELSE 3 END AS INTEGER) AS n_recommendations, CAST(6 AS INTEGER) AS n_days, CASE WHEN data_limited THEN 'Low' ELSE 'High' END AS quality,
+  CASE WHEN data_limited THEN 'Forecast' WHEN has_signal THEN 'Moderate' WHEN risk_level LIKE 'High%' THEN 'Elevated' WHEN risk_level LIKE 'Moderate%' THEN 'Moderate' WHEN risk_level LIKE 'Very%' THEN 'Very' ELSE 'Low' END AS explanation,
+  coalesce(CAST(round(so, 2) AS VARCHAR) || ' PSU', 'N/A') AS salinity FROM fc""")
 def forecast_document(spark: SparkSession, sf: str) -> DataFrame:
     """Nested forecast documents, written as JSON by run date and read back."""
     from lacuna.session import fresh_path
@@ -200,7 +203,8 @@ def forecast_document(spark: SparkSession, sf: str) -> DataFrame:
     back = spark.read.schema(docs.schema).json(path)
     return back.select(
         "location", "run_date", "risk_level", "confidence", "red_tide_probability", F.size("recommendations").alias("n_recommendations"),
-        F.size("five_day_forecast").alias("n_days"), F.col("data_quality.confidence_level").alias("quality"), F.to_json("environmental_data").alias("environmental_data"),
+        F.size("five_day_forecast").alias("n_days"), F.col("data_quality.confidence_level").alias("quality"),
+        F.split_part("explanation", F.lit(" "), F.lit(1)).alias("explanation"), F.col("environmental_data.`Salinity (PSU)`").alias("salinity"),
     )
 
 

@@ -404,12 +404,12 @@ def impute_hybrid_dispatch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(
-    *PAIRS, REGR1, "cl AS (SELECT location, variable, dayofyear(obs_date) AS doy, avg(value) AS m FROM cells GROUP BY 1, 2, 3)",
-    f"""e AS (SELECT p.location, p.variable, p.obs_date, cl.m AS c, k.a + k.b * p.donor_value AS g FROM pairs p LEFT JOIN regr k ON {ON_PAIR}
+    *LAGGED, COEF, "cl AS (SELECT location, variable, dayofyear(obs_date) AS doy, avg(value) AS m FROM cells GROUP BY 1, 2, 3)",
+    f"""e AS (SELECT p.location, p.variable, p.obs_date, cl.m AS c, {REGR3} AS g FROM pairs p LEFT JOIN coef k ON {ON_PAIR}
   LEFT JOIN cl ON cl.location = p.location AND cl.variable = p.variable AND cl.doy = dayofyear(p.obs_date) WHERE p.value IS NULL)""",
-) + f"SELECT location, variable, obs_date, {R('coalesce((c + g) / 2, c, g)')} AS filled FROM e")
+) + f"SELECT location, variable, obs_date, {R('coalesce((c + g) / 2, c, g)', 3)} AS filled FROM e")
 def impute_hybrid_seasonal(spark: SparkSession, sf: str) -> DataFrame:
-    return holes(hybrid.dispatch(cells(spark, sf), T.donors(spark, sf, "nation"), "seasonal"))
+    return holes(hybrid.dispatch(cells(spark, sf, "region"), T.donors(spark, sf, "region"), "seasonal"), 3)
 
 
 @query(with_(

@@ -54,7 +54,9 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return files.latest_snapshot(daily).select("location", "run_date", "n_events", r("value", 2).alias("value"))
 
 
-@query()
+@query("""SELECT r_name AS site, CAST(5 AS INTEGER) AS points, '[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n || '],[' || w || ',' || n || '],[' || w || ',' || s || ']]' AS ring
+FROM (SELECT r_name, CAST(r_regionkey * 2.0::DOUBLE AS VARCHAR) AS w, CAST(r_regionkey * 2.0::DOUBLE + 1.5 AS VARCHAR) AS e,
+  CAST(r_regionkey * 1.5::DOUBLE AS VARCHAR) AS s, CAST(r_regionkey * 1.5::DOUBLE + 2.0 AS VARCHAR) AS n FROM region)""")
 def geojson_sites(spark: SparkSession, sf: str) -> DataFrame:
     """Region polygons as one feature collection per region, written, read and parsed."""
     point = F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))

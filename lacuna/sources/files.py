@@ -93,3 +93,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of statistics on keys that take few values (variable, model, split).
+
+    Shuffling ``df`` on such a key would pile it up on a few reducers. The statistics are
+    written first, so the planner knows their true size: within the session's broadcast
+    threshold ``df`` stays where it is, beyond it the join is sorted and adaptive
+    execution splits the heavy partitions.
+    """
+    return df.join(stored(df.sparkSession, stats, "stats"), list(keys), how)

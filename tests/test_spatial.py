@@ -143,11 +143,25 @@ def test_sequential_regresses_where_interpolation_cannot(series, donors, column)
 
 
 def test_every_registered_method_runs_and_the_chain_leaves_nothing(series, donors):
-    df = series(a=noisy(6, 60, holes=range(20, 30)), b=noisy(7, 60))
-    for name in hybrid.registry(donors):
-        out = hybrid.impute(df, name, donors)
-        assert out.filter("filled is null").count() == 0, name
-        assert out.count() == 120, name
+    v = series(variable="v", a=noisy(6, 60, holes=range(20, 30)), b=noisy(7, 60))
+    df = v.union(series(variable="w", a=noisy(8, 60), b=noisy(9, 60)))
+    matrix = (["a", "b"], ["v", "w"])
+    assert set(hybrid.registry(donors, matrix)) == set(hybrid.METHODS)
+    for name, method in hybrid.registry(donors, matrix).items():
+        rows = method(df).select("value", "filled").collect()
+        assert len(rows) == 240 and all(r["filled"] == r["value"] for r in rows if r["value"] is not None), name
+    rows = hybrid.impute(df, "cross_knn", donors, matrix).select("filled").collect()
+    assert len(rows) == 240 and all(r["filled"] is not None for r in rows)
+
+
+def test_cross_variable_uses_the_leading_modes(series, donors, column):
+    base = noisy(6, 60)
+    v = series(variable="v", a=[None if 20 <= i < 30 else x for i, x in enumerate(base)], b=[2 * x for x in base])
+    df = v.union(series(variable="w", a=[3 * x + 1 for x in base], b=[-x for x in base]))
+    out = hybrid.dispatch(df, donors, "cross_variable", (["a", "b"], ["v", "w"]))
+    got = column(out, location="a", variable="v")
+    # One mode explains everything; five rounds close 1 - (1/4)^5 of the distance.
+    assert got[25] == pytest.approx(base[25], rel=0.05, abs=0.05)
 
 
 @pytest.mark.parametrize("pattern", ["random_10", "block_7day", "seasonal", "rolling_origin", "anything"])
