@@ -48,9 +48,13 @@ def lags(df: DataFrame, columns: Sequence[str], rows: Sequence[int] = LAG_ROWS,
     halo, w = _look_back(df, max(rows), keys)
     names = {f"{c}_lag{n}": F.lag(c, n).over(w) for c in columns for n in rows}
     lagged = drop_halo(halo.select("*", *[e.alias(n) for n, e in names.items()]))
-    means = lagged.groupBy(*keys).agg(*[F.avg(n).alias(f"_m_{n}") for n in names])
-    full = lagged.join(means, list(keys))
-    return full.select(*df.columns, *[F.coalesce(n, f"_m_{n}").alias(n) for n in names])
+    return lagged.select(*df.columns, *[_or_mean(n, keys).alias(n) for n in names])
+
+
+def _or_mean(name: str, keys: Sequence[str]) -> Column:
+    """The value, or the mean of its series: one row per day, so a bounded group. As a
+    window it reads the rows at hand, where a joined aggregate would scan the panel again."""
+    return F.coalesce(F.col(name), F.avg(name).over(Window.partitionBy(*keys)))
 
 
 def calendar(df: DataFrame, ts: str = "obs_date") -> DataFrame:
@@ -103,11 +107,8 @@ def feature_matrix(
             F.when(F.col(stress).isNotNull(), F.greatest(F.lit(0.0), F.col(stress) - F.lit(float(above)))).alias(f"{stress}_stress")
         )
     full = drop_halo(halo.select("*", *cols))
-    means = full.groupBy(*keys).agg(*[F.avg(n).alias(f"_m_{n}") for n in lag_names])
-    full = full.join(means, list(keys))
-    for n in lag_names:
-        full = full.withColumn(n, F.coalesce(n, f"_m_{n}"))
-    full = calendar(full.drop(*[f"_m_{n}" for n in lag_names]))
+    full = full.select(*[_or_mean(c, keys).alias(c) if c in lag_names else F.col(c) for c in full.columns])
+    full = calendar(full)
     return imputation_flags(full, mask, columns) if mask is not None else full
 
 

@@ -25,10 +25,9 @@ def neighbours(
     cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date", depth: int = 1,
     span_days: int = CHUNK_DAYS,
 ) -> DataFrame:
-    """Add ``pos`` (0-based row of the series), ``pos_last``, ``prev`` and ``next``:
-    structs (pos, obs_date, value) of the closest observed cell at or before, and at or
-    after. With ``depth=2`` each also carries the observation beyond it:
-    ``prev.before``, ``next.after``.
+    """Add ``pos`` (0-based row of the series), ``pos_last``, and for the closest observed
+    cell at or before (``prev``) and at or after (``next``) its ``_pos``, ``_date`` and
+    ``_value``. With ``depth=2`` also those of the observations beyond: ``before``, ``after``.
 
     One exchange on (keys, chunk) and one sort per direction. A chunk sums up to one row
     (its size, first and last observation) from that same exchange; the summaries of a
@@ -78,13 +77,17 @@ def neighbours(
     out = rows.drop("_obs", "_lo", "_hi").join(
         ends.select(*part, "_base", "pos_last", "_left", "_right"), part
     )
-    out = out.withColumn("pos", F.col("_rn") + F.col("_base"))
-    for side, carried, inner in (("prev", "_left", inner_lo), ("next", "_right", inner_hi)):
-        out = out.withColumn(side, _shift(F.col(side), F.col("_base"), inner))
+    flat = [(F.col("_rn") + F.col("_base")).alias("pos"), F.col("pos_last")]
+    for side, carried, far, inner in (("prev", "_left", "before", inner_lo), ("next", "_right", "after", inner_hi)):
+        flat += [x.alias(f"{side}_{name}") for name, x in _fields(F.col(side), F.col(carried), F.col("_base"))]
         if inner:
-            out = out.withColumn(side, _beyond(side, inner, carried))
-        out = out.withColumn(side, F.coalesce(side, carried))
-    return out.drop("_rn", "_base", "_chunk", "_left", "_right")
+            local = F.col(side).isNotNull()
+            near = _fields(F.col(side)[inner], F.col(carried), F.col("_base"))
+            flat += [
+                F.when(local, x).otherwise(F.col(carried)[inner][f]).alias(f"{far}_{name}")
+                for (name, x), f in zip(near, ("pos", "obs_date", "value"))
+            ]
+    return out.select(*cells.columns, *flat)
 
 
 def _beyond(point: str, inner: str, carried: str) -> Column:
@@ -94,10 +97,20 @@ def _beyond(point: str, inner: str, carried: str) -> Column:
     return F.when(p.isNotNull(), p.withField(inner, F.coalesce(p[inner], flat)))
 
 
+def _fields(local: Column, carried: Column, base: Column) -> list[tuple[str, Column]]:
+    """Position, date and value of an observation found in the chunk, else of the carried
+    one. Plain columns: formulas built on them stay small after projections merge."""
+    return [
+        ("pos", F.coalesce(local["pos"] + base, carried["pos"])),
+        ("date", F.coalesce(local["obs_date"], carried["obs_date"])),
+        ("value", F.coalesce(local["value"], carried["value"])),
+    ]
+
+
 def gap_length(value: str = "value") -> Column:
     """Rows in the run of missing cells around a cell; NULL on observed cells."""
-    upper = F.coalesce(F.col("next.pos"), F.col("pos_last") + 1)
-    lower = F.coalesce(F.col("prev.pos"), F.lit(-1))
+    upper = F.coalesce(F.col("next_pos"), F.col("pos_last") + 1)
+    lower = F.coalesce(F.col("prev_pos"), F.lit(-1))
     return F.when(F.col(value).isNull(), (upper - lower - 1).cast("long"))
 
 
@@ -115,6 +128,6 @@ def gap_runs(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value",
     aggregate with map-side combine, whatever their length.
     """
     rows = neighbours(cells, keys, value, ts).filter(F.col(value).isNull())
-    return rows.groupBy(*keys, F.coalesce(F.col("prev.pos"), F.lit(-1)).alias("_run")).agg(
+    return rows.groupBy(*keys, F.coalesce(F.col("prev_pos"), F.lit(-1)).alias("_run")).agg(
         F.min(ts).alias("gap_start"), F.max(ts).alias("gap_end"), F.count(F.lit(1)).alias("gap_length")
     ).drop("_run")

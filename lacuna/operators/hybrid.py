@@ -56,8 +56,8 @@ def gap_ensemble(cells: DataFrame, donors: DataFrame, zero_fill: bool = False) -
     """Blend interpolation and kriging by gap length; where one is missing the other
     counts alone. ``zero_fill`` reads a missing leg as 0 instead."""
     rows = with_gaps(cells)
-    line = F.coalesce(temporal._line("row"), F.col("prev.value"), F.col("next.value"))
-    rows = rows.withColumn("_t", line).drop("pos", "pos_last", "prev", "next")
+    line = F.coalesce(temporal.straight_line(), F.col("prev_value"), F.col("next_value"))
+    rows = rows.withColumn("_t", line).drop(*[c for c in temporal.HELPERS if c != "gap_length"])
     both = _rename(spatial.kriging(_donor_view(rows, donors)), "_s")
     t, s = F.col("_t"), F.col("_s")
     if zero_fill:
@@ -125,8 +125,8 @@ def dispatch(
     if mask_type == "cross_variable" and matrix is not None:
         return leading_modes(cells, *matrix)
     rows = with_gaps(cells)
-    line = F.coalesce(temporal._line("row"), F.col("prev.value"), F.col("next.value"))
-    rows = rows.withColumn("_t", line).drop("pos", "pos_last", "prev", "next")
+    line = F.coalesce(temporal.straight_line(), F.col("prev_value"), F.col("next_value"))
+    rows = rows.withColumn("_t", line).drop(*[c for c in temporal.HELPERS if c != "gap_length"])
     longest = rows.groupBy("location", "variable").agg(F.coalesce(F.max("gap_length"), F.lit(0)).alias("_max"))
     both = _rename(temporal.climatology_doy(rows), "_c").join(longest, ["location", "variable"])
     pick = F.when(F.col("_max") <= 7, F.col("_t")).otherwise(F.col("_c"))

@@ -14,32 +14,31 @@ from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
 from lacuna.operators.gaps import KEYS, neighbours, with_gaps
-from lacuna.sources.files import join_stats
+from lacuna.sources.files import join_stats, stored
 
-HELPERS = ("pos", "pos_last", "prev", "next", "gap_length")
+HELPERS = (
+    "pos", "pos_last", "gap_length",
+    *[f"{p}_{f}" for p in ("before", "prev", "next", "after") for f in ("pos", "date", "value")],
+)
 
 
 def _done(rows: DataFrame, estimate: Column, value: str = "value", out: str = "filled") -> DataFrame:
     return rows.withColumn(out, F.coalesce(F.col(value), estimate)).drop(*HELPERS)
 
 
-def _steps(axis: str, newer: str | Column, older: str | Column) -> Column:
-    """Distance between two points: rows or days."""
+def _steps(axis: str, newer: str, older: str, ts: str = "obs_date") -> Column:
+    """Distance between two points, in rows or days; ``""`` is the cell itself."""
     if axis == "row":
-        return (newer if isinstance(newer, Column) else F.col(f"{newer}.pos")) - (
-            older if isinstance(older, Column) else F.col(f"{older}.pos")
-        )
-    return F.datediff(
-        newer if isinstance(newer, Column) else F.col(f"{newer}.obs_date"),
-        older if isinstance(older, Column) else F.col(f"{older}.obs_date"),
-    )
+        at = lambda p: F.col(f"{p}_pos" if p else "pos")
+        return at(newer) - at(older)
+    at = lambda p: F.col(f"{p}_date" if p else ts)
+    return F.datediff(at(newer), at(older))
 
 
-def _line(axis: str, ts: str = "obs_date") -> Column:
-    """Straight line between ``prev`` and ``next``; NULL unless both exist."""
-    here = F.col("pos") if axis == "row" else F.col(ts)
-    slope = F.try_divide(F.col("next.value") - F.col("prev.value"), _steps(axis, "next", "prev"))
-    return F.col("prev.value") + slope * _steps(axis, here, "prev")
+def straight_line(axis: str = "row", ts: str = "obs_date") -> Column:
+    """Between ``prev`` and ``next``; NULL unless both exist."""
+    slope = F.try_divide(F.col("next_value") - F.col("prev_value"), _steps(axis, "next", "prev", ts))
+    return F.col("prev_value") + slope * _steps(axis, "", "prev", ts)
 
 
 def linear(
@@ -54,37 +53,31 @@ def linear(
     full gap.
     """
     rows = neighbours(cells, keys, value, ts)
-    estimate = _line(axis, ts)
+    estimate = straight_line(axis, ts)
     if edges == "both":
-        estimate = F.coalesce(estimate, F.col("prev.value"), F.col("next.value"))
+        estimate = F.coalesce(estimate, F.col("prev_value"), F.col("next_value"))
     elif edges == "trailing":
-        estimate = F.coalesce(estimate, F.col("prev.value"))
+        estimate = F.coalesce(estimate, F.col("prev_value"))
     if limit is not None:
-        here = F.col("pos") if axis == "row" else F.col(ts)
-        estimate = F.when(
-            F.least(_steps(axis, here, "prev"), _steps(axis, "next", here)) <= limit, estimate
-        )
+        estimate = F.when(F.least(_steps(axis, "", "prev", ts), _steps(axis, "next", "", ts)) <= limit, estimate)
     return _done(rows, estimate, value)
 
 
 def _parabola(axis: str, ts: str = "obs_date") -> Column:
     """Quadratic through two observations before and one after, else one before and
     two after; NULL where neither exists."""
-    here = F.col("pos") if axis == "row" else F.col(ts)
-
     def through(a: str, b: str, c: str) -> Column:
-        xa, xb = _steps(axis, here, a), _steps(axis, here, b)
-        xc = _steps(axis, here, c)
-        ab, ac, bc = _steps(axis, a, b), _steps(axis, a, c), _steps(axis, b, c)
+        xa, xb, xc = (_steps(axis, "", p, ts) for p in (a, b, c))
+        ab, ac, bc = _steps(axis, a, b, ts), _steps(axis, a, c, ts), _steps(axis, b, c, ts)
         return (
-            F.try_divide(F.col(f"{a}.value") * (xb * xc), ab * ac)
-            - F.try_divide(F.col(f"{b}.value") * (xa * xc), ab * bc)
-            + F.try_divide(F.col(f"{c}.value") * (xa * xb), ac * bc)
+            F.try_divide(F.col(f"{a}_value") * (xb * xc), ab * ac)
+            - F.try_divide(F.col(f"{b}_value") * (xa * xc), ab * bc)
+            + F.try_divide(F.col(f"{c}_value") * (xa * xb), ac * bc)
         )
 
-    both = F.col("prev").isNotNull() & F.col("next").isNotNull()
-    return F.when(both & F.col("prev.before").isNotNull(), through("prev.before", "prev", "next")).when(
-        both & F.col("next.after").isNotNull(), through("prev", "next", "next.after")
+    both = F.col("prev_value").isNotNull() & F.col("next_value").isNotNull()
+    return F.when(both & F.col("before_value").isNotNull(), through("before", "prev", "next")).when(
+        both & F.col("after_value").isNotNull(), through("prev", "next", "after")
     )
 
 
@@ -95,12 +88,12 @@ def quadratic(
     stay missing. It uses the three closest known points, where a global spline would
     have to solve one system over the whole series."""
     rows = neighbours(cells, keys, value, ts, depth=2)
-    return _done(rows, F.coalesce(_parabola(axis, ts), _line(axis, ts)), value)
+    return _done(rows, F.coalesce(_parabola(axis, ts), straight_line(axis, ts)), value)
 
 
 def ffill_bfill(cells: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", ts: str = "obs_date") -> DataFrame:
     rows = neighbours(cells, keys, value, ts)
-    return _done(rows, F.coalesce(F.col("prev.value"), F.col("next.value")), value)
+    return _done(rows, F.coalesce(F.col("prev_value"), F.col("next_value")), value)
 
 
 def _join_mean(cells: DataFrame, source: DataFrame, by: dict[str, Column], value: str, out: str) -> DataFrame:
@@ -217,15 +210,15 @@ def gap_adaptive(
     rows = with_gaps(cells, keys, depth=2)
     md = Window.partitionBy(*keys, F.month("obs_date"), F.dayofmonth("obs_date"))
     rows = rows.withColumn("_md", F.avg("value").over(md))
-    line = _line(axis)
+    line = straight_line(axis)
     estimate = (
         F.when(F.col("gap_length") < short, line)
         .when(F.col("gap_length") <= long, F.coalesce(_parabola(axis), line))
         .otherwise(F.col("_md"))
     )
-    # The fill runs over repaired cells too, so the neighbour of a still-open cell may be
-    # an estimate; a second pass over the estimates gives that.
-    first = _done(rows, estimate).drop("_md")
+    # What is still open takes the nearest repaired cell, which may be an estimate: a
+    # second pass, over a written table so that the first one is not run for each branch.
+    first = stored(cells.sparkSession, _done(rows, estimate).drop("_md"), "adaptive")
     again = ffill_bfill(first.withColumnRenamed("filled", "_once"), keys, value="_once")
     return again.drop("_once")
 

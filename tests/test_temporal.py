@@ -72,7 +72,8 @@ def test_time_axis_like_pandas(spark, column):
 @pytest.mark.parametrize("depth", [1, 2])
 def test_chunk_size_does_not_matter(series, depth):
     df = series(a=as_list(random_series(5, 120, 0.8)), b=[None] * 120, c=[1.0] + [None] * 119)
-    cols = ["location", "obs_date", "pos", "pos_last", "prev", "next"]
+    sides = ("prev", "next") if depth == 1 else ("before", "prev", "next", "after")
+    cols = ["location", "obs_date", "pos", "pos_last", *[f"{s}_{f}" for s in sides for f in ("pos", "date", "value")]]
     tiny = gaps.neighbours(df, depth=depth, span_days=3).select(*cols).orderBy("location", "obs_date").collect()
     whole = gaps.neighbours(df, depth=depth, span_days=10**6).select(*cols).orderBy("location", "obs_date").collect()
     assert tiny == whole
@@ -85,12 +86,11 @@ def test_neighbours_beyond_by_brute_force(series):
     for i, row in enumerate(rows):
         before, after = [j for j in seen if j <= i], [j for j in seen if j >= i]
         assert row["pos"] == i
-        assert (row["prev"]["pos"] if row["prev"] else None) == (before[-1] if before else None)
-        assert (row["next"]["pos"] if row["next"] else None) == (after[0] if after else None)
-        if len(before) > 1:
-            assert row["prev"]["before"]["pos"] == before[-2]
-        if len(after) > 1:
-            assert row["next"]["after"]["pos"] == after[1]
+        assert row["prev_pos"] == (before[-1] if before else None)
+        assert row["next_pos"] == (after[0] if after else None)
+        assert row["before_pos"] == (before[-2] if len(before) > 1 else None)
+        assert row["after_pos"] == (after[1] if len(after) > 1 else None)
+        assert row["after_value"] == (x[after[1]] if len(after) > 1 else None)
 
 
 def test_quadratic_recovers_a_parabola(series, column):
