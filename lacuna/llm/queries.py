@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import cube_mix, token_count, vector_pack
+from lacuna.llm import crosspolytope, cube_mix, rp_forest, superminhash, token_count, vector_pack
 from lacuna.llm.common import table
 
 
@@ -33,12 +33,27 @@ def op3_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents, on sets of two-word shingles."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at a cosine of 0.95."""
+    return rp_forest.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth one, by inner product."""
+    return crosspolytope.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cube_mix, op3_vector_pack, op8_token_count)
+    f.__name__: f for f in (op2_cube_mix, op3_vector_pack, op4_superminhash, op6_rp_forest, op8_token_count, op9_crosspolytope)
 }
 SQL: dict[str, str] = {}
