@@ -24,10 +24,6 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import DEFAULT_TOKENIZERS, rows_of, spread, stored
 
-SEPARATOR = " <|endoftext|> "
-SEPARATOR_ID = 49407
-
-
 @lru_cache(maxsize=2)
 def load(path: str):
     import os
@@ -38,43 +34,64 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The tokenizer's own split; letters below U+0180 are their own normal form and lower-case one by one.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = "\u0180"
+#: White space and control characters, on which libraries differ, and the start of a special token.
+ODD = r"[\x00-\x1f\x7f-\xa0]|<\|"
+
+
 class WordIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer maps runs of white space to a space, drops it, and lower-cases and
     splits character by character, so words between ASCII white space encode on their
-    own. Ids of up to ``remembered`` words are kept; other words are encoded together,
-    once per batch, with a special token between them.
+    own. A word of plain letters is split here and its parts go straight to the merges;
+    any other word goes through the whole tokenizer. Ids of up to ``remembered`` words
+    and as many parts are kept.
     """
 
     def __init__(self, path: str, remembered: int = 300_000):
-        self.tokenizer, self.remembered, self.ids = load(path), remembered, {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.ids})
-        fresh = dict(zip(new, self._many(new), strict=True))
-        room = self.remembered - len(self.ids)
-        if len(fresh) <= room:
-            self.ids.update(fresh)
-            return [b"".join(map(self.ids.__getitem__, ws)) for ws in words]
-        self.ids.update(list(fresh.items())[: max(0, room)])
-        known = self.ids.get
-        return [b"".join([known(w) or fresh.get(w, b"") for w in ws]) for ws in words]
-
-    def _many(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        out: list[bytes | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if "<|" not in t]
-        for at in range(0, len(plain), 5_000):
-            part = plain[at : at + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([SEPARATOR.join(texts[i] for i in part)], add_special_tokens=False)[0].ids, "<u4")
-            for i, own in zip(part, np.split(ids, np.flatnonzero(ids == SEPARATOR_ID)), strict=True):
-                out[i] = (own[1:] if own.size and own[0] == SEPARATOR_ID else own).tobytes()
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        import regex
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.remembered = load(path), remembered
+        self.model = self.tokenizer.model
+        self.split, self.odd = regex.compile(PRETOKENS).findall, regex.compile(ODD).search
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.letters: dict[str, str] = {}
+
+    def encode(self, text: str | None) -> bytes:
+        words = (text or "").encode("utf-8", "replace").split()
+        known = self.words.get
+        out = list(map(known, words))
+        if None in out:
+            out = [self._word(w) if i is None else i for w, i in zip(words, out, strict=True)]
+        return b"".join(out)
+
+    def _word(self, word: bytes) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            text = word.decode()
+            if max(text) < SIMPLE and not self.odd(text):
+                ids = b"".join([self.parts.get(p) or self._part(p) for p in self.split(text.lower())])
+            else:
+                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.words) < self.remembered:
+                self.words[word] = ids
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        mapped = part if part.isascii() else "".join([self.letters.get(c) or self._letter(c) for c in part])
+        ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        if len(self.parts) < self.remembered:
+            self.parts[part] = ids
+        return ids
+
+    def _letter(self, c: str) -> str:
+        return self.letters.setdefault(c, self.byte_level.pre_tokenize_str(c)[0][0])
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -97,8 +114,8 @@ def cut(docs: DataFrame, path: str, tokens: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out: dict[str, list] = {n: [] for n in ("doc_id", "piece", "start", "length", "ids_crc32")}
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    ids += b"\0\0\0\0"
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = encoder.encode(text) + b"\0\0\0\0"
                     for k, start in enumerate(range(0, len(ids) // 4, tokens)):
                         own = ids[4 * start : 4 * (start + tokens)]
                         for name, value in zip(out, (doc_id, k, start, len(own) // 4, zlib.crc32(own)), strict=True):
@@ -109,48 +126,54 @@ def cut(docs: DataFrame, path: str, tokens: int) -> DataFrame:
 
 
 class Packer:
-    """Open sequences of one task. ``measure``: "norm" or "dot"."""
+    """Open sequences of one task. ``measure``: "norm" or "dot".
+
+    At most ``open_bins`` sequences, those with the most room, stay open between chunks.
+    """
 
-    def __init__(self, capacity: tuple[int, int, int], measure: str = "norm", open_bins: int = 4096):
+    def __init__(self, capacity: tuple[int, int, int], measure: str = "norm", open_bins: int = 1024):
         self.capacity = np.array(capacity, float)
         self.measure, self.open_bins = measure, open_bins
-        self.room = np.zeros((0, 3))  # residual tokens, documents, attention cost
+        self.room = np.zeros((3, 0))  # residual tokens, documents, attention cost
         self.number = np.zeros(0, np.int64)
         self.opened = 0
         self.demand = np.zeros(3)
 
     def pack(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence number and offset of each piece."""
-        demand = np.column_stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2])
-        if (demand > self.capacity).any():
+        demand = np.vstack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2])
+        if (demand > self.capacity[:, None]).any():
             raise ValueError("a piece exceeds a capacity on its own")
-        self.demand += (demand / self.capacity).sum(0)
-        weight = (self.demand / max(self.demand.max(), 1e-300)) ** 2
-        scale = weight / self.capacity**2
+        self.demand += (demand / self.capacity[:, None]).sum(1)
+        scale = (self.demand / max(self.demand.max(), 1e-300)) ** 2 / self.capacity**2
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         full = lengths == self.capacity[0]
         sequence[full] = self.opened + np.arange(full.sum())
         self.opened += int(full.sum())
         rest = np.flatnonzero(~full)
-        room = np.vstack([self.room, np.empty((len(rest), 3))])
-        number = np.concatenate([self.number, np.empty(len(rest), np.int64)])
-        n = len(self.room)
+        room = np.hstack([self.room, np.zeros((3, len(rest)))])
+        number = np.concatenate([self.number, np.zeros(len(rest), np.int64)])
+        n = self.room.shape[1]
         for i in rest[np.argsort(-lengths[rest], kind="stable")]:
-            need = demand[i]
-            left = room[:n] - need
-            fits = left.min(1) >= 0 if n else np.zeros(0, bool)
-            if fits.any():
-                cost = (left**2 @ scale) if self.measure == "norm" else -(room[:n] @ (scale * need))
-                k = int(np.argmin(np.where(fits, cost, np.inf)))
+            need = demand[:, i]
+            fits = np.flatnonzero(room[0, :n] >= need[0])
+            if len(fits):
+                left = room[:, fits] - need[:, None]
+                cost = scale @ left**2 if self.measure == "norm" else -((scale * need) @ room[:, fits])
+                cost[(left[1] < 0) | (left[2] < 0)] = np.inf
+                best = int(np.argmin(cost))
+                k = int(fits[best]) if cost[best] < np.inf else n
             else:
-                k, room[n], number[n] = n, self.capacity, self.opened
+                k = n
+            if k == n:
+                room[:, n], number[n] = self.capacity, self.opened
                 n, self.opened = n + 1, self.opened + 1
-            sequence[i], offset[i] = number[k], self.capacity[0] - room[k, 0]
-            room[k] -= need
-        keep = np.flatnonzero(room[:n].min(1) >= 1) if n else np.zeros(0, int)
+            sequence[i], offset[i] = number[k], self.capacity[0] - room[0, k]
+            room[:, k] -= need
+        keep = np.flatnonzero(room[:, :n].min(0) >= 1)
         if len(keep) > self.open_bins:
-            keep = keep[np.argsort(-room[keep, 0], kind="stable")[: self.open_bins]]
-        self.room, self.number = room[keep].copy(), number[keep].copy()
+            keep = keep[np.argsort(-room[0, keep], kind="stable")[: self.open_bins]]
+        self.room, self.number = room[:, keep].copy(), number[keep].copy()
         return sequence, offset
 
 
