@@ -4,29 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import cube_mix, vector_pack
+from lacuna.llm import cotraining, cube_mix, superminhash, toxicity, vector_pack
 from lacuna.llm.common import stored, table
 from lacuna.llm.queries import vocabulary
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return cotraining.accepted(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def calm(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, on sets of five-word shingles."""
+    return superminhash.one_of_each(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return cube_mix.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the kept documents with their sequence and place."""
+    """The pieces of the documents with their sequence and place."""
     return vector_pack.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("mix", mix), ("pack", pack)]
+STAGES = [("quality", quality), ("toxicity", calm), ("near duplicates", distinct), ("mix", mix), ("pack", pack)]
 
-#: No stage can be expressed in SQL: they are fitted models, sketches and sampling.
+#: Fitted models, sketches, sampling and packing cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

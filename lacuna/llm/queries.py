@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import crosspolytope, cube_mix, rp_forest, superminhash, token_count, vector_pack
+from lacuna.llm import cotraining, crosspolytope, cube_mix, rp_forest, superminhash, token_count, toxicity, vector_pack
 from lacuna.llm.common import table
 
 
@@ -43,6 +43,12 @@ def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by both views and combined."""
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -53,7 +59,17 @@ def op9_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.search(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_cube_mix, op3_vector_pack, op4_superminhash, op6_rp_forest, op8_token_count, op9_crosspolytope)
+    f.__name__: f
+    for f in (
+        op2_cube_mix, op3_vector_pack, op4_superminhash, op6_rp_forest, op7_cotraining, op8_token_count, op9_crosspolytope,
+        op10_toxicity,
+    )
 }
 SQL: dict[str, str] = {}

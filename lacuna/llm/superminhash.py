@@ -247,14 +247,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group of near-duplicates.
+    """The rows of ``docs`` that stay: one document of each group of near-duplicates.
 
     Of repeated rows with one doc_id one stays; rows without a doc_id all stay.
     """
     ids = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    some = docs.filter("doc_id IS NOT NULL").join(ids, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
-    return some.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")) if _repeats(docs) else some.unionByName(docs.filter("doc_id IS NULL"))
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    some = docs.join(ids, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    # A group by doc_id of whole rows only where there are repeated ones.
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        some = some.dropDuplicates(["doc_id"])
+    return some.unionByName(docs.filter("doc_id IS NULL"))

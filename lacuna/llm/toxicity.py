@@ -2,12 +2,11 @@
 
 The kernel of two words sums, over their common three-letter subsequences, the decay to
 the power of the span in either word, scaled to 1 for a word with itself. A gapped or
-inserted letter lengthens a span and so lowers the value without losing the match. The
-kernel of a sentence and a landmark is that of the sentence's best word, and values under
-``floor`` count as 0.
+inserted letter lengthens a span and so lowers the value without losing the match. Values
+under ``floor`` count as 0, the others are raised to ``power``. The kernel of a sentence
+and a landmark is that of the sentence's best word.
 
-Landmarks are words that labelled toxic documents favour, and frequent words of the
-others. The Nyström map of the landmarks makes the kernel an inner product, on which a
+Landmarks are words that labelled toxic documents favour beyond chance. The Nyström map of the landmarks makes the kernel an inner product, on which a
 linear machine with a squared hinge is trained over labelled sentences: those of clean
 documents, and of a toxic document the one that is toxic under the machine of the round
 before. A document's score calibrates its two highest sentences.
@@ -50,7 +49,7 @@ def _subsequences(words: list[str], decay: float):
     at = np.array([c for c in combinations(range(n), 3) if c[2] - c[0] < SPAN], int).reshape(-1, 3)
     if not len(at):
         return None
-    letters = np.array([[ord(c) for c in w] for w in words], np.int64)
+    letters = np.array(words, f"U{n}").view(np.uint32).reshape(-1, n).astype(np.int64)
     codes = letters[:, at[:, 0]] << 42 | letters[:, at[:, 1]] << 21 | letters[:, at[:, 2]]
     return codes, (decay ** (at[:, 2] - at[:, 0] + 1)).astype(float)
 
@@ -70,7 +69,8 @@ class Kernel:
 
     landmarks: list[str]
     decay: float = 0.8
-    floor: float = 0.35
+    floor: float = 0.5
+    power: int = 3
 
     def __post_init__(self):
         features: dict[int, int] = {}
@@ -89,6 +89,7 @@ class Kernel:
         self.table = np.zeros((max(1, len(features)), len(self.landmarks)))
         for f, j, w in cells:
             self.table[order[f], j] += w
+        self.highest = self.table.max(1)
 
     def values(self, words: list[str]) -> list[np.ndarray | None]:
         """A vector of kernel values per word, None where all are under the floor."""
@@ -109,19 +110,25 @@ class Kernel:
                 found = np.searchsorted(self.codes, codes)
                 found[found == len(self.codes)] = 0
                 r, c = np.nonzero(self.codes[found] == codes)
+                # A word's norm is at least that of its weights, so these are upper bounds:
+                # first of all landmarks at once, then of each.
+                least = self.floor * np.sqrt((weights**2).sum())
+                hits = found[r, c]
+                some = np.bincount(r, weights[c] * self.highest[hits], len(part)) >= least
+                on = some[r]
+                r, c, hits = r[on], c[on], hits[on]
                 if not len(r):
                     continue
                 starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                sums = np.add.reduceat(self.table[found[r, c]] * weights[c][:, None], starts, axis=0)
-                # A word's norm is at least that of its weights, so this is an upper bound.
-                near = np.flatnonzero(sums.max(1) >= self.floor * np.sqrt((weights**2).sum()))
+                sums = np.add.reduceat(self.table[hits] * weights[c][:, None], starts, axis=0)
+                near = np.flatnonzero(sums.max(1) >= least)
                 if not len(near):
                     continue
                 which = r[starts[near]]
                 exact = sums[near] / _norms(codes[which], weights)[:, None]
                 for i, v in zip(which, exact, strict=True):
                     if v.max() >= self.floor:
-                        out[part[i]] = np.where(v >= self.floor, v, 0.0).astype(np.float32)
+                        out[part[i]] = (np.where(v >= self.floor, v, 0.0) ** self.power).astype(np.float32)
         return out
 
 
@@ -239,7 +246,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return text.join(F.broadcast(own), "doc_id").select("text", "toxic", (F.xxhash64("doc_id") % 4 == 0).alias("aside"))
 
 
-def _choose(learn: DataFrame, landmarks: int, background: int) -> tuple[list[str], int, int]:
+def _choose(learn: DataFrame, landmarks: int, least: float) -> tuple[list[str], int, int]:
     """Landmark words, and the numbers of clean and toxic documents."""
     totals = {r.toxic: r["count"] for r in learn.groupBy("toxic").count().collect()}
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
@@ -252,20 +259,27 @@ def _choose(learn: DataFrame, landmarks: int, background: int) -> tuple[list[str
                 yield pa.RecordBatch.from_pydict({"word": own, "toxic": pa.array([label] * len(own), pa.int32())})
 
     seen = learn.mapInArrow(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    # Favoured by toxic documents: seen in two, and clearly above the share in others.
-    bad = seen.filter("t >= 2").withColumn("gain", F.sqrt("t") * odds).filter(odds > 1.5).orderBy(F.col("gain").desc(), "word").limit(landmarks)
-    usual = seen.filter(F.length("word") >= 4).filter(odds < 0.5).orderBy(F.col("c").desc(), "word").limit(background)
-    return [r.word for r in bad.select("word").collect()] + [r.word for r in usual.select("word").collect()], clean, toxic
+    # Twice the log likelihood ratio of one share for both kinds against a share for each.
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
+    share = (t + c) / (clean + toxic)
 
+    def term(n, expected):
+        return F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int = 192, background: int = 32, rounds: int = 3, kept: int = 3) -> Model:
+    gain = 2 * (term(t, share * toxic) + term(c, share * clean) + term(toxic - t, (1 - share) * toxic) + term(clean - c, (1 - share) * clean))
+    bad = seen.withColumn("gain", gain).filter((t * clean > c * toxic) & (F.col("gain") >= least)).orderBy(F.col("gain").desc(), "word").limit(landmarks)
+    return [r.word for r in bad.select("word").collect()], clean, toxic
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int = 256, least: float = 20.0, rounds: int = 3, kept: int = 3, penalty: float = 1.0) -> Model:
     """Fit on at most ``sample`` labelled documents, with ``kept`` sentences of each.
 
+    At most ``landmarks`` words are landmarks, with a likelihood ratio of at least ``least``.
+
     Without labels of both kinds every score is the share of toxic labels (0 without any).
     """
     learn = _labelled(docs, labels, sample)
-    words, clean, toxic = _choose(learn, landmarks, background)
+    words, clean, toxic = _choose(learn, landmarks, least)
     rate = toxic / (clean + toxic) if clean + toxic else 0.0
     kernel = Kernel(words)
     if not clean or not toxic or not words:
@@ -296,11 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int
     witness = [s for s, t, a in zip(sets, label, aside, strict=True) if t and not a and len(s)]
     if not witness:
         return Model(kernel, np.zeros(0), 0.0, np.zeros(3), rate)
-    bad = [s[np.argmax(s[:, : max(1, width - background)].max(1))] for s in witness]
+    bad = [s[np.argmax(s.max(1))] for s in witness]
     for _ in range(rounds):
         x = np.vstack([calm, bad]) @ nystrom
         y = np.r_[-np.ones(len(calm)), np.ones(len(bad))]
-        w = squared_hinge(x, y, np.where(y > 0, len(calm) / len(bad), 1.0), 1.0)
+        w = squared_hinge(x, y, np.where(y > 0, len(calm) / len(bad), 1.0), penalty)
         beta, bias = nystrom @ w[:-1], float(w[-1])
         bad = [s[np.argmax(s @ beta)] for s in witness]
     model = Model(kernel, beta, bias, np.zeros(3), rate)
