@@ -10,8 +10,9 @@ Texts with the same shingle set are one node. Nodes that agree in a band share a
 A bucket does not emit its pairs: every member is compared with the bucket's smallest
 node, links are confirmed on full shingle sets, and components are formed. Only buckets
 that still hold more than one component go on: once with another, random pivot, and then
-members outside the bucket's largest component with the members of other components,
-which leaves no pair of a bucket out that could join two components. With 32 bands of 5
+members outside the bucket's largest component with the members of other components that
+their sizes, less the shingles nobody else has, allow as links. No pair of a bucket that
+could join two components is left out. With 32 bands of 5
 slots, two texts at a similarity of 0.8 share no bucket with a probability of 3e-6.
 """
 
@@ -190,6 +191,31 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & sizes).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, m): how many of a member's shingles any other member has."""
+    own = sets.join(members.select("node").distinct(), "node").select("node", F.explode("shingles").alias("x"))
+    alone = own.groupBy("x").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("u"))
+    return members.select("node", "n").distinct().join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+
+
+def _rest(able: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket and two components that can still be links.
+
+    An intersection is at most what either side can share, m; with sizes na and nb a link
+    needs percent * (na + nb - m) <= 100 * m. A member meets the sizes in its bucket first,
+    then only members of the sizes that pass.
+    """
+
+    def passes(m, na, nb):
+        return (m * (100 + percent) >= (na + nb) * percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+
+    few = able.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
+    sizes = able.groupBy("key", F.col("n").alias("nb")).agg(F.max("m").alias("most"))
+    met = few.join(sizes, "key").filter(passes(F.least("ma", "most"), F.col("na"), F.col("nb"))).drop("most")
+    all_ = able.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
+    return met.join(all_, ["key", "nb"]).filter((F.col("ca") != F.col("cb")) & passes(F.least("ma", "mb"), F.col("na"), F.col("nb")))
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
@@ -228,13 +254,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     comps = components(links)
 
     # What is left: members outside the largest component of their bucket with the others.
-    open_ = stored(_labelled(members.drop("pivot"), comps), "open")
+    open_ = _labelled(members.drop("pivot"), comps)
     parts = open_.groupBy("key", "comp").agg(F.count("*").alias("rows"))
     largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    outside = open_.join(largest.select("key", "main"), "key")
-    few = outside.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    rest = few.join(outside.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), "key").filter("ca <> cb")
-    third = _possible(rest, percent).join(first.union(second), ["a", "b"], "left_anti")
+    outside = stored(open_.join(largest.select("key", "main"), "key"), "outside")
+    able = stored(outside.join(_shareable(sets, outside), "node"), "able")
+    third = stored(_possible(_rest(able, percent), percent).join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = stored(links.union(_verified(third, sets, percent)), "links")
     comps = components(links)
 
