@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import cotraining, crosspolytope, cube_mix, rp_forest, superminhash, token_count, toxicity, vector_pack
+from lacuna.llm import brown, cotraining, crosspolytope, cube_mix, license_scan, rp_forest, superminhash, token_count, toxicity, vector_pack
 from lacuna.llm.common import table
 
 
@@ -23,6 +23,11 @@ def vocabulary(name: str) -> str:
         return os.path.join(DEFAULT_TOKENIZERS, name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared and inherited license of every document, laid out as a tree of files."""
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     return cube_mix.mix(table(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op4_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a class-based bigram model."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     return rp_forest.linked(table(spark, sf_dir, "embeddings"))
@@ -68,8 +78,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_cube_mix, op3_vector_pack, op4_superminhash, op6_rp_forest, op7_cotraining, op8_token_count, op9_crosspolytope,
-        op10_toxicity,
+        op1_license_scan, op2_cube_mix, op3_vector_pack, op4_superminhash, op5_brown, op6_rp_forest, op7_cotraining, op8_token_count,
+        op9_crosspolytope, op10_toxicity,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_license_scan": license_scan.SQL}
