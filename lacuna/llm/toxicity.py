@@ -43,19 +43,21 @@ def windows(word: str) -> list[str]:
     return [word[at : at + WINDOW] for at in range(0, len(word) - WINDOW + STEP, STEP)]
 
 
-def _subsequences(words: list[str], decay: float):
-    """For words of one length: codes of their subsequences (a row each) and their weights."""
-    n = len(words[0])
-    at = np.array([c for c in combinations(range(n), 3) if c[2] - c[0] < SPAN], int).reshape(-1, 3)
-    if not len(at):
-        return None
-    letters = np.array(words, f"U{n}").view(np.uint32).reshape(-1, n).astype(np.int64)
-    codes = letters[:, at[:, 0]] << 42 | letters[:, at[:, 1]] << 21 | letters[:, at[:, 2]]
-    return codes, (decay ** (at[:, 2] - at[:, 0] + 1)).astype(float)
+def _places(n: int) -> np.ndarray:
+    """Places of the three-letter subsequences of a word of ``n`` letters."""
+    return np.array([c for c in combinations(range(n), 3) if c[2] - c[0] < SPAN], int).reshape(-1, 3)
+
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.array(words, f"U{len(words[0])}").view(np.uint32).reshape(len(words), -1)
 
-def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Square root of each word's kernel with itself."""
+
+def _norms(words: list[str], decay: float) -> np.ndarray:
+    """Square root of each word's kernel with itself; the words have one length."""
+    at, letters = _places(len(words[0])), _letters(words).astype(np.int64)
+    codes = letters[:, at[:, 0]] << 42 | letters[:, at[:, 1]] << 21 | letters[:, at[:, 2]]
+    weights = decay ** (at[:, 2] - at[:, 0] + 1.0)
     out = np.empty(len(codes))
     for i, row in enumerate(codes):
         _, inverse = np.unique(row, return_inverse=True)
@@ -65,7 +67,11 @@ def _norms(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Kernel:
-    """Kernel values of words with all landmarks."""
+    """Kernel values of words with all landmarks.
+
+    Letters of the landmarks are numbered, so that a subsequence of three is a place in a
+    small cube, which tells the landmarks that have it.
+    """
 
     landmarks: list[str]
     decay: float = 0.8
@@ -73,23 +79,32 @@ class Kernel:
     power: int = 3
 
     def __post_init__(self):
-        features: dict[int, int] = {}
-        cells = []
+        self.landmarks = [w for w in self.landmarks if 3 <= len(w) <= WINDOW]
+        letters = sorted({c for w in self.landmarks for c in w})
+        self.base = len(letters) + 1
+        self.number = np.zeros(max([ord(c) for c in letters], default=0) + 2, np.int32)  # 0: in no landmark
+        for i, c in enumerate(letters):
+            self.number[ord(c)] = i + 1
+        cells: dict[int, dict[int, float]] = {}
         for j, word in enumerate(self.landmarks):
-            got = _subsequences([word], self.decay)
-            if got is None:
-                continue
-            codes, weights = got
-            norm = _norms(codes, weights)[0]
-            for c, w in zip(codes[0].tolist(), weights, strict=True):
-                cells.append((features.setdefault(c, len(features)), j, w / norm))
-        self.codes = np.sort(np.fromiter(features, np.int64, len(features)))
-        place = {c: i for i, c in enumerate(self.codes.tolist())}
-        order = [place[c] for c in features]
-        self.table = np.zeros((max(1, len(features)), len(self.landmarks)))
-        for f, j, w in cells:
-            self.table[order[f], j] += w
-        self.highest = self.table.max(1)
+            norm = _norms([word], self.decay)[0]
+            at = _places(len(word))
+            for code, w in zip(self._codes([word], at)[0].tolist(), self.decay ** (at[:, 2] - at[:, 0] + 1.0), strict=True):
+                own = cells.setdefault(code, {})
+                own[j] = own.get(j, 0.0) + w / norm
+        self.feature = np.full(self.base**3, -1, np.int32)
+        self.highest = np.zeros(self.base**3, np.float32)
+        self.first = np.zeros(len(cells) + 1, np.int64)
+        for f, (code, own) in enumerate(cells.items()):
+            self.feature[code], self.highest[code] = f, max(own.values())
+            self.first[f + 1] = self.first[f] + len(own)
+        self.landmark = np.array([j for own in cells.values() for j in own], np.int64)
+        self.value = np.array([v for own in cells.values() for v in own.values()])
+
+    def _codes(self, words: list[str], at: np.ndarray) -> np.ndarray:
+        """Place in the cube of every subsequence; one with a letter of no landmark is at a place with a 0."""
+        letters = self.number[np.minimum(_letters(words), len(self.number) - 1)]
+        return (letters[:, at[:, 0]] * self.base + letters[:, at[:, 1]]) * self.base + letters[:, at[:, 2]]
 
     def values(self, words: list[str]) -> list[np.ndarray | None]:
         """A vector of kernel values per word, None where all are under the floor."""
@@ -101,78 +116,93 @@ class Kernel:
             elif len(w) > WINDOW:
                 parts = [v for v in self.values(windows(w)) if v is not None]
                 out[i] = np.max(parts, axis=0) if parts else None
-        if not len(self.codes):
+        if not self.landmarks:
             return out
-        for rows in by_length.values():
-            for at in range(0, len(rows), 512):
-                part = rows[at : at + 512]
-                codes, weights = _subsequences([words[i] for i in part], self.decay)
-                found = np.searchsorted(self.codes, codes)
-                found[found == len(self.codes)] = 0
-                r, c = np.nonzero(self.codes[found] == codes)
-                # A word's norm is at least that of its weights, so these are upper bounds:
-                # first of all landmarks at once, then of each.
-                least = self.floor * np.sqrt((weights**2).sum())
-                hits = found[r, c]
-                some = np.bincount(r, weights[c] * self.highest[hits], len(part)) >= least
-                on = some[r]
-                r, c, hits = r[on], c[on], hits[on]
-                if not len(r):
+        for n, rows in by_length.items():
+            at = _places(n)
+            weights = self.decay ** (at[:, 2] - at[:, 0] + 1.0)
+            # A word's norm is at least that of its weights, so these are upper bounds:
+            # first of all landmarks at once, then of each.
+            least = self.floor * np.sqrt((weights**2).sum())
+            for k in range(0, len(rows), 2048):
+                part = rows[k : k + 2048]
+                codes = self._codes([words[i] for i in part], at)
+                some = np.flatnonzero(self.highest[codes] @ weights.astype(np.float32) >= least * 0.999)
+                if not len(some):
                     continue
-                starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                sums = np.add.reduceat(self.table[hits] * weights[c][:, None], starts, axis=0)
+                found = self.feature[codes[some]]
+                r, c = np.nonzero(found >= 0)
+                f = found[r, c]
+                many = self.first[f + 1] - self.first[f]
+                # Every hit once per landmark that has the subsequence.
+                each = np.repeat(np.arange(len(f)), many)
+                cell = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + self.first[f[each]]
+                width = len(self.landmarks)
+                sums = np.bincount(r[each] * width + self.landmark[cell], self.value[cell] * weights[c[each]], len(some) * width).reshape(-1, width)
                 near = np.flatnonzero(sums.max(1) >= least)
                 if not len(near):
                     continue
-                which = r[starts[near]]
-                exact = sums[near] / _norms(codes[which], weights)[:, None]
+                which = [part[i] for i in some[near]]
+                exact = sums[near] / _norms([words[i] for i in which], self.decay)[:, None]
                 for i, v in zip(which, exact, strict=True):
                     if v.max() >= self.floor:
-                        out[part[i]] = (np.where(v >= self.floor, v, 0.0) ** self.power).astype(np.float32)
+                        out[i] = (np.where(v >= self.floor, v, 0.0) ** self.power).astype(np.float32)
         return out
 
 
 class Reader:
     """Active sentences of texts: per sentence the best kernel value of each landmark."""
 
-    def __init__(self, kernel: Kernel, remembered: int = 300_000):
+    def __init__(self, kernel: Kernel, remembered: int = 400_000):
         self.kernel, self.remembered = kernel, remembered
-        self.known: dict[str, np.ndarray | None] = {}
+        self.known: dict[str, int] = {}  # -1: no value; else a row of vectors
+        self.vectors: list[np.ndarray] = []
 
     def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array (sentences with a value, landmarks) per text."""
         split = [(t or "").lower().split() for t in texts]
-        joined = [_spelled(ws) for ws in split]
-        new = list({w for ws in split for w in ws if w not in self.known} | {w for js in joined for w in js.values() if w not in self.known})
-        fresh = dict(zip(new, self.kernel.values([core(w) for w in new]), strict=True))
-        if len(self.known) + len(fresh) <= self.remembered:
-            self.known.update(fresh)
-            fresh = self.known
-        elif len(self.known) < self.remembered:
-            for w in new[: self.remembered - len(self.known)]:
-                self.known[w] = fresh[w]
+        spelled = [_spelled(ws) for ws in split]
         known = self.known.get
+        rows = [list(map(known, ws)) for ws in split]
+        new = list({w for ws, own in zip(split, rows, strict=True) if None in own for w, i in zip(ws, own, strict=True) if i is None} | {w for s in spelled for w in s.values() if w not in self.known})
+        fresh: dict[str, int] = {}
+        kept = len(self.vectors)
+        for w, v in zip(new, self.kernel.values([core(w) for w in new]), strict=True):
+            fresh[w] = -1 if v is None else len(self.vectors)
+            if v is not None:
+                self.vectors.append(v)
         out = []
-        for ws, js in zip(split, joined, strict=True):
-            hits = [(i, v) for i, w in enumerate(ws) if (v := known(w) if w in self.known else fresh.get(w)) is not None]
-            hits += [(i, v) for i, w in js.items() if (v := known(w) if w in self.known else fresh.get(w)) is not None]
-            if not hits:
-                out.append(np.zeros((0, len(self.kernel.landmarks)), np.float32))
-                continue
-            ends = np.fromiter((i for i, w in enumerate(ws) if w[-1] in ".!?"), np.int64)
-            sentence = np.searchsorted(ends, [i for i, _ in hits])
-            own, where = np.unique(sentence, return_inverse=True)
-            best = np.zeros((len(own), len(self.kernel.landmarks)), np.float32)
-            for s, (_, v) in zip(where, hits, strict=True):
-                np.maximum(best[s], v, out=best[s])
+        for ws, own, letters in zip(split, rows, spelled, strict=True):
+            if None in own:
+                own = [fresh[w] if i is None else i for w, i in zip(ws, own, strict=True)]
+            place = np.fromiter(own, np.int64, len(own))
+            hits = np.flatnonzero(place >= 0)
+            place = place[hits]
+            for i, w in letters.items():
+                k = self.known[w] if w in self.known else fresh[w]
+                if k >= 0:
+                    hits, place = np.r_[hits, i], np.r_[place, k]
+            best = np.zeros((0, len(self.kernel.landmarks)), np.float32)
+            if len(hits):
+                ends = np.flatnonzero([w[-1] in ".!?" for w in ws])
+                own_sentence, where = np.unique(np.searchsorted(ends, hits), return_inverse=True)
+                best = np.zeros((len(own_sentence), best.shape[1]), np.float32)
+                for s, k in zip(where, place, strict=True):
+                    np.maximum(best[s], self.vectors[k], out=best[s])
             out.append(best)
+        if len(self.known) + len(fresh) <= self.remembered:
+            self.known.update(fresh)
+        else:
+            del self.vectors[kept:]
         return out
 
 
 def _spelled(words: list[str]) -> dict[int, str]:
     """Words spelled out letter by letter, by the place of their first letter."""
-    single = [i for i, w in enumerate(words) if len(w) == 1 and w.isalnum()]
     out: dict[int, str] = {}
+    if len(words) < 3:
+        return out
+    single = [i for i, w in enumerate(words) if len(w) == 1 and w.isalnum()]
     at = 0
     while at < len(single):
         end = at
@@ -282,6 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int
     words, clean, toxic = _choose(learn, landmarks, least)
     rate = toxic / (clean + toxic) if clean + toxic else 0.0
     kernel = Kernel(words)
+    words = kernel.landmarks
     if not clean or not toxic or not words:
         return Model(kernel, np.zeros(0), 0.0, np.zeros(3), rate)
     width = len(words)
@@ -297,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int
                 })
 
     got = learn.select("text", "toxic", "aside").mapInArrow(features, "toxic int, aside boolean, sentences binary").collect()
-    got.sort(key=lambda r: (r.toxic, r.aside, bytes(r.sentences)))
+    got.sort(key=lambda r: (r.toxic, r.aside, bytes(r.sentences)))  # the sums of the fit then never differ
     sets = [np.frombuffer(r.sentences, "<f4").reshape(-1, width).astype(float) for r in got]
     label, aside = np.array([r.toxic for r in got]), np.array([r.aside for r in got])
     values = kernel.values(words)
