@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import remainder, rows_of
 
 WINDOW, STEP, SPAN = 16, 8, 7
+#: What an inserted letter leaves of a kernel value to the power of 2.
+GAPPED = 0.55
 INNER = re.compile(r"[\W_]+")
 
 
@@ -76,7 +78,7 @@ class Kernel:
     landmarks: list[str]
     decay: float = 0.8
     floor: float = 0.5
-    power: int = 3
+    power: int = 2
 
     def __post_init__(self):
         self.landmarks = [w for w in self.landmarks if 3 <= len(w) <= WINDOW]
@@ -255,7 +257,8 @@ class Model:
     rate: float  # score without a model
 
     def summary(self, sentences: np.ndarray) -> tuple[float, float]:
-        f = np.sort(np.r_[self.bias, self.bias, sentences @ self.beta + self.bias])[::-1]
+        # A sentence beyond the margin is no surer: else it would push the calibration away from the margin.
+        f = np.sort(np.minimum(1.0, np.r_[self.bias, self.bias, sentences @ self.beta + self.bias]))[::-1]
         return float(f[0]), float(f[1])
 
     def score(self, sentences: np.ndarray) -> float:
@@ -343,9 +346,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int
         return Model(kernel, np.zeros(0), 0.0, np.zeros(3), rate)
     bad = [s[np.argmax(s.max(1))] for s in witness]
     for _ in range(rounds):
-        x = np.vstack([calm, bad]) @ nystrom
-        y = np.r_[-np.ones(len(calm)), np.ones(len(bad))]
-        w = squared_hinge(x, y, np.where(y > 0, len(calm) / len(bad), 1.0), penalty)
+        # Each toxic sentence is also shown as if a letter were inserted into its insult.
+        x = np.vstack([calm, bad, GAPPED * np.array(bad)]) @ nystrom
+        y = np.r_[-np.ones(len(calm)), np.ones(2 * len(bad))]
+        w = squared_hinge(x, y, np.where(y > 0, len(calm) / len(bad) / 2, 1.0), penalty)
         beta, bias = nystrom @ w[:-1], float(w[-1])
         bad = [s[np.argmax(s @ beta)] for s in witness]
     model = Model(kernel, beta, bias, np.zeros(3), rate)
