@@ -54,7 +54,7 @@ def nearest_axes(x: np.ndarray, table: int, seed: int, axes: int, probes: int) -
 
 
 def search(
-    vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 6, axes: int = 16, probes: int = 6, block: int = 8192, seed: int = 7,
+    vectors: DataFrame, every: int = 20, k: int = 20, tables: int = 8, axes: int = 16, probes: int = 6, block: int = 8192, seed: int = 7,
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows of each query, ties to the smaller vec_id.
@@ -88,6 +88,7 @@ def search(
     short = asked.select("vec_id", "embedding", "dim").join(
         found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")), "vec_id", "left"
     ).filter(F.coalesce("n", F.lit(0)) < k).drop("n")
+    short = stored(short, "short")
     if short.limit(1).count():
         parts = max(1, -(-sum(total.values()) // block))
         base = good.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
