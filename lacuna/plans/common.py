@@ -14,9 +14,9 @@ VARS = list(T.VARIABLES)
 
 
 def r(c: str | Column, digits: int = 4) -> Column:
-    """Rounded for comparison. The offset moves exact halves, which engines round
-    differently, off the boundary."""
-    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(2e-7), digits)
+    """Rounded for comparison. The offset, a ten-thousandth of the last digit, moves exact
+    halves, which engines round differently, off the boundary."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(10.0 ** -(digits + 4)), digits)
 
 
 def rr(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
@@ -24,7 +24,7 @@ def rr(df: DataFrame, *cols: str, digits: int = 4) -> DataFrame:
 
 
 def R(x: str, digits: int = 4) -> str:
-    return f"round(({x}) + 2e-7, {digits})"
+    return f"round(({x}) + 1e-{digits + 4}, {digits})"
 
 
 # --- Spark ---------------------------------------------------------------------

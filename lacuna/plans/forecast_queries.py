@@ -247,12 +247,12 @@ def risk_colour(spark: SparkSession, sf: str) -> DataFrame:
     return lv.groupBy(F.lower(x).alias("level"), E.risk_colour(x).alias("colour"), E.risk_key(x).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_(*ROWS, "sm AS (SELECT *, lower(risk_level) AS l, round(confidence * 100 + 2e-7, 1) AS conf FROM fc)", f"sk AS (SELECT *, {KEY} AS key FROM sm)")
+@query(with_(*ROWS, "sm AS (SELECT *, lower(risk_level) AS l, round(confidence * 100 + 1e-5, 1) AS conf FROM fc)", f"sk AS (SELECT *, {KEY} AS key FROM sm)")
 + f"""SELECT {RUN} AS run_date, count(*) AS total_locations, {', '.join(f"CAST(sum(CASE WHEN key = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c}" for c in ('green', 'yellow', 'orange', 'red'))},
-  round(avg(conf) + 2e-7, 1) AS average_confidence, round(avg(observed_ratio), 1) AS data_quality_avg, CAST(sum(CASE WHEN key IN ('red', 'orange') THEN 1 ELSE 0 END) AS BIGINT) AS elevated_locations FROM sk""")
+  round(avg(conf) + 1e-5, 1) AS average_confidence, round(avg(observed_ratio), 1) AS data_quality_avg, CAST(sum(CASE WHEN key IN ('red', 'orange') THEN 1 ELSE 0 END) AS BIGINT) AS elevated_locations FROM sk""")
 def forecast_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows = forecast_rows(spark, sf).select(
-        "location", "risk_level", F.concat(F.round(F.col("confidence") * 100 + 2e-7, 1).cast("string"), F.lit("%")).alias("confidence"),
+        "location", "risk_level", F.concat(F.round(F.col("confidence") * 100 + 1e-5, 1).cast("string"), F.lit("%")).alias("confidence"),
         F.col("observed_ratio").alias("quality_score"), run_date(spark, sf).alias("run_date"),
     )
     return FC.summary(rows)
@@ -263,7 +263,7 @@ def high_risk_sites(spark: SparkSession, sf: str) -> DataFrame:
     return FC.elevated_sites(forecast_rows(spark, sf)).select("location", "risk_level")
 
 
-@query(with_(*HORIZON, f"cd AS (SELECT location, forecast_day - 1 AS day, CAST(date AS DATE) AS date, {ladder_sql('p', E.HORIZON_LADDER, 'Low Risk', '>')} AS risk_level, round(c + 2e-7, 4) AS confidence FROM hz WHERE forecast_day <= 3 + length(location) % 4)",
+@query(with_(*HORIZON, f"cd AS (SELECT location, forecast_day - 1 AS day, CAST(date AS DATE) AS date, {ladder_sql('p', E.HORIZON_LADDER, 'Low Risk', '>')} AS risk_level, round(c + 1e-8, 4) AS confidence FROM hz WHERE forecast_day <= 3 + length(location) % 4)",
 "mx AS (SELECT location, max(day) AS md FROM cd GROUP BY 1)", "sp AS (SELECT mx.location, md, unnest(generate_series(0, 7))::INTEGER AS day FROM mx)")
 + "SELECT sp.location, sp.day, CAST(cd.date + greatest(sp.day - md, 0) AS DATE) AS date, cd.risk_level, cd.confidence FROM sp JOIN cd ON cd.location = sp.location AND cd.day = least(sp.day, md)")
 def outlook_pad(spark: SparkSession, sf: str) -> DataFrame:

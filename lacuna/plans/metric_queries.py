@@ -113,7 +113,7 @@ def auc_sql(by: str, src: str, name: str = "auc") -> str:
 
 
 EVENTS = [
-    *FILLS, "bal AS (SELECT method, truth, round(filled + 2e-7, 4) AS filled FROM fills WHERE variable = 'balance' AND filled IS NOT NULL)",
+    *FILLS, "bal AS (SELECT method, truth, round(filled + 1e-8, 4) AS filled FROM fills WHERE variable = 'balance' AND filled IS NOT NULL)",
     f"ev AS (SELECT method, CASE WHEN truth >= {EVENT} THEN 1 ELSE 0 END AS label, CASE WHEN filled >= {EVENT} THEN 1 ELSE 0 END AS pred, filled AS prob FROM bal)",
     scores_sql("method", "bal", "err"), auc_sql("method", "ev"),
     """f1 AS (SELECT method, coalesce(2.0::DOUBLE * sum(label * pred) / nullif(sum(label) + sum(pred), 0), 0) AS f1 FROM ev GROUP BY 1)""",
@@ -291,7 +291,7 @@ def site_correlation(spark: SparkSession, sf: str) -> DataFrame:
 HIST = ", ".join(f"CAST(sum(CASE WHEN b = {i} THEN 1 ELSE 0 END) AS BIGINT) AS bin_{i}" for i in range(10))
 
 
-@query(with_(*FILLS, "e AS (SELECT method, variable, round(abs(truth - filled) + 2e-7, 4) AS err FROM fills WHERE filled IS NOT NULL)", "h AS (SELECT *, least(greatest(floor((err - 0.0) / 100.0::DOUBLE), 0), 9) AS b FROM e)")
+@query(with_(*FILLS, "e AS (SELECT method, variable, round(abs(truth - filled) + 1e-8, 4) AS err FROM fills WHERE filled IS NOT NULL)", "h AS (SELECT *, least(greatest(floor((err - 0.0) / 100.0::DOUBLE), 0), 9) AS b FROM e)")
 + f"SELECT method, variable, {R('avg(err)')} AS mean, {HIST}, {R('quantile_cont(err, 0.25)')} AS q1, {R('quantile_cont(err, 0.5)')} AS median, {R('quantile_cont(err, 0.75)')} AS q3 FROM h GROUP BY 1, 2")
 def error_distribution(spark: SparkSession, sf: str) -> DataFrame:
     e = study.fills(spark, sf).select("method", "variable", r(F.abs(F.col("truth") - F.col("filled"))).alias("err"))

@@ -212,7 +212,7 @@ def ens_fixed_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(
     *SCORED, LIVE, *AUCW, f"sv AS (SELECT {S}, avg(prob) AS prob FROM probs GROUP BY {S})",
-    f"strat AS (SELECT 'soft_vote' AS name, {S}, round(prob + 2e-7, 6) AS prob FROM sv UNION ALL SELECT 'weighted_avg', {S}, round(prob + 2e-7, 6) FROM aens)", *binary_sql("name, split_num", "strat"),
+    f"strat AS (SELECT 'soft_vote' AS name, {S}, round(prob + 1e-10, 6) AS prob FROM sv UNION ALL SELECT 'weighted_avg', {S}, round(prob + 1e-10, 6) FROM aens)", *binary_sql("name, split_num", "strat"),
 ) + f"SELECT name, split_num, n, {rounded_sql(*BINARY)} FROM bin")
 def ens_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     p = T.scores(spark, sf)

@@ -69,14 +69,24 @@ def latest_snapshot(df: DataFrame, run_date: str = "run_date") -> DataFrame:
     return df.filter(F.col(run_date) == newest)
 
 
-GEOMETRY = "struct<type:string,coordinates:array<array<array<double>>>>"
-FEATURES = f"struct<type:string,features:array<struct<properties:struct<name:string>,geometry:{GEOMETRY}>>>"
+FEATURES = (
+    "struct<type:string,features:array<struct<"
+    "properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
+)
 
 
 def parse_geojson(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per polygon feature: site name and outer ring of [lon, lat] points."""
+    """One row per feature: site name (``Name`` or ``name``) and outer ring of [lon, lat] points.
+
+    A point is a ring of one point, so that its box is the point itself; a geometry of
+    another kind has no ring.
+    """
     f = F.explode(F.from_json(text, FEATURES).features).alias("f")
-    return df.select(f).select(F.col("f.properties.name").alias("site"), F.get("f.geometry.coordinates", 0).alias("ring"))
+    kind, place = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    polygon = F.get(F.from_json(place, "array<array<array<double>>>"), 0)
+    ring = F.when(kind == "Polygon", polygon).when(kind == "Point", F.array(F.from_json(place, "array<double>")))
+    properties = F.col("f.properties")
+    return df.select(f).select(F.coalesce(properties.getItem("Name"), properties.getItem("name")).alias("site"), ring.alias("ring"))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:

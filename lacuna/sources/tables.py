@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 VARIABLES = ("balance", "n_orders", "total")
 SHIP_VARIABLES = ("discount", "price", "quantity", "tax")
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Its footer is read for the schema once, not at every use."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A driver table, with the schema it has now."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -189,3 +189,14 @@ def test_split_summary_counts_and_orders(spark):
     out = reports.split_summary(df, "m", ("auc", "f1"), [F.col("auc_mean").desc_nulls_last()])
     got = {r["m"]: (r["rank"], r["n_splits"], r["auc_std"]) for r in out.collect()}
     assert got["y"][0] == 1 and got["x"] == (2, 2, pytest.approx(0.1414213562)) and got["z"][0] == 3 and got["y"][2] is None
+
+
+def test_rounding_moves_exact_halves_only(spark):
+    import random
+
+    from lacuna.plans.common import rr
+
+    rng = random.Random(3)
+    values = [rng.random() for _ in range(2000)]
+    rows = rr(spark.createDataFrame([(v, v) for v in values], "v double, x double"), "x", digits=6).collect()
+    assert all(r["x"] == round(r["v"], 6) for r in rows if abs(r["v"] * 1e6 % 1 - 0.5) > 2e-4)

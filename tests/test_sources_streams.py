@@ -54,6 +54,19 @@ def test_geojson(spark, tmp_path):
     assert got["s1"][1] == [3.0, 2.0] and len(got["s2"]) == 3
 
 
+def test_geojson_points_and_other_spellings(spark):
+    text = '{"type":"FeatureCollection","features":[{"properties":{"Name":"p","depth":3},"geometry":{"type":"Point","coordinates":[120.5,14.25]}},{"properties":{"name":"line"},"geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]}}]}'
+    rows = files.parse_geojson(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(r["site"], r["ring"]) for r in rows] == [("p", [[120.5, 14.25]]), ("line", None)]
+
+
+def test_table_is_read_as_it_is_now(spark):
+    path = fresh_path(spark, "changing")
+    for schema in ("a int", "a int, b string"):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/t.parquet")
+        assert tables.table(spark, path, "t").columns == [c.split()[0] for c in schema.split(", ")]
+
+
 def test_new_locations_follow_the_greatest_id_and_repeat_nothing(spark):
     dim = spark.createDataFrame([(7, "x")], "location_id int, location_name string")
     names = spark.createDataFrame([("x",), ("y",), ("z",), ("y",)], "location_name string")
