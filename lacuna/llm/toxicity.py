@@ -67,7 +67,7 @@ def _norms(words: list[str], decay: float) -> np.ndarray:
     return out
 
 
-@dataclass
+@dataclass(eq=False)
 class Kernel:
     """Kernel values of words with all landmarks.
 
@@ -103,6 +103,9 @@ class Kernel:
         self.landmark = np.array([j for own in cells.values() for j in own], np.int64)
         self.value = np.array([v for own in cells.values() for v in own.values()])
 
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Kernel) and (self.landmarks, self.decay, self.floor, self.power) == (other.landmarks, other.decay, other.floor, other.power)
+
     def _codes(self, words: list[str], at: np.ndarray) -> np.ndarray:
         """Place in the cube of every subsequence; one with a letter of no landmark is at a place with a 0."""
         letters = self.number[np.minimum(_letters(words), len(self.number) - 1)]
@@ -189,7 +192,7 @@ class Reader:
                 ends = np.flatnonzero([w[-1] in ".!?" for w in ws])
                 own_sentence, where = np.unique(np.searchsorted(ends, hits), return_inverse=True)
                 best = np.zeros((len(own_sentence), best.shape[1]), np.float32)
-                for s, k in zip(where, place, strict=True):
+                for s, k in zip(where.tolist(), place.tolist(), strict=True):
                     np.maximum(best[s], self.vectors[k], out=best[s])
             out.append(best)
         if len(self.known) + len(fresh) <= self.remembered:
@@ -199,6 +202,16 @@ class Reader:
         return out
 
 
+_READER: list[Reader] = []
+
+
+def reader_of(kernel: Kernel) -> Reader:
+    """A worker's reader: what it remembers of words serves its next tasks."""
+    if not _READER or _READER[0].kernel != kernel:
+        _READER[:] = [Reader(kernel)]
+    return _READER[0]
+
+
 def _spelled(words: list[str]) -> dict[int, str]:
     """Words spelled out letter by letter, by the place of their first letter."""
     out: dict[int, str] = {}
@@ -321,7 +334,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, landmarks: int
     width = len(words)
 
     def features(batches):
-        reader = Reader(kernel)
+        reader = reader_of(kernel)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -370,7 +383,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """
 
     def scored(batches):
-        reader = Reader(model.kernel)
+        reader = reader_of(model.kernel)
         for batch in batches:
             ids, scores = batch.column("doc_id").to_pylist(), []
             for at in range(0, batch.num_rows, 256):
@@ -389,7 +402,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     at = docs.columns.index("text")
 
     def passed(batches):
-        reader = Reader(model.kernel)
+        reader = reader_of(model.kernel)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
