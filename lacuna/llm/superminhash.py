@@ -10,8 +10,8 @@ Texts with the same shingle set are one node. Nodes that agree in a band share a
 A bucket does not emit its pairs: every member is compared with the bucket's smallest
 node, links are confirmed on full shingle sets, and components are formed. Only buckets
 that still hold more than one component go on: once with another, random pivot, and then
-members outside the bucket's largest component with the members of other components that
-their sizes, less the shingles nobody else has, allow as links. No pair of a bucket that
+members outside the bucket's largest component with members of other components, as far as
+the rarest shingle that both have, and their sizes, allow a link. No pair of a bucket that
 could join two components is left out. With 32 bands of 5
 slots, two texts at a similarity of 0.8 share no bucket with a probability of 3e-6.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm.common import components, rows_of, stored, word_bytes
@@ -191,29 +191,32 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((F.col("a") != F.col("b")) & sizes).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _shareable(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, m): how many of a member's shingles any other member has."""
-    own = sets.join(members.select("node").distinct(), "node").select("node", F.explode("shingles").alias("x"))
-    alone = own.groupBy("x").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("u"))
-    return members.select("node", "n").distinct().join(alone, "node", "left").select("node", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m"))
+def _rest(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of two components that can still be links, one of them outside its bucket's largest component.
 
-
-def _rest(able: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and two components that can still be links.
-
-    An intersection is at most what either side can share, m; with sizes na and nb a link
-    needs percent * (na + nb - m) <= 100 * m. A member meets the sizes in its bucket first,
-    then only members of the sizes that pass.
+    All shingles of the members are put in one order, rare ones first. If the first
+    shingle that two sets share is number i in one and j in the other, they share at most
+    na - i + 1 and nb - j + 1; a link needs 100 * shared >= percent * (na + nb - shared).
+    Variants of one text differ in rare shingles, so few pairs pass. A shingle meets the
+    sizes of the sets that have it first, then only the sets of sizes that pass.
     """
+    own = outside.groupBy("node").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("few"))
+    rows = sets.join(own, "node").select("node", "n", "comp", "few", F.explode("shingles").alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1")
+    by = Window.partitionBy("node")
+    # Shingles that no other member has come first, and need no row.
+    place = F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("k", "x"))
+    ranked = rows.join(shared, "x").withColumn("top", F.col("n") - place + 1).filter(F.col("top") * 100 >= F.col("n") * percent)
+    ranked = stored(ranked.select("x", "node", "n", "comp", "few", "top"), "ranked")
 
-    def passes(m, na, nb):
-        return (m * (100 + percent) >= (na + nb) * percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+    def passes(top, na, nb):
+        return (top * (100 + percent) >= (na + nb) * percent) & (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
 
-    few = able.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-    sizes = able.groupBy("key", F.col("n").alias("nb")).agg(F.max("m").alias("most"))
-    met = few.join(sizes, "key").filter(passes(F.least("ma", "most"), F.col("na"), F.col("nb"))).drop("most")
-    all_ = able.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
-    return met.join(all_, ["key", "nb"]).filter((F.col("ca") != F.col("cb")) & passes(F.least("ma", "mb"), F.col("na"), F.col("nb")))
+    few = ranked.filter("few").select("x", F.col("node").alias("a"), F.col("n").alias("na"), F.col("top").alias("ta"), F.col("comp").alias("ca"))
+    sizes = ranked.groupBy("x", F.col("n").alias("nb")).agg(F.max("top").alias("most"))
+    met = few.join(sizes, "x").filter(passes(F.least("ta", "most"), F.col("na"), F.col("nb"))).drop("most")
+    every = ranked.select("x", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("top").alias("tb"), F.col("comp").alias("cb"))
+    return met.join(every, ["x", "nb"]).filter((F.col("ca") != F.col("cb")) & passes(F.least("ta", "tb"), F.col("na"), F.col("nb")))
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -258,8 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     parts = open_.groupBy("key", "comp").agg(F.count("*").alias("rows"))
     largest = parts.groupBy("key").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     outside = stored(open_.join(largest.select("key", "main"), "key"), "outside")
-    able = stored(outside.join(_shareable(sets, outside), "node"), "able")
-    third = stored(_possible(_rest(able, percent), percent).join(first.union(second), ["a", "b"], "left_anti"), "pairs")
+    third = stored(_possible(_rest(outside, sets, percent), percent).join(first.union(second), ["a", "b"], "left_anti"), "pairs")
     links = stored(links.union(_verified(third, sets, percent)), "links")
     comps = components(links)
 
