@@ -1,14 +1,16 @@
 import corpus_pipeline
 from lacuna.llm import queries
-from lacuna.llm.common import components
+from lacuna.llm.common import components, stored
 from tests_llm_helpers import reached
 
 
-def test_stages_take_effect(spark, sf, docs):
+def test_stages_take_effect(spark):
+    sf = "/root/testdata/sf0.01"  # large enough to learn the toxic words from its labels
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = {}
     frame = docs
     for name, stage in corpus_pipeline.STAGES:
-        before, frame = frame, stage(spark, frame, sf)
+        before, frame = frame, stored(stage(spark, frame, sf), "stage")
         held[name] = frame.count()
         if name != "pack":
             assert frame.columns == docs.columns and dict(frame.dtypes) == dict(docs.dtypes)
