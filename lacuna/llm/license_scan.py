@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.llm.common import stored
+
 # Usual notice lines by license.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,12 +46,11 @@ def _terms(line: Column) -> Column:
 
 def match_lines(lines: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
     """(line, license, score) of the distinct ``lines`` whose best cosine reaches the threshold."""
-    every = lines.select("line").union(templates.select("line")).distinct()
+    every = stored(lines.select("line").union(templates.select("line")).distinct(), "lines")
     counts = every.select("line", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    total = every.agg(F.count("*").alias("n"))
+    total = every.select(F.count("*")).scalar()
     seen = counts.groupBy("term").agg(F.count("*").alias("df"))
-    # One row of one number.
-    idf = seen.join(F.broadcast(total)).select("term", (F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    idf = seen.select("term", (F.log((total + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     weights = counts.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     aims = templates.join(weights, "line").join(norms, "line").select("license", F.col("line").alias("template"), "term", F.col("w").alias("tw"), F.col("norm").alias("tn"))
@@ -73,6 +74,7 @@ def scan(files: DataFrame, threshold: float = 0.6, licence_file: Column | None =
     speaks = F.col("name").rlike(LICENSE_NAMES) if licence_file is None else licence_file
     own = files.withColumns({"directory": F.coalesce("directory", F.lit("")), "name": F.coalesce("name", F.lit(""))})
     candidates = own.select("directory", "name", F.coalesce(speaks, F.lit(False)).alias("speaks"), F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(ANCHORS))
+    candidates = stored(candidates, "candidates")  # the texts are read once
     best = match_lines(candidates.select("line").distinct(), _templates(files.sparkSession, templates), threshold)
     pick = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
     declared = candidates.join(best, "line").groupBy("directory", "name").agg(pick, F.max("speaks").alias("speaks"))
