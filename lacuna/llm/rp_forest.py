@@ -1,14 +1,18 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits the vectors along random directions at the median. Splits overlap: a
-vector whose projection lies within the ``spill`` share around the median goes to both
-sides, so a close pair is parted only if it straddles the whole overlap. Vectors are
-compared within the leaves of every tree; a pair found in any tree and confirmed in
-double precision is a link.
-
-The upper levels of the trees are fitted on a bounded sample; every vector is sent
-through them, and the leaves' rows, grouped by Spark, are split further inside tasks
-until they are small.
+Every tree splits the vectors along random directions at the median. Splits overlap by a
+width in the projection, ``spill`` times the chord of the threshold, whatever the ranks: a
+close pair is parted only if its projections lie further apart than that. Where the
+overlap would hold more than a quarter of the vectors, as inside a dense group, the tree
+stops: no split parts such vectors cheaply without parting links. Vectors are compared in
+double precision within the leaves of every tree, and a leaf of more than ``block``
+vectors is dealt out as pairs of blocks.
+
+A pair counts in the first leaf that holds both: every vector carries the list of its
+leaves, so degrees are sums over blocks and no table of all links is made. For the
+components a block hands over a star for each group it links.
+
+The trees are fitted on a bounded sample; every vector is sent through them.
 """
 
 from __future__ import annotations
@@ -25,26 +29,29 @@ from lacuna.llm.common import components, stored
 from lacuna.llm.vectors import matrix, usable
 
 Thresholds = dict[int, tuple[float, float]]
+#: A node whose overlap holds a larger share is a leaf; nodes lie at most this deep.
+OVERLAP, DEPTH = 0.25, 50
 
 
 def direction(tree: int, node: int, dim: int) -> np.ndarray:
     return np.random.default_rng([tree, node & 0xFFFFFFFF, node >> 32, dim]).standard_normal(dim)
 
 
-def fit(sample: np.ndarray, tree: int, leaf: int, spill: float) -> Thresholds:
+def fit(sample: np.ndarray, tree: int, leaf: int, width: float) -> Thresholds:
     """Bounds of the overlap at every inner node; node 1 is the root, 2k and 2k + 1 its sides."""
     out: Thresholds = {}
     todo = [(1, sample)]
     while todo:
         node, x = todo.pop()
-        if len(x) <= leaf:
+        if len(x) <= leaf or node >> DEPTH:
             continue
         p = x @ direction(tree, node, x.shape[1])
-        lo, hi = np.quantile(p, [0.5 - spill, 0.5 + spill])
+        middle = float(np.median(p))
+        lo, hi = middle - width / 2, middle + width / 2
         left, right = p <= hi, p >= lo
-        if max(left.sum(), right.sum()) >= len(x):
+        if left.sum() + right.sum() > (1 + OVERLAP) * len(x) or max(left.sum(), right.sum()) >= len(x):
             continue
-        out[node] = (float(lo), float(hi))
+        out[node] = (lo, hi)
         todo += [(2 * node, x[left]), (2 * node + 1, x[right])]
     return out
 
@@ -64,20 +71,59 @@ def route(x: np.ndarray, tree: int, bounds: Thresholds) -> Iterator[tuple[int, n
         todo += [(2 * node, rows[p <= hi]), (2 * node + 1, rows[p >= lo])]
 
 
-def close_pairs(unit: np.ndarray, cosine: float, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers i < j of unit vectors whose cosine is at least ``cosine``."""
-    found = []
-    for at in range(0, len(unit), block):
-        s = unit[at : at + block] @ unit[at:].T
-        i, j = np.nonzero(s >= cosine)
-        keep = i < j
-        found.append((i[keep] + at, j[keep] + at))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+def groups(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Components of a table of links between its rows and its columns, each named by a row; -1 has no link."""
+    left, right = np.full(link.shape[0], -1), np.full(link.shape[1], -1)
+    for start in np.flatnonzero(link.any(1)):
+        if left[start] >= 0:
+            continue
+        left[start] = start
+        new = np.array([start])
+        while len(new):
+            reached = np.flatnonzero(link[new].any(0) & (right < 0))
+            right[reached] = start
+            new = np.flatnonzero(link[:, reached].any(1) & (left < 0))
+            left[new] = start
+    return left, right
+
+
+def _padded(lists: list[np.ndarray], missing: int) -> np.ndarray:
+    out = np.full((len(lists), max(map(len, lists))), missing, np.int64)
+    for row, own in zip(out, lists, strict=True):
+        row[: len(own)] = own
+    return out
+
+
+def first_met(link: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], leaf: int) -> np.ndarray | None:
+    """The links of vectors that share no leaf before ``leaf``; None if all pairs share one."""
+    a, b = [x[x < leaf] for x in a], [x[x < leaf] for x in b]
+    (ca, na), (cb, nb) = (np.unique(np.concatenate(x), return_counts=True) for x in (a, b))
+    shared, ia, ib = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
+    if not len(shared):
+        return link
+    if ((na[ia] == len(a)) & (nb[ib] == len(b))).any():
+        return None
+    wide_a, wide_b = _padded(a, -1), _padded(b, -2)
+    if np.count_nonzero(link) * wide_a.shape[1] * wide_b.shape[1] < link.size * len(shared):
+        out = link.copy()
+        i, j = np.nonzero(link)
+        for at in range(0, len(i), 4096):
+            x, y = wide_a[i[at : at + 4096]], wide_b[j[at : at + 4096]]
+            out[i[at : at + 4096], j[at : at + 4096]] = ~(x[:, :, None] == y[:, None, :]).any((1, 2))
+        return out
+    in_a, in_b = ((np.searchsorted(shared, w), np.isin(w, shared)) for w in (wide_a, wide_b))
+    marks = []
+    for place, hit in (in_a, in_b):
+        m = np.zeros((len(place), len(shared)), np.float32)
+        r, c = np.nonzero(hit)
+        m[r, place[r, c]] = 1
+        marks.append(m)
+    return link & (marks[0] @ marks[1].T < 0.5)
 
 
 def linked(
-    vectors: DataFrame, cosine: float = 0.95, trees: int = 8, leaf: int = 1024, spill: float = 0.06, sample: int = 65_536, vec_id: str = "vec_id",
-    embedding: str = "embedding",
+    vectors: DataFrame, cosine: float = 0.95, trees: int = 8, leaf: int = 1024, spill: float = 1.0, sample: int = 65_536, block: int = 4096,
+    vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -91,22 +137,24 @@ def linked(
     reps = stored(good.groupBy("embedding", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
     reps = reps.withColumn("node", F.xxhash64("rep", "embedding"))
     sizes = {r.dim: r.rows for r in reps.groupBy("dim").agg(F.count("*").alias("rows")).collect()}
-    pairs = None
+    met = None
+    width = spill * float(np.sqrt(2 - 2 * cosine))
     for dim, rows in sizes.items():
         own = reps.filter(F.col("dim") == dim)
         fitted = own.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()
         x = _unit(matrix(fitted.column(0)))
-        small = max(64, min(leaf, leaf * len(x) // rows))
-        forest = [fit(x, t, small, spill) for t in range(trees)]
-        found = _leaves(own, forest).groupBy("tree", "leaf").applyInPandas(_comparer(cosine, leaf, spill), "a long, b long")
-        pairs = found if pairs is None else pairs.union(found)
-    if pairs is None:
-        pairs = spark.createDataFrame([], "a long, b long")
-    pairs = stored(pairs.distinct(), "pairs")
-    comps = components(pairs)
+        small = max(16, min(leaf, leaf * len(x) // rows))
+        forest = [fit(x, t, small, width) for t in range(trees)]
+        if not all(forest):
+            forest = [{}]  # one leaf holds all vectors, and meets every pair
+        found = _dealt(stored(_leaves(own, forest), "leaves"), block).groupBy("leaf", "one", "two").applyInPandas(_comparer(cosine), MET)
+        met = found if met is None else met.union(found)
+    if met is None:
+        met = spark.createDataFrame([], MET)
+    met = stored(met, "met")
+    comps = components(met.filter("b IS NOT NULL").select("a", "b"))
     key = reps.select("node", "rep", "copies")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.join(key.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    counts = met.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others"))
     least = comps.join(key, "node").groupBy("component").agg(F.min("rep").alias("least"))
     labels = reps.join(counts, "node", "left").join(comps, "node", "left").join(least, "component", "left")
     labels = labels.select(
@@ -128,33 +176,72 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _leaves(reps: DataFrame, forest: list[Thresholds]) -> DataFrame:
+    """(node, copies, unit, leaves): every vector with its leaves in all trees, in order."""
+
     def sent(batches):
         for batch in batches:
-            node = batch.column("node").to_numpy()
             x = _unit(matrix(batch.column("embedding")))
+            leaves: list[list[int]] = [[] for _ in x]
             for tree, bounds in enumerate(forest):
                 for leaf, rows in route(x, tree, bounds):
-                    yield pa.RecordBatch.from_pydict({
-                        "tree": pa.array(np.full(len(rows), tree, np.int32)), "leaf": pa.array(np.full(len(rows), leaf, np.int64)),
-                        "node": pa.array(node[rows]), "unit": pa.array([r.tobytes() for r in x[rows]], pa.binary()),
-                    })
+                    for r in rows.tolist():
+                        leaves[r].append((tree << DEPTH + 2) + leaf)
+            yield pa.RecordBatch.from_pydict({
+                "node": batch.column("node"), "copies": batch.column("copies"), "unit": pa.array([r.tobytes() for r in x], pa.binary()),
+                "leaves": pa.array([sorted(v) for v in leaves], pa.list_(pa.int64())),
+            })
+
+    return reps.select("node", "embedding", "copies").mapInArrow(sent, "node long, copies long, unit binary, leaves array<long>")
 
-    return reps.select("node", "embedding").mapInArrow(sent, "tree int, leaf long, node long, unit binary")
 
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of every leaf by the pair of blocks (one <= two) they meet in, with their own block."""
+    sizes = rows.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+    large = stored(sizes.filter(F.col("n") > block).select("leaf", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("parts")), "large")
+    out = rows.withColumn("leaf", F.explode("leaves")).join(F.broadcast(large), "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = out.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.select("leaf", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "copies", "unit", "leaves")
 
-def _comparer(cosine: float, leaf: int, spill: float):
+
+#: Either a vector with the copies it links to, or two vectors of one component.
+MET = "a long, b long, others long"
+
+
+def _comparer(cosine: float, chunk: int = 1024):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["node"].to_numpy()
-        unit = np.frombuffer(b"".join(pdf["unit"]), float).reshape(len(ids), -1)
-        tree, at = int(pdf["tree"].iloc[0]), int(pdf["leaf"].iloc[0])
-        # The fitted part ended here; go on below it with the group's own medians.
-        bounds = fit(unit, tree + (at << 8), leaf, spill)
-        found = []
-        for _, rows in route(unit, tree + (at << 8), bounds):
-            i, j = close_pairs(unit[rows], cosine)
-            found.append(np.column_stack([ids[rows[i]], ids[rows[j]]]))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        leaf, one, two = (int(pdf[c].iloc[0]) for c in ("leaf", "one", "two"))
+        none = pd.DataFrame({"a": [], "b": [], "others": []}).astype("Int64")
+        a = pdf[pdf["own"] == one]
+        b = a if one == two else pdf[pdf["own"] == two]
+        if not len(a) or not len(b):
+            return none
+        x, y = (np.frombuffer(b"".join(d["unit"]), float).reshape(len(d), -1) for d in (a, b))
+        link = np.empty((len(x), len(y)), bool)
+        for at in range(0, len(x), chunk):
+            np.greater_equal(x[at : at + chunk] @ y.T, cosine, out=link[at : at + chunk])
+        if one == two:
+            np.fill_diagonal(link, False)
+            link |= link.T  # rounding may differ by side
+        counted = first_met(link, a["leaves"].tolist(), b["leaves"].tolist(), leaf)
+        if counted is None or not counted.any():
+            return none  # an earlier leaf has met all links
+        ids, others = (a["node"].to_numpy(), b["node"].to_numpy()), (a["copies"].to_numpy(float), b["copies"].to_numpy(float))
+        out = [(ids[0], _sums(counted, others[1]))]
+        if one != two:
+            out.append((ids[1], _sums(counted.T, others[0])))
+        degrees = pd.concat([pd.DataFrame({"a": n, "others": d})[d > 0] for n, d in out])
+        if one == two:
+            np.fill_diagonal(link, link.any(1))
+        of_a, of_b = groups(link)
+        stars = pd.concat([pd.DataFrame({"a": ids[0][g[g >= 0]], "b": n[g >= 0]}) for g, n in ((of_a, ids[0]), (of_b, ids[1]))])
+        stars = stars[stars["a"] != stars["b"]].drop_duplicates()
+        # Nullable before they meet: ids are hashes, which floats would round.
+        return pd.concat([degrees.assign(b=None).astype("Int64"), stars.assign(others=None).astype("Int64")])[["a", "b", "others"]]
 
     return compare
+
+
+def _sums(link: np.ndarray, copies: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """For each row, the copies of the columns it links to; exact below 2^53."""
+    return np.concatenate([link[at : at + chunk].astype(float) @ copies for at in range(0, len(link), chunk)]).astype(np.int64)

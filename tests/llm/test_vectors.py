@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from lacuna.llm import crosspolytope, rp_forest
 
@@ -33,6 +34,35 @@ def test_trees_below_a_sample(spark):
     assert sum(got.values()) >= 0.97 * ((u @ u.T >= 0.95).sum() - len(x))
 
 
+def test_links_of_one_large_dense_group(spark):
+    n = 20_000
+    rng = np.random.default_rng(6)
+    c = rng.standard_normal(64)
+    x = (c / np.linalg.norm(c) + 0.195 / 8 * rng.standard_normal((n, 64))).astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = np.concatenate([(u[at : at + 2000] @ u.T >= 0.95).sum(1) - 1 for at in range(0, n, 2000)])
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    rows = rp_forest.linked(frame).toPandas().sort_values("vec_id")
+    got = rows.n_links.to_numpy()
+    assert want.mean() > 0.5 * n and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    assert rows.component_id.nunique() == 1 and rows.kept.sum() == 1
+
+
+def test_dense_group_among_others(spark):
+    """Split trees, leaves in blocks, copies: no link is counted twice."""
+    rng = np.random.default_rng(7)
+    c = rng.standard_normal(32)
+    x = np.concatenate([c + 0.15 * rng.standard_normal((700, 32)), rng.standard_normal((1500, 32))]).astype(np.float32)
+    x = np.concatenate([x, x[:50]])
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = rp_forest.linked(frame, leaf=64, block=100).toPandas().sort_values("vec_id").n_links.to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum() and want.sum() > 300_000
+
+
 def test_forest_on_odd_vectors(spark, vectors):
     rows = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in rp_forest.linked(vectors).collect()]
     assert len(rows) == vectors.count()
