@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 
 from lacuna.llm import crosspolytope, rp_forest
 
@@ -90,6 +91,28 @@ def test_recall_of_search(spark, sf):
         assert own.sort_values(["score", "vec_id"], ascending=[False, True]).vec_id.tolist() == own.vec_id.tolist()
 
 
+@pytest.mark.parametrize("lengths", ["unit", "outlier", "sigma 0.3", "sigma 1"])
+def test_recall_with_skewed_lengths(spark, lengths):
+    n = 20_000
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if lengths == "outlier":
+        x[11] *= 10
+    elif lengths != "unit":
+        x *= np.exp(float(lengths.split()[1]) * rng.standard_normal((n, 1)))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    rows = crosspolytope.search(frame, every=67).toPandas()
+    asked = np.arange(0, n, 67)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    got = {q: set(own) for q, own in rows.groupby("query_id").vec_id}
+    share = np.array([len(got[q] & set(np.argsort(-row)[:20])) / 20 for q, row in zip(asked, s, strict=True)])
+    print(lengths, share.mean(), share.min())
+    assert len(rows) == 20 * len(asked) and not rows.duplicated(["query_id", "vec_id"]).any()
+    assert share.mean() >= 0.97 and share.min() >= 0.75
+
+
 def test_large_buckets_are_dealt_out(spark, sf):
     frame, _, _ = _table(spark, sf)
     a = crosspolytope.search(frame, block=20).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
