@@ -7,7 +7,8 @@ constraints (document total and token total of the source): the flight holds a f
 moves one more of them than there are constraints along a null vector until a
 probability hits 0 or 1, and replaces the decided unit by the next row. Each task
 therefore needs a handful of numbers and leaves as many units undecided as there are
-constraints. These few go on to a flight over fewer tasks until one is left; there the
+constraints. These few go on to a flight over fewer tasks until one is left, or until the
+undecided units of any one source fit a task: then each source is one task's. There the
 constraints are dropped one by one, which is the landing.
 """
 
@@ -125,8 +126,8 @@ class Flight:
 UNIT = "doc_id long, size long, source string, n long, source_size long, target double, p double, taken int"
 
 
-def _level(units: DataFrame, tasks: int, last: bool, seed: str) -> DataFrame:
-    """One flight over ``tasks`` tasks; ``taken`` stays null where a unit is undecided."""
+def _level(units: DataFrame, tasks: int, last: bool, seed: str, key: str = "h") -> DataFrame:
+    """One flight over ``tasks`` tasks, dealt by ``key``; ``taken`` stays null where a unit is undecided."""
 
     def fly(batches):
         flight, source, began = None, None, False
@@ -157,7 +158,7 @@ def _level(units: DataFrame, tasks: int, last: bool, seed: str) -> DataFrame:
             yield _units(out)
 
     dealt = units.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "source"))
-    dealt = dealt.repartition(tasks, "h").sortWithinPartitions("source", F.floor(F.log2(F.col("size") + 1)).desc(), "h", "doc_id", "size")
+    dealt = dealt.repartition(tasks, key).sortWithinPartitions("source", F.floor(F.log2(F.col("size") + 1)).desc(), "h", "doc_id", "size")
     return dealt.select("doc_id", "size", "source", "n", "source_size", "target", "p").mapInArrow(fly, UNIT)
 
 
@@ -184,15 +185,19 @@ def shares(docs: DataFrame, seed: str = "mix", rows_per_task: int = 50_000, weig
     fixed = F.col("p") < EPS
     done = [units.filter(fixed).withColumn("taken", F.lit(0))]
     left = units.filter(~fixed)
-    rows, level = sized.count(), 0
+    rows, level, whole = sized.count(), 0, False
     while True:
         tasks = spread(docs.sparkSession, rows, rows_per_task)
-        flown = stored(_level(left, tasks, tasks == 1, f"{seed}{level}"), "flight")
+        last = whole or tasks == 1
+        flown = stored(_level(left, tasks, last, f"{seed}{level}", "source" if whole else "h"), "flight")
         done.append(flown.filter("taken IS NOT NULL"))
-        if tasks == 1:
+        if last:
             break
         left, level = flown.filter("taken IS NULL"), level + 1
-        rows = left.count()
+        before = rows
+        rows, largest = left.groupBy("source").agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+        # With many sources each keeps its two units a task, so that no number of levels would leave one task.
+        whole = largest <= rows_per_task or rows >= before
     names = ["doc_id", "size", "source", "n", "source_size", "target", "taken"]
     out = done[0].select(*names)
     for d in done[1:]:

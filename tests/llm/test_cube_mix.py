@@ -75,6 +75,16 @@ def test_many_tasks_land_together(docs):
         assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
 
 
+def test_more_sources_than_a_task_has_rows(spark):
+    """Every source keeps undecided units at each level: the levels end all the same."""
+    rng = random.Random(3)
+    rows = [(d, "w " * rng.randint(1, 40), f"site{d % 90:02}") for d in range(360)]
+    got = cube_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), rows_per_task=40).toPandas()
+    assert sorted(got.doc_id) == list(range(360))
+    for _, own in got.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max()
+
+
 def test_mixed_repeats_rows(docs, odd, none):
     copies = {r.doc_id: r.copies for r in cube_mix.mix(docs).collect()}
     got = {r.doc_id: r["count"] for r in cube_mix.mixed(docs).groupBy("doc_id").count().collect()}
