@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import brown, cotraining, crosspolytope, cube_mix, license_scan, rp_forest, superminhash, token_count, toxicity, vector_pack
+from lacuna.llm import (
+    brown, chat_format, cotraining, crosspolytope, cube_mix, license_scan, merkle_manifest, rp_forest, superminhash, token_count, toxicity, vector_pack,
+)
 from lacuna.llm.common import table
 
 
@@ -75,11 +77,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and what the parser reads back of them."""
+    return chat_format.read_back(chat_format.formatted(chat_format.with_adversary(table(spark, sf_dir, "conversations"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and a version for each one tampered with."""
+    return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_cube_mix, op3_vector_pack, op4_superminhash, op5_brown, op6_rp_forest, op7_cotraining, op8_token_count,
-        op9_crosspolytope, op10_toxicity,
+        op9_crosspolytope, op10_toxicity, op11_chat_format, op13_merkle_manifest,
     )
 }
-SQL: dict[str, str] = {"op1_license_scan": license_scan.SQL}
+SQL: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op11_chat_format": chat_format.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
