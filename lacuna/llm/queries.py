@@ -6,9 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.llm import (
-    brown, chat_format, cotraining, crosspolytope, cube_mix, license_scan, merkle_manifest, rp_forest, superminhash, token_count, toxicity, vector_pack,
+    brown, chat_format, cotraining, crosspolytope, cube_mix, gnat, license_scan, merkle_manifest, rp_forest, superminhash, token_count, toxicity, vector_pack,
 )
 from lacuna.llm.common import table
 
@@ -82,6 +83,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.formatted(chat_format.with_adversary(table(spark, sf_dir, "conversations"))))
 
 
+def op12_gnat_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, some of whose labels are moved."""
+    return gnat.mine(gnat.moved_label(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all documents, and a version for each one tampered with."""
     return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"))
@@ -91,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_cube_mix, op3_vector_pack, op4_superminhash, op5_brown, op6_rp_forest, op7_cotraining, op8_token_count,
-        op9_crosspolytope, op10_toxicity, op11_chat_format, op13_merkle_manifest,
+        op9_crosspolytope, op10_toxicity, op11_chat_format, op12_gnat_negatives, op13_merkle_manifest,
     )
 }
-SQL: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op11_chat_format": chat_format.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
+SQL: dict[str, str] = {"op1_license_scan": license_scan.SQL, "op11_chat_format": chat_format.SQL, "op12_gnat_negatives": gnat.SQL, "op13_merkle_manifest": merkle_manifest.SQL}
