@@ -58,8 +58,8 @@ def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by both views and combined."""
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    views = cotraining.prepared(table(spark, sf_dir, "documents"))
+    return cotraining.score_prepared(views, cotraining.fit_prepared(views, table(spark, sf_dir, "labels")))
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
