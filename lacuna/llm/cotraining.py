@@ -188,38 +188,47 @@ def cuts(counts: np.ndarray, low: int, high: int, sure: float) -> tuple[float, f
     return min(lowest, np.nextafter(-sure, -np.inf)), max(highest, sure)
 
 
-def summed(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterable[tuple[str, np.ndarray]]]) -> dict[str, np.ndarray]:
-    """Sums of named arrays over all batches of all tasks.
+#: Numbers in a row of a sent array.
+ROW = 8192
 
-    A task sends its sums row by row; the rows of one place are added in a stream, so neither
-    the number of tasks nor of rows bounds a worker. The driver gets one copy of the arrays.
+
+def summed(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterable[tuple[str, np.ndarray]]], single: str = "") -> dict[str, np.ndarray]:
+    """Sums of named one-dimensional arrays over all batches of all tasks.
+
+    There are as many tasks as the cluster runs at once, so that what is sent does not grow with the
+    rows. A task sends its sums in rows of ``ROW`` numbers, arrays whose name begins with
+    ``single`` in single precision; the rows of one place are added in a stream. The driver
+    gets one copy of the arrays.
     """
     schema = "name string, place int, value binary"
+    kind = lambda name: np.float32 if single and name.startswith(single) else np.float64
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 for name, value in work(batch.slice(at, 2048)):
-                    total[name] = total.get(name, 0) + np.atleast_2d(np.asarray(value, float))
+                    total[name] = total.get(name, 0) + np.asarray(value, float)
         for name, value in total.items():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([name] * len(value)), pa.array(range(len(value)), pa.int32()), pa.array([r.tobytes() for r in value], pa.binary())
-            ], ["name", "place", "value"])
+            parts = [value[at : at + ROW].astype(kind(name)).tobytes() for at in range(0, len(value), ROW)]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["name", "place", "value"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, key = 0.0, None
         for batch in batches:
             key = key or (batch.column("name")[0], batch.column("place")[0])
             for value in batch.column("value"):
-                total = total + np.frombuffer(value.as_buffer())
+                total = total + np.frombuffer(value.as_buffer(), kind(key[0].as_py()))
         if key:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["name", "place", "value"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([np.asarray(total, float).tobytes()], pa.binary())
+            ], ["name", "place", "value"])
 
+    few = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism))
     out: dict[str, list] = {}
-    for r in rows.mapInArrow(run, schema).groupBy("name", "place").applyInArrow(add, schema).collect():
+    for r in few.mapInArrow(run, schema).groupBy("name", "place").applyInArrow(add, schema).collect():
         out.setdefault(r.name, []).append((r.place, np.frombuffer(r.value)))
-    return {name: np.vstack([v for _, v in sorted(values, key=lambda p: p[0])]) for name, values in out.items()}
+    return {name: np.concatenate([v for _, v in sorted(values, key=lambda p: p[0])]) for name, values in out.items()}
 
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +268,14 @@ def newton(rows: DataFrame, models: list[Linear], taught: Callable[[pa.RecordBat
                 loss, gradient, matrix = now[k].sums(x, y)  # noqa: B023
                 yield f"l{k}", np.array([loss])
                 yield f"g{k}", gradient
-                yield f"h{k}", matrix
+                yield f"h{k}", matrix[np.triu_indices(len(matrix))]
 
-        got = summed(rows, work)
+        # The second derivatives only steer the step, the gradient decides where it ends.
+        got = summed(rows, work, single="h")
         for k, way in enumerate(ways):
-            way.take(got[f"l{k}"][0, 0], got[f"g{k}"][0], got[f"h{k}"])
+            matrix = np.zeros((len(now[k].weights),) * 2)
+            matrix[np.triu_indices(len(matrix))] = got[f"h{k}"]
+            way.take(got[f"l{k}"][0], got[f"g{k}"], matrix + np.triu(matrix, 1).T)
         if all(w.done for w in ways):
             break
     # The last move was not tried: keep the weights whose loss is known.
@@ -329,7 +341,7 @@ def fit_prepared(views: DataFrame, labels: DataFrame, rounds: int = 3, step: flo
         yield "q", (x**2).sum(0)
 
     got = summed(teaching, moments)
-    models = [Linear.zero(got["n"][0, 0], got["s"][0, part], got["q"][0, part]) for part in VIEWS]
+    models = [Linear.zero(got["n"][0], got["s"][part], got["q"][part]) for part in VIEWS]
 
     def known(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
         x, y = _unpacked(batch)
@@ -349,10 +361,10 @@ def fit_prepared(views: DataFrame, labels: DataFrame, rounds: int = 3, step: flo
                 yield f"m{k}", np.bincount(_bins(now[k].margin(x[free][:, part])), minlength=2 * ENDS * FINE + 1)  # noqa: B023
 
         counts = summed(rows.filter("quality IS NULL"), margins)
-        ends = [cuts(counts[f"m{k}"][0], low, high, sure) for k in (0, 1)]
+        ends = [cuts(counts[f"m{k}"], low, high, sure) for k in (0, 1)]
         past = [*past, Round(now, (ends[0][0], ends[1][0]), (ends[0][1], ends[1][1]))]
         bounds = [(_bins(np.array([e]))[0]) for pair in ends for e in pair]
-        exchanged.append(int(sum(counts[f"m{k}"][0][: bounds[2 * k] + 1].sum() + counts[f"m{k}"][0][bounds[2 * k + 1] :].sum() for k in (0, 1))))
+        exchanged.append(int(sum(counts[f"m{k}"][: bounds[2 * k] + 1].sum() + counts[f"m{k}"][bounds[2 * k + 1] :].sum() for k in (0, 1))))
         if not exchanged[-1]:
             break
         seen = list(past)
@@ -386,7 +398,7 @@ def fit_prepared(views: DataFrame, labels: DataFrame, rounds: int = 3, step: flo
         return [(m[:, :1], y), (m[:, 1:], y), (m, y)]
 
     got = summed(kept, spread)
-    ends_ = [Linear.zero(got["n"][0, 0], got["s"][0, part], got["q"][0, part]) for part in (slice(0, 1), slice(1, 2), slice(0, 2))]
+    ends_ = [Linear.zero(got["n"][0], got["s"][part], got["q"][part]) for part in (slice(0, 1), slice(1, 2), slice(0, 2))]
     first, second, combined = newton(kept, ends_, calibrating, 0.1, 12)
     discard(rows)
     return Model(views_, (first, second), combined, rate, tuple(exchanged))
