@@ -5,8 +5,8 @@ Three shapes cover every order-dependent operator of the library:
 * ``positions`` / ``nearest`` look arbitrarily far along a series. A series is cut
   into chunks of ``span_days``; windows run per ``(keys, chunk)``, each chunk is
   reduced to one summary row, and the summaries carry state over chunk borders.
-* ``with_halo`` serves frames of bounded length: every chunk gets a copy of the few
-  days before it, so the window needs no neighbour chunk.
+* ``with_halo`` and ``with_row_halo`` serve frames of bounded length: every chunk gets a
+  copy of the few days, or rows, before it, so the window needs no neighbour chunk.
 * ``running_totals`` orders *values* (scores, readings) rather than days: values are
   pre-aggregated, cut at quantiles, and totals of the lower pieces are added on.
 
@@ -102,15 +102,29 @@ def nearest(
 def with_halo(df: DataFrame, days_before: int, ts: str = "obs_date", span_days: int = CHUNK_DAYS) -> DataFrame:
     """Add ``_chunk`` and ``_halo``: the last ``days_before`` days of a chunk also
     appear, flagged, in the next one. Partition windows by the keys and ``_chunk``,
-    then keep ``~_halo``."""
-    if days_before >= span_days:
-        raise ValueError("the frame must be shorter than a chunk")
+    then keep ``~_halo``. For frames of rows the panel must have a row for every day."""
+    span_days = max(span_days, days_before + 1)
     home = time_chunk(ts, span_days)
     offset = F.unix_date(ts) - home * span_days
     targets = F.when(offset >= span_days - days_before, F.array(home, home + 1)).otherwise(F.array(home))
     return df.withColumn("_chunk", F.explode(targets)).withColumn("_halo", F.col("_chunk") != home)
 
 
+def with_row_halo(df: DataFrame, rows_before: int, keys: Sequence[str], ts: str = "obs_date", span_rows: int = CHUNK_DAYS) -> DataFrame:
+    """As :func:`with_halo`, by rows: every chunk of ``span_rows`` rows of a series is
+    preceded by the ``rows_before`` rows before it, however many days they lie apart.
+
+    The row number of a chunk's first row comes from the counts of the chunks before it, so that no
+    series is numbered in one task.
+    """
+    span = max(span_rows, rows_before)
+    placed = positions(chunked(df, keys, ts), keys, ts, out="_at").drop("_chunk")
+    home = F.floor(F.col("_at") / span)
+    reach = F.floor(F.least(F.col("_at") + rows_before, F.col("_at_last")) / span)
+    out = placed.withColumn("_home", home).withColumn("_chunk", F.explode(F.sequence("_home", reach)))
+    return out.withColumn("_halo", F.col("_chunk") != F.col("_home")).drop("_home", "_at", "_at_last")
+
+
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("_halo")).drop("_halo", "_chunk")
 

@@ -1,7 +1,8 @@
 """Features, scaling and sequences for a forecasting model.
 
-Rolling and lag features look back a bounded number of rows of a spined panel, so they
-run on chunks with a halo; a long series is spread over tasks.
+Rolling and lag features look back a bounded number of rows, so they run on chunks with a
+halo of as many rows; a long series is spread over tasks. A panel that is known to have a
+row for every day (``regular``) takes a halo of days, which saves numbering its rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scan import drop_halo, with_halo
+from lacuna.functions.scan import drop_halo, with_halo, with_row_halo
 from lacuna.operators.masking import WET_MONTHS
 from lacuna.sources.files import join_stats
 
@@ -26,14 +27,17 @@ def site_delta(wide: DataFrame, variables: Sequence[str], a: str, b: str) -> Dat
     return wide.select("*", *[(F.col(f"{v}_{a}") - F.col(f"{v}_{b}")).alias(f"delta_{v}") for v in variables])
 
 
-def _look_back(df: DataFrame, rows: int, keys: Sequence[str]) -> tuple[DataFrame, Window]:
-    return with_halo(df, rows), Window.partitionBy(*keys, "_chunk").orderBy("obs_date")
+def _look_back(df: DataFrame, rows: int, keys: Sequence[str], regular: bool) -> tuple[DataFrame, Window]:
+    halo = with_halo(df, rows) if regular else with_row_halo(df, rows, keys)
+    return halo, Window.partitionBy(*keys, "_chunk").orderBy("obs_date")
 
 
-def rolling(df: DataFrame, columns: Sequence[str], rows: Sequence[int] = ROLLING_ROWS, keys: Sequence[str] = ("location",)) -> DataFrame:
+def rolling(
+    df: DataFrame, columns: Sequence[str], rows: Sequence[int] = ROLLING_ROWS, keys: Sequence[str] = ("location",), regular: bool = False
+) -> DataFrame:
     """Mean and sample deviation over the last n rows including the current one; the
     deviation of a single value is 0. All windows share one exchange and one sort."""
-    halo, w = _look_back(df, max(rows), keys)
+    halo, w = _look_back(df, max(rows), keys, regular)
     out = []
     for c in columns:
         for n in rows:
@@ -43,9 +47,11 @@ def rolling(df: DataFrame, columns: Sequence[str], rows: Sequence[int] = ROLLING
     return drop_halo(halo.select("*", *out))
 
 
-def lags(df: DataFrame, columns: Sequence[str], rows: Sequence[int] = LAG_ROWS, keys: Sequence[str] = ("location",)) -> DataFrame:
+def lags(
+    df: DataFrame, columns: Sequence[str], rows: Sequence[int] = LAG_ROWS, keys: Sequence[str] = ("location",), regular: bool = False
+) -> DataFrame:
     """Earlier values; a missing one takes the mean of that lag column in its series."""
-    halo, w = _look_back(df, max(rows), keys)
+    halo, w = _look_back(df, max(rows), keys, regular)
     names = {f"{c}_lag{n}": F.lag(c, n).over(w) for c in columns for n in rows}
     lagged = drop_halo(halo.select("*", *[e.alias(n) for n, e in names.items()]))
     return lagged.select(*df.columns, *[_or_mean(n, keys).alias(n) for n in names])
@@ -64,9 +70,11 @@ def calendar(df: DataFrame, ts: str = "obs_date") -> DataFrame:
     )
 
 
-def derived(df: DataFrame, anomaly: str, stress: str, above: float = STRESS_ABOVE, rows: int = 30, keys: Sequence[str] = ("location",)) -> DataFrame:
+def derived(
+    df: DataFrame, anomaly: str, stress: str, above: float = STRESS_ABOVE, rows: int = 30, keys: Sequence[str] = ("location",), regular: bool = False
+) -> DataFrame:
     """Departure from the rolling mean, and the excess over a threshold."""
-    halo, w = _look_back(df, rows, keys)
+    halo, w = _look_back(df, rows, keys, regular)
     mean = F.avg(anomaly).over(w.rowsBetween(-(rows - 1), 0))
     excess = F.when(F.col(stress).isNotNull(), F.greatest(F.lit(0.0), F.col(stress) - F.lit(float(above))))
     return drop_halo(halo.select("*", (F.col(anomaly) - mean).alias(f"{anomaly}_anomaly"), excess.alias(f"{stress}_stress")))
@@ -84,12 +92,12 @@ def imputation_flags(df: DataFrame, mask: DataFrame, variables: Sequence[str]) -
 
 def feature_matrix(
     panel: DataFrame, columns: Sequence[str], mask: DataFrame | None = None, anomaly: str | None = None,
-    stress: str | None = None, above: float = STRESS_ABOVE,
+    stress: str | None = None, above: float = STRESS_ABOVE, regular: bool = False,
 ) -> DataFrame:
     """Rolling, lag, calendar, derived and flag columns in a fixed order, in one halo pass
     for everything that looks back."""
     keys = ("location",)
-    halo, w = _look_back(panel, max(*ROLLING_ROWS, *LAG_ROWS), keys)
+    halo, w = _look_back(panel, max(*ROLLING_ROWS, *LAG_ROWS), keys, regular)
     cols, lag_names = [], []
     for c in columns:
         for n in ROLLING_ROWS:

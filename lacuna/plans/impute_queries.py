@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
-from lacuna.operators import features, hybrid, masking, spatial, temporal
+from lacuna.operators import features, hybrid, masking, spatial, spline, temporal
 from lacuna.operators.panel import to_cells, to_wide, with_donor
 from lacuna.plans.common import (
     DAYS, GAP, LINE, LINE_DAY, R, VARS, cells, cells_sql, donors_sql, neighbours_sql, order_days, pairs_sql, panel_sql, r,
@@ -37,7 +37,6 @@ def fill_sql(expression: str, *ctes: str, src: str = "nb", digits: int = 4) -> s
 
 
 NB = [*cells_sql(), *neighbours_sql()]
-NB_PLAIN = NB
 EDGES = f"coalesce({LINE}, pval, nval)"
 
 
@@ -99,10 +98,46 @@ def parabola_sql(axis: str = "row") -> str:
 
 
 @query(fill_sql(f"coalesce({parabola_sql()}, {LINE})", *NB, digits=3))
-def impute_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+def impute_quadratic_local(spark: SparkSession, sf: str) -> DataFrame:
     return holes(temporal.quadratic(cells(spark, sf)), 3)
 
 
+def spline_sql(src: str = "nb_p", x: str = "pos") -> list[str]:
+    """Pieces of the quadratic spline: one tridiagonal system a series, eliminated point by point."""
+    k = "location, variable"
+    on = lambda a, b, shift: f"{a}.location = {b}.location AND {a}.variable = {b}.variable AND {a}.p = {b}.p {shift}"
+    return [
+        f"""pt0 AS (SELECT {k}, {x} AS x, value AS y, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY {k}) AS n, first_value({x}) OVER w AS xa,
+    last_value({x}) OVER (PARTITION BY {k} ORDER BY obs_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS xe,
+    lag({x}, 2) OVER w AS b2, lag({x}) OVER w AS b1, lead({x}) OVER w AS a1, lead({x}, 2) OVER w AS a2
+  FROM {src} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY {k} ORDER BY obs_date))""",
+        """pt1 AS (SELECT *, CASE WHEN p <= 2 THEN xa ELSE (b2 + b1) / 2.0::DOUBLE END AS k0, CASE WHEN p <= 1 THEN xa WHEN p >= n - 1 THEN xe ELSE (b1 + x) / 2.0::DOUBLE END AS k1,
+    CASE WHEN p <= 0 THEN xa WHEN p >= n - 2 THEN xe ELSE (x + a1) / 2.0::DOUBLE END AS k2, CASE WHEN p >= n - 3 THEN xe ELSE (a1 + a2) / 2.0::DOUBLE END AS k3 FROM pt0 WHERE n > 2)""",
+        """pt2 AS (SELECT *, CASE WHEN p > 0 AND p < n - 1 THEN (k2 - x) * (k2 - x) / ((k2 - k1) * (k2 - k0)) ELSE 0 END AS l,
+    CASE WHEN p > 0 AND p < n - 1 THEN (x - k1) * (x - k1) / ((k2 - k1) * (k3 - k1)) ELSE 0 END AS r FROM pt1)""",
+        f"""fw AS (SELECT {k}, p, 0::DOUBLE AS ratio, y::DOUBLE AS d FROM pt2 WHERE p = 0
+  UNION ALL SELECT t.location, t.variable, t.p, t.r / (1 - t.l - t.r - t.l * f.ratio), (t.y - t.l * f.d) / (1 - t.l - t.r - t.l * f.ratio) FROM fw f JOIN pt2 t ON {on('t', 'f', '+ 1')})""",
+        f"fwp AS MATERIALIZED (SELECT f.*, t.n FROM fw f JOIN pt2 t ON {on('t', 'f', '')})",
+        f"""bw AS (SELECT {k}, p, d AS c FROM fwp WHERE p = n - 1
+  UNION ALL SELECT f.location, f.variable, f.p, f.d - f.ratio * b.c FROM bw b JOIN fwp f ON {on('f', 'b', '- 1')})""",
+        f"co AS (SELECT *, lag(c) OVER w AS cl, lead(c) OVER w AS cr FROM bw WINDOW w AS (PARTITION BY {k} ORDER BY p))",
+        f"""piece0 AS (SELECT t.*, 2 * (co.c - co.cl) / (k2 - k0) AS s1, 2 * (co.cr - co.c) / (k3 - k1) AS s2 FROM pt2 t JOIN co ON {on('t', 'co', '')} WHERE t.p > 0 AND t.p < t.n - 1)""",
+        "piece AS (SELECT location, variable, x, y, k2 AS until, (s2 - s1) / (2 * (k2 - k1)) AS bend, s1 + (s2 - s1) / (k2 - k1) * (x - k1) AS slope FROM piece0)",
+    ]
+
+
+def along_sql(t: str, x: str = "nb.pos") -> str:
+    return f"({t}.y + {t}.slope * ({x} - {t}.x) + {t}.bend * ({x} - {t}.x) * ({x} - {t}.x))"
+
+
+@query(with_(*NB, *spline_sql()).replace("WITH ", "WITH RECURSIVE ", 1) + f"""SELECT nb.location, nb.variable, nb.obs_date,
+  {R(f"CASE WHEN ppos IS NOT NULL AND npos IS NOT NULL THEN coalesce(CASE WHEN nb.pos <= lp.until THEN {along_sql('lp')} ELSE {along_sql('rp')} END, {LINE}) END", 3)} AS filled
+FROM nb LEFT JOIN piece lp ON lp.location = nb.location AND lp.variable = nb.variable AND lp.x = ppos
+LEFT JOIN piece rp ON rp.location = nb.location AND rp.variable = nb.variable AND rp.x = npos WHERE nb.value IS NULL""")
+def impute_quadratic(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(spline.quadratic_spline(cells(spark, sf)), 3)
+
+
 @query(with_(*cells_sql()) + f"""SELECT location, variable, obs_date, {R('m')} AS filled FROM (
   SELECT *, avg(value) OVER (PARTITION BY location, variable, dayofyear(obs_date)) AS m FROM cells) WHERE value IS NULL""")
 def impute_climatology_doy(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import expr as E
 from lacuna.operators import ensemble, features, masking, metrics, models, splits, temporal
 from lacuna.operators.panel import sites_wide
-from lacuna.plans.common import R, VARS, cells, cells_sql, labels_sql, order_days, r, rr, spined, spined_sql, with_
+from lacuna.plans.common import R, VARS, cells, cells_sql, labels_sql, order_days, panel_sql, r, rr, spined, spined_sql, with_
 from lacuna.plans.gap_queries import YEARS, random_sql
 from lacuna.plans.metric_queries import BINARY, SCORED, auc_sql, binary_sql, rounded_sql
 from lacuna.sources import tables as T
@@ -44,7 +44,7 @@ ROLL = [x for c in ("n_orders", "total") for n in features.ROLLING_ROWS for x in
 
 @query(with_(*spined_sql("nation")) + "SELECT location, obs_date, " + ", ".join(ROLL) + " FROM spined")
 def feat_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.rolling(spined(spark, sf, "nation").select("location", "obs_date", "n_orders", "total"), ["n_orders", "total"])
+    out = features.rolling(spined(spark, sf, "nation").select("location", "obs_date", "n_orders", "total"), ["n_orders", "total"], regular=True)
     names = [c for c in out.columns if c[-1].isdigit()]
     return rr(out.select("location", "obs_date", *names), *names, digits=3)
 
@@ -55,10 +55,27 @@ LAGS = [f"total_lag{n}" for n in features.LAG_ROWS]
 @query(with_(*spined_sql("nation"), "l AS (SELECT location, obs_date, " + ", ".join(f"lag(total, {n}) OVER (PARTITION BY location ORDER BY obs_date) AS total_lag{n}" for n in features.LAG_ROWS) + " FROM spined)")
 + "SELECT location, obs_date, " + ", ".join(f"{R(f'coalesce({c}, avg({c}) OVER (PARTITION BY location))')} AS {c}" for c in LAGS) + " FROM l")
 def feat_lag(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.lags(spined(spark, sf, "nation").select("location", "obs_date", "total"), ["total"])
+    out = features.lags(spined(spark, sf, "nation").select("location", "obs_date", "total"), ["total"], regular=True)
     return rr(out.drop("total"), *LAGS)
 
 
+IRREGULAR_ROLL = [x for n in (7, 30, 2000) for x in roll_sql("total", n)]
+IRREGULAR_LAGS = (1, 30, 300)
+
+
+@query(with_(*panel_sql("nation"), "l AS (SELECT *, " + ", ".join(f"lag(total, {n}) OVER (PARTITION BY location ORDER BY obs_date) AS l{n}" for n in IRREGULAR_LAGS) + " FROM panel)")
++ "SELECT location, obs_date, " + ", ".join([*IRREGULAR_ROLL, *[f"{R(f'coalesce(l{n}, avg(l{n}) OVER (PARTITION BY location))', 3)} AS total_lag{n}" for n in IRREGULAR_LAGS]])
++ f""", {R('total - avg(total) OVER (PARTITION BY location ORDER BY obs_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 3)} AS total_anomaly FROM l""")
+def feat_rolling_irregular(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of rows on a panel without rows for quiet days; the longest looks back 2,000 rows."""
+    panel = T.orders_panel(spark, sf, "nation")
+    rolled = features.rolling(panel, ["total"], (7, 30, 2000))
+    lagged = features.lags(rolled, ["total"], IRREGULAR_LAGS)
+    out = features.derived(lagged, "total", "balance")
+    names = [c for c in out.columns if c.startswith("total_")]
+    return rr(out.select("location", "obs_date", *names), *names, digits=3)
+
+
 @query(with_(*spined_sql("nation")) + "SELECT location, obs_date, CAST(dayofyear(obs_date) AS INTEGER) AS day_of_year, CAST(month(obs_date) AS INTEGER) AS month, CASE WHEN month(obs_date) BETWEEN 6 AND 10 THEN 1 ELSE 0 END AS is_wet_season FROM spined")
 def feat_calendar(spark: SparkSession, sf: str) -> DataFrame:
     return features.calendar(spined(spark, sf, "nation").select("location", "obs_date"))
@@ -67,7 +84,7 @@ def feat_calendar(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(*spined_sql("nation")) + f"""SELECT location, obs_date, {R('total - avg(total) OVER (PARTITION BY location ORDER BY obs_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 3)} AS total_anomaly,
   {R('CASE WHEN balance IS NOT NULL THEN greatest(0.0, balance - 29.5) END')} AS balance_stress FROM spined""")
 def feat_derived(spark: SparkSession, sf: str) -> DataFrame:
-    out = features.derived(spined(spark, sf, "nation"), "total", "balance")
+    out = features.derived(spined(spark, sf, "nation"), "total", "balance", regular=True)
     return out.select("location", "obs_date", r("total_anomaly", 3).alias("total_anomaly"), r("balance_stress").alias("balance_stress"))
 
 
@@ -83,7 +100,7 @@ MATRIX = ["total", "total_mean7", "total_std7", "total_mean30", "total_lag1", "t
 
 
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_matrix(spined(spark, sf, "region"), ["n_orders", "total"], None, "total", "balance")
+    return features.feature_matrix(spined(spark, sf, "region"), ["n_orders", "total"], None, "total", "balance", regular=True)
 
 
 _W = "PARTITION BY location ORDER BY obs_date"

@@ -246,3 +246,32 @@ def test_document_texts(spark):
     assert a["confidence"] == "90.0%" and a["red_tide_probability"] == "High" and a["environmental_data"]["Chlorophyll-a"] == "1.5 mg/m3"
     assert len(a["recommendations"]) == 3 and len(b["recommendations"]) == 5 and b["environmental_data"]["Chlorophyll-a"] == "N/A"
     assert a["five_day_forecast"][0]["probability"] == "High" and b["explanation"].startswith("Forecast generated with limited")
+
+
+@pytest.mark.parametrize(("n", "missing"), [(2600, 0.5), (2600, 0.97)])
+def test_look_back_by_rows_on_an_irregular_panel(spark, n, missing):
+    """Rows on some days only: frames of rows reach over any number of chunks of days."""
+    rng = np.random.default_rng(n)
+    day0 = dt.date(1990, 1, 1)
+    days = [i for i in range(n * 4) if rng.random() > missing][:n]
+    x = rng.normal(size=len(days)).cumsum()
+    x[rng.random(len(days)) < 0.1] = np.nan
+    rows = [(loc, day0 + dt.timedelta(days=i), None if np.isnan(v) else float(v)) for loc in "ab" for i, v in zip(days, x, strict=True)]
+    df = spark.createDataFrame(rows, "location string, obs_date date, v double")
+    longest = 2000 if len(days) > 2000 else 200
+    out = features.lags(features.rolling(df, ["v"], (7, longest)), ["v"], (1, 30)).filter("location = 'b'").orderBy("obs_date").toPandas()
+    want = pd.Series(x)
+    for k in (7, longest):
+        np.testing.assert_allclose(out[f"v_mean{k}"].astype(float), want.rolling(k, min_periods=1).mean(), atol=1e-9)
+        np.testing.assert_allclose(out[f"v_std{k}"].astype(float), want.rolling(k, min_periods=1).std().fillna(0), atol=1e-7)
+    for k in (1, 30):
+        lag = want.shift(k)
+        np.testing.assert_allclose(out[f"v_lag{k}"].astype(float), lag.fillna(lag.mean()), atol=1e-9)
+
+
+def test_regular_panels_may_look_back_further_than_a_chunk(spark):
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(days=i), float(i % 13)) for i in range(3500)]
+    df = spark.createDataFrame(rows, "location string, obs_date date, v double")
+    a, b = (features.rolling(df, ["v"], (1500,), regular=r).orderBy("obs_date").toPandas() for r in (True, False))
+    np.testing.assert_allclose(a["v_mean1500"], b["v_mean1500"])
+    np.testing.assert_allclose(a["v_mean1500"], pd.Series([r[2] for r in rows]).rolling(1500, min_periods=1).mean())
