@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import spatial, temporal
+from lacuna.operators import joint, spatial, temporal
 from lacuna.operators.gaps import with_gaps
 from lacuna.operators.panel import sites_wide, to_wide, with_donor
 
@@ -31,19 +31,26 @@ def _rename(df: DataFrame, to: str) -> DataFrame:
     return df.withColumnRenamed("filled", to)
 
 
-def _donor_view(rows: DataFrame, donors: DataFrame) -> DataFrame:
-    return with_donor(rows, donors)
+HELPER = ("donor", "distance_km", "donor_value")
 
 
-def sequential(cells: DataFrame, donors: DataFrame, edges: str = "none") -> DataFrame:
-    """Interpolate inside, then regress on the donor for what is left.
+def _kriged(rows: DataFrame, donors: DataFrame, single: bool) -> DataFrame:
+    return spatial.kriging(with_donor(rows, donors)).drop(*HELPER) if single else joint.kriging(rows, donors)
 
-    With ``edges='both'`` interpolation leaves nothing but fully missing series.
+
+def _regressed(rows: DataFrame, donors: DataFrame, single: bool) -> DataFrame:
+    return spatial.regression3(spatial.with_donor_lags(rows, donors, (1, 7))).drop(*HELPER) if single else joint.regression(rows, donors)
+
+
+def sequential(cells: DataFrame, donors: DataFrame, edges: str = "none", single: bool = False) -> DataFrame:
+    """Interpolate inside, then regress on the donors for what is left.
+
+    With ``edges='both'`` interpolation leaves nothing but fully missing series. ``single``
+    says that every target has at most one donor, which saves gathering them.
     """
     first = _rename(temporal.linear(cells, edges=edges), "_t")
-    pairs = spatial.with_donor_lags(first, donors, (1, 7))
-    second = spatial.regression3(pairs)
-    return second.withColumn("filled", F.coalesce("value", "_t", "filled")).drop("_t", "donor", "distance_km", "donor_value")
+    second = _regressed(first, donors, single)
+    return second.withColumn("filled", F.coalesce("value", "_t", "filled")).drop("_t")
 
 
 def ensemble_weight() -> Column:
@@ -52,21 +59,19 @@ def ensemble_weight() -> Column:
     return F.when(g < 3, F.lit(0.8)).when(g > 14, F.lit(0.3)).otherwise(F.lit(0.5))
 
 
-def gap_ensemble(cells: DataFrame, donors: DataFrame, zero_fill: bool = False) -> DataFrame:
+def gap_ensemble(cells: DataFrame, donors: DataFrame, zero_fill: bool = False, single: bool = False) -> DataFrame:
     """Blend interpolation and kriging by gap length; where one is missing the other
     counts alone. ``zero_fill`` reads a missing leg as 0 instead."""
     rows = with_gaps(cells)
     line = F.coalesce(temporal.straight_line(), F.col("prev_value"), F.col("next_value"))
     rows = rows.withColumn("_t", line).drop(*[c for c in temporal.HELPERS if c != "gap_length"])
-    both = _rename(spatial.kriging(_donor_view(rows, donors)), "_s")
+    both = _rename(_kriged(rows, donors, single), "_s")
     t, s = F.col("_t"), F.col("_s")
     if zero_fill:
         t, s = F.coalesce(t, F.lit(0.0)), F.coalesce(s, F.lit(0.0))
     w = ensemble_weight()
     blend = F.coalesce(w * t + (F.lit(1.0) - w) * s, t, s)
-    return both.withColumn("filled", F.coalesce("value", blend)).drop(
-        "_t", "_s", "gap_length", "donor", "distance_km", "donor_value"
-    )
+    return both.withColumn("filled", F.coalesce("value", blend)).drop("_t", "_s", "gap_length")
 
 
 def leading_modes(cells: DataFrame, locations: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -104,7 +109,7 @@ def similar_days(cells: DataFrame, donors: DataFrame, variables: Sequence[str])
 
 
 def dispatch(
-    cells: DataFrame, donors: DataFrame, mask_type: str, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+    cells: DataFrame, donors: DataFrame, mask_type: str, matrix: tuple[Sequence[str], Sequence[str]] | None = None, single: bool = False
 ) -> DataFrame:
     """Choose by gap pattern: random linear, block regression, seasonal the mean of
     climatology and regression, cross-variable the leading modes of ``matrix`` (sites,
@@ -114,14 +119,13 @@ def dispatch(
         return temporal.linear(cells)
     if mask_type.startswith("rolling_origin"):
         return temporal.climatology_doy(cells)
-    helper = ("donor", "distance_km", "donor_value")
     if mask_type.startswith("block"):
-        return spatial.regression3(spatial.with_donor_lags(cells, donors, (1, 7))).drop(*helper)
+        return _regressed(cells, donors, single)
     if mask_type == "seasonal":
         clim = _rename(temporal.climatology_doy(cells), "_c")
-        reg = _rename(spatial.regression3(spatial.with_donor_lags(clim, donors, (1, 7))), "_r")
+        reg = _rename(_regressed(clim, donors, single), "_r")
         mean = F.coalesce((F.col("_c") + F.col("_r")) / 2, F.col("_c"), F.col("_r"))
-        return reg.withColumn("filled", F.coalesce("value", mean)).drop("_c", "_r", *helper)
+        return reg.withColumn("filled", F.coalesce("value", mean)).drop("_c", "_r")
     if mask_type == "cross_variable" and matrix is not None:
         return leading_modes(cells, *matrix)
     rows = with_gaps(cells)
@@ -134,12 +138,11 @@ def dispatch(
 
 
 def registry(
-    donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+    donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None, single: bool = False
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Method key -> function of a cell panel. The two methods that see all variables at
     once need ``matrix``, the names of the sites and variables."""
-    helper = ("donor", "distance_km", "donor_value")
-    view = lambda c: _donor_view(c, donors)
+    view = lambda c: with_donor(c, donors)
     wide = {} if matrix is None else {
         "eof_pca": lambda c: leading_modes(c, *matrix),
         "cross_knn": lambda c: similar_days(c, donors, matrix[1]),
@@ -148,21 +151,21 @@ def registry(
         **wide,
         "linear": temporal.linear,
         "climatology": temporal.climatology_doy,
-        "kriging": lambda c: spatial.kriging(view(c)).drop(*helper),
-        "cross_regression": lambda c: spatial.regression3(spatial.with_donor_lags(c, donors, (1, 7))).drop(*helper),
+        "kriging": lambda c: _kriged(c, donors, single),
+        "cross_regression": lambda c: _regressed(c, donors, single),
         "distance_weighted": lambda c: spatial.idw(view(c), [x for x in c.columns if x not in ("location", "variable", "obs_date", "value")]),
         "advection": lambda c: spatial.advection(c, donors),
-        "hybrid_sequential": lambda c: sequential(c, donors),
+        "hybrid_sequential": lambda c: sequential(c, donors, single=single),
         "hybrid_adaptive": temporal.gap_adaptive,
-        "hybrid_ensemble": lambda c: gap_ensemble(c, donors),
+        "hybrid_ensemble": lambda c: gap_ensemble(c, donors, single=single),
     }
 
 
 def impute(
-    cells: DataFrame, method: str, donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None
+    cells: DataFrame, method: str, donors: DataFrame, matrix: tuple[Sequence[str], Sequence[str]] | None = None, single: bool = False
 ) -> DataFrame:
     """Run a registered method, then previous/next fill, then the exact median."""
-    first = registry(donors, matrix)[method](cells)
+    first = registry(donors, matrix, single)[method](cells)
     rest = temporal.ffill_bfill(_rename(first, "_m"), value="_m").drop("_m")
     last = temporal.median_fill(_rename(rest, "_f"), value="_f")
     return last.drop("_f")

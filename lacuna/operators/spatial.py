@@ -152,14 +152,17 @@ def best_lag(
 
 
 def advection(cells: DataFrame, donors: DataFrame, fit: str = "value", max_lag: int = 7) -> DataFrame:
-    """Fill with the donor's value at its best lag."""
-    lags = best_lag(cells, donors, fit, max_lag).select("location", "donor", "variable", "lag")
+    """Fill with the donor's value at its best lag: one row per cell.
+
+    Of several donors with a value for the day the one whose best lag correlates most counts, of
+    equals (to 12 digits) the first by name.
+    """
+    lags = best_lag(cells, donors, fit, max_lag).select("location", "donor", "variable", "lag", F.round("r", 12).alias("_r"))
     source = cells.select(F.col("location").alias("donor"), "variable", "obs_date", F.col("value").alias("_d")).filter(
         F.col("_d").isNotNull()
     )
-    shifted = source.join(lags, ["donor", "variable"]).select(
-        "location", "variable", F.date_add("obs_date", F.col("lag")).alias("obs_date"), "_d"
-    )
+    moved = source.join(lags, ["donor", "variable"]).withColumn("obs_date", F.date_add("obs_date", F.col("lag")))
+    shifted = moved.groupBy("location", "variable", "obs_date").agg(F.min_by("_d", F.struct(-F.col("_r"), "donor")).alias("_d"))
     return cells.join(shifted, ["location", "variable", "obs_date"], "left").withColumn(
         "filled", F.coalesce("value", "_d")
     ).drop("_d")

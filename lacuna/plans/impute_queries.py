@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
-from lacuna.operators import features, hybrid, masking, spatial, spline, temporal
+from lacuna.operators import features, hybrid, joint, masking, spatial, spline, temporal
 from lacuna.operators.panel import to_cells, to_wide, with_donor
 from lacuna.plans.common import (
     DAYS, GAP, LINE, LINE_DAY, R, VARS, cells, cells_sql, donors_sql, neighbours_sql, order_days, pairs_sql, panel_sql, r,
@@ -331,10 +331,11 @@ def impute_xloc_regression(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LAGS = [
-    *cells_sql("region"), donors_sql("region"), "ks AS (SELECT unnest(generate_series(0, 7))::INTEGER AS lag)",
-    """per_lag AS (SELECT t.location, x.donor, t.variable, k.lag, covar_pop(t.value, d.value) / nullif(sqrt(var_pop(t.value) * var_pop(d.value)), 0) AS r FROM cells t JOIN donors x ON x.target = t.location CROSS JOIN ks k
-  JOIN cells d ON d.location = x.donor AND d.variable = t.variable AND d.obs_date = t.obs_date - k.lag
-  WHERE t.value IS NOT NULL AND d.value IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) > 20)""",
+    *cells_sql("region"), donors_sql("region"),
+    "tries AS (SELECT target, donor, lag FROM donors, (SELECT unnest(generate_series(0, 7))::INTEGER AS lag))",
+    """per_lag AS (SELECT x.target AS location, x.donor, t.variable, x.lag, covar_pop(t.value, d.value) / nullif(sqrt(var_pop(t.value) * var_pop(d.value)), 0) AS r
+  FROM (SELECT * FROM cells WHERE value IS NOT NULL) t JOIN tries x ON x.target = t.location
+  JOIN (SELECT * FROM cells WHERE value IS NOT NULL) d ON d.location = x.donor AND d.variable = t.variable AND d.obs_date = t.obs_date - x.lag GROUP BY 1, 2, 3, 4 HAVING count(*) > 20)""",
     "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location, donor, variable ORDER BY round(r, 12) DESC, lag) AS rk FROM per_lag WHERE r > -1) WHERE rk = 1)",
 ]
 
@@ -344,8 +345,11 @@ def best_lag_corr(spark: SparkSession, sf: str) -> DataFrame:
     return rr(spatial.best_lag(cells(spark, sf, "region"), T.donors(spark, sf, "region")), "r")
 
 
-@query(with_(*LAGS) + f"""SELECT c.location, c.variable, c.obs_date, {R('d.value')} AS filled FROM cells c LEFT JOIN best b ON b.location = c.location AND b.variable = c.variable
-  LEFT JOIN cells d ON d.location = b.donor AND d.variable = c.variable AND d.obs_date = c.obs_date - b.lag WHERE c.value IS NULL""")
+MOVED = "moved AS (SELECT b.location, b.variable, d.obs_date + b.lag AS obs_date, arg_min(d.value, (-round(b.r, 12), b.donor)) AS v FROM best b JOIN cells d ON d.location = b.donor AND d.variable = b.variable WHERE d.value IS NOT NULL GROUP BY 1, 2, 3)"
+ADVECTED = f"SELECT c.location, c.variable, c.obs_date, {R('m.v')} AS filled FROM cells c LEFT JOIN moved m ON m.location = c.location AND m.variable = c.variable AND m.obs_date = c.obs_date WHERE c.value IS NULL"
+
+
+@query(with_(*LAGS, MOVED) + ADVECTED)
 def impute_advection(spark: SparkSession, sf: str) -> DataFrame:
     return holes(spatial.advection(cells(spark, sf, "region"), T.donors(spark, sf, "region")))
 
@@ -403,6 +407,112 @@ def gradient_regression_impute(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter(F.col("total").isNull()).select("location", "obs_date", r("filled", 2).alias("filled"))
 
 
+# --- any number of donors -------------------------------------------------------
+
+def joint_sql(lags: int, min_rows: int, scaled: bool = False, donors: int = 3, source: str = "cells") -> list[str]:
+    """``est``: the estimate from all donors of every cell where each of them has every value.
+
+    Predictors are rows (cell, i, x), the target has the last i; the equations are solved by
+    elimination, one step a table.
+    """
+    k, cell = donors * lags, "location, variable, obs_date"
+    slots = ("value", "l1", "l7")[:lags]
+    each = "\n  UNION ALL ".join(f"SELECT c.location, c.variable, c.obs_date, x.rank * {lags} + {n} AS i, d.{slot} AS x FROM {source} c JOIN rk x ON x.target = c.location JOIN lagged d ON d.location = x.donor AND d.variable = c.variable AND d.obs_date = c.obs_date" for n, slot in enumerate(slots))
+    steps = []
+    for p in range(k):
+        steps.append(f"""g{p + 1} AS (SELECT a.location, a.variable, a.i, a.j, CASE WHEN a.i = {p} THEN a.v / pp.v ELSE a.v - ip.v / pp.v * pj.v END AS v FROM g{p} a
+  JOIN g{p} pp ON pp.location = a.location AND pp.variable = a.variable AND pp.i = {p} AND pp.j = {p}
+  JOIN g{p} ip ON ip.location = a.location AND ip.variable = a.variable AND ip.i = a.i AND ip.j = {p}
+  JOIN g{p} pj ON pj.location = a.location AND pj.variable = a.variable AND pj.i = {p} AND pj.j = a.j)""")
+    return [
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance_km, donor) - 1 AS rank FROM donors)",
+        "lagged AS (SELECT location, variable, obs_date, value, lag(value, 1) OVER w AS l1, lag(value, 7) OVER w AS l7 FROM cells WINDOW w AS (PARTITION BY location, variable ORDER BY obs_date))",
+        f"pl AS ({each})",
+        f"full_ AS (SELECT {cell} FROM pl GROUP BY {cell} HAVING count(x) = {k})",
+        f"px AS (SELECT pl.* FROM pl JOIN full_ USING ({cell}))",
+        f"z AS (SELECT px.* FROM px JOIN {source} c USING ({cell}) WHERE c.value IS NOT NULL UNION ALL SELECT {cell}, {k}, c.value FROM {source} c JOIN full_ USING ({cell}) WHERE c.value IS NOT NULL)",
+        f"""mom2 AS (SELECT a.location, a.variable, a.i, b.i AS j, count(*) AS n, avg(a.x) AS m, covar_pop(a.x, b.x) AS c FROM z a JOIN z b USING ({cell}) GROUP BY ALL HAVING count(*) >= {min_rows})""",
+        f"g0 AS (SELECT location, variable, i, j, c AS v FROM mom2 WHERE i < {k})", *steps,
+        f"""model AS (SELECT g.location, g.variable, g.i, g.v{' * m.n / (m.n - 1)' if scaled else ''} AS b, m.m, y.m AS my FROM g{k} g JOIN mom2 m ON m.location = g.location AND m.variable = g.variable AND m.i = g.i AND m.j = g.i
+  JOIN mom2 y ON y.location = g.location AND y.variable = g.variable AND y.i = {k} AND y.j = {k} WHERE g.j = {k})""",
+        f"est AS (SELECT px.location, px.variable, px.obs_date, any_value(my) + sum(b * (x - m)) AS e FROM px JOIN model USING (location, variable, i) GROUP BY px.location, px.variable, px.obs_date)",
+    ]
+
+
+THREE = [*cells_sql("region"), donors_sql("region", 3)]
+
+
+def joint_fill(expression: str, *ctes: str, digits: int = 3) -> str:
+    return with_(*THREE, *ctes) + f"SELECT c.location, c.variable, c.obs_date, {R(expression, digits)} AS filled FROM cells c LEFT JOIN est USING (location, variable, obs_date) WHERE c.value IS NULL"
+
+
+def _three(spark: SparkSession, sf: str) -> DataFrame:
+    return T.donors(spark, sf, "region", 3)
+
+
+@query(joint_fill("e", *joint_sql(1, 20, scaled=True)))
+def impute_kriging_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(joint.kriging(cells(spark, sf, "region"), _three(spark, sf)), 3)
+
+
+@query(joint_fill("e", *joint_sql(1, 10)))
+def impute_xloc_regr1_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(joint.regression(cells(spark, sf, "region"), _three(spark, sf), lags=(0,)), 3)
+
+
+@query(joint_fill("e", *joint_sql(3, 10)))
+def impute_xloc_regression_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(joint.regression(cells(spark, sf, "region"), _three(spark, sf)), 3)
+
+
+@query(with_(*THREE, *LAGS[len(THREE):], MOVED) + ADVECTED)
+def impute_advection_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(spatial.advection(cells(spark, sf, "region"), _three(spark, sf)))
+
+
+@query(with_(*THREE, *neighbours_sql(), *joint_sql(3, 10)) + f"""SELECT nb.location, nb.variable, nb.obs_date, {R(f'coalesce({LINE}, e)', 3)} AS filled
+FROM nb LEFT JOIN est USING (location, variable, obs_date) WHERE value IS NULL""")
+def impute_hybrid_sequential_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(hybrid.sequential(cells(spark, sf, "region"), _three(spark, sf)), 3)
+
+
+def blended_sql(t: str, s: str) -> str:
+    w = f"CASE WHEN {GAP} < 3 THEN 0.8::DOUBLE WHEN {GAP} > 14 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
+    return f"coalesce(({w}) * {t} + (1 - ({w})) * {s}, {t}, {s})"
+
+
+@query(with_(*THREE, *neighbours_sql(), *joint_sql(1, 20, scaled=True)) + f"""SELECT nb.location, nb.variable, nb.obs_date, {R(blended_sql(EDGES, 'e'), 3)} AS filled
+FROM nb LEFT JOIN est USING (location, variable, obs_date) WHERE value IS NULL""")
+def impute_hybrid_ensemble_donors(spark: SparkSession, sf: str) -> DataFrame:
+    return holes(hybrid.gap_ensemble(cells(spark, sf, "region"), _three(spark, sf)), 3)
+
+
+@query(with_(*THREE, *neighbours_sql(), *joint_sql(1, 20, scaled=True)) + f"""SELECT nb.location, nb.variable, nb.obs_date, {R(blended_sql(f'coalesce({EDGES}, 0)', 'coalesce(e, 0)'), 3)} AS filled
+FROM nb LEFT JOIN est USING (location, variable, obs_date) WHERE value IS NULL""")
+def impute_hybrid_zero_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """The ensemble that reads a missing leg as 0."""
+    return holes(hybrid.gap_ensemble(cells(spark, sf, "region"), _three(spark, sf), zero_fill=True), 3)
+
+
+@query(joint_fill("e", *joint_sql(3, 10)))
+def impute_hybrid_block(spark: SparkSession, sf: str) -> DataFrame:
+    """The branch for gaps in blocks."""
+    return holes(hybrid.dispatch(cells(spark, sf, "region"), _three(spark, sf), "block_7day"), 3)
+
+
+@query(fill_sql(EDGES, *cells_sql("region"), *neighbours_sql()))
+def impute_hybrid_random(spark: SparkSession, sf: str) -> DataFrame:
+    """The branch for random gaps."""
+    return holes(hybrid.dispatch(cells(spark, sf, "region"), _three(spark, sf), "random_10"))
+
+
+@query(with_(*cells_sql("region")) + f"""SELECT location, variable, obs_date, {R('m')} AS filled FROM (
+  SELECT *, avg(value) OVER (PARTITION BY location, variable, dayofyear(obs_date)) AS m FROM cells) WHERE value IS NULL""")
+def impute_hybrid_rolling_origin(spark: SparkSession, sf: str) -> DataFrame:
+    """The branch for the time after a cut."""
+    return holes(hybrid.dispatch(cells(spark, sf, "region"), _three(spark, sf), "rolling_origin_180"))
+
+
 # --- hybrid --------------------------------------------------------------------
 
 SEQ_CTES = [
@@ -414,7 +524,7 @@ SEQ_CTES = [
 @query(with_(*SEQ_CTES) + f"""SELECT p.location, p.variable, p.obs_date, {R(f'coalesce({LINE}, {REGR3})', 3)} AS filled
 FROM pairs p JOIN nb ON nb.location = p.location AND nb.variable = p.variable AND nb.obs_date = p.obs_date LEFT JOIN coef k ON {ON_PAIR} WHERE p.value IS NULL""")
 def impute_hybrid_sequential(spark: SparkSession, sf: str) -> DataFrame:
-    return holes(hybrid.sequential(cells(spark, sf, "region"), T.donors(spark, sf, "region")), 3)
+    return holes(hybrid.sequential(cells(spark, sf, "region"), T.donors(spark, sf, "region"), single=True), 3)
 
 
 W = f"CASE WHEN {GAP} < 3 THEN 0.8::DOUBLE WHEN {GAP} > 14 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
@@ -426,7 +536,7 @@ W = f"CASE WHEN {GAP} < 3 THEN 0.8::DOUBLE WHEN {GAP} > 14 THEN 0.3::DOUBLE ELSE
   JOIN nb ON nb.location = p.location AND nb.variable = p.variable AND nb.obs_date = p.obs_date LEFT JOIN krige k ON {ON_PAIR})""",
 ) + f"SELECT location, variable, obs_date, {R('coalesce(w * t + (1 - w) * s, t, s)')} AS filled FROM legs WHERE value IS NULL")
 def impute_hybrid_ensemble(spark: SparkSession, sf: str) -> DataFrame:
-    return holes(hybrid.gap_ensemble(cells(spark, sf), T.donors(spark, sf, "nation")))
+    return holes(hybrid.gap_ensemble(cells(spark, sf), T.donors(spark, sf, "nation"), single=True))
 
 
 @query(with_(
@@ -444,7 +554,7 @@ def impute_hybrid_dispatch(spark: SparkSession, sf: str) -> DataFrame:
   LEFT JOIN cl ON cl.location = p.location AND cl.variable = p.variable AND cl.doy = dayofyear(p.obs_date) WHERE p.value IS NULL)""",
 ) + f"SELECT location, variable, obs_date, {R('coalesce((c + g) / 2, c, g)', 3)} AS filled FROM e")
 def impute_hybrid_seasonal(spark: SparkSession, sf: str) -> DataFrame:
-    return holes(hybrid.dispatch(cells(spark, sf, "region"), T.donors(spark, sf, "region"), "seasonal"), 3)
+    return holes(hybrid.dispatch(cells(spark, sf, "region"), T.donors(spark, sf, "region"), "seasonal", single=True), 3)
 
 
 @query(with_(
@@ -455,4 +565,4 @@ def impute_hybrid_seasonal(spark: SparkSession, sf: str) -> DataFrame:
 ) + f"SELECT location, variable, obs_date, {R('coalesce(w, m)')} AS filled FROM f2 JOIN md USING (variable) WHERE value IS NULL")
 def impute_registry(spark: SparkSession, sf: str) -> DataFrame:
     """A registered method followed by previous/next fill and the median."""
-    return holes(hybrid.impute(cells(spark, sf), "kriging", T.donors(spark, sf, "nation")))
+    return holes(hybrid.impute(cells(spark, sf), "kriging", T.donors(spark, sf, "nation"), single=True))

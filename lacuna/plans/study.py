@@ -67,7 +67,7 @@ def fills(spark: SparkSession, sf: str, methods=STUDY_METHODS) -> DataFrame:
     """Masked cells of every data set with the estimate of every method."""
     def build() -> DataFrame:
         data = _kept(spark, sf, "masked", lambda: qualified(masked_sets(spark, sf)))
-        table = hybrid.registry(T.donors(spark, sf, "region"))
+        table = hybrid.registry(T.donors(spark, sf, "region"), single=True)
         out = None
         for m in methods:
             one = table[m](data).filter(F.col("is_masked") & F.col("truth").isNotNull()).select(
