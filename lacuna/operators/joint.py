@@ -58,19 +58,19 @@ def with_predictors(cells: DataFrame, donors: DataFrame, lags: Sequence[int] = (
     return out.drop("_sets", "_of")
 
 
-def moments(rows: DataFrame, y: str, x: str) -> DataFrame:
-    """One row per series: n, means of the predictors and of the target (last), covariances as a square matrix of all of them."""
+def moments(rows: DataFrame, y: str, x: str, by: Sequence[str] = SERIES) -> DataFrame:
+    """One row per group: n, means of the predictors and of the target (last), covariances as a square matrix of all of them."""
     z = F.concat(F.col(x), F.array(F.col(y)))
     size = F.size(x) + 1
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(i, size - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("_z", i).alias("a"), F.get("_z", j).alias("b")))))
-    each = rows.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*SERIES, z.alias("_z"), x).select(*SERIES, F.inline(pairs))
-    sums = each.groupBy(*SERIES, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("m"), F.covar_pop("a", "b").alias("c"))
-    whole = sums.groupBy(*SERIES).agg(F.max("n").alias("n"), (F.max("i") + 1).alias("_size"), F.sort_array(F.collect_list(F.struct("i", "j", "m", "c"))).alias("_s"))
+    each = rows.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*by, z.alias("_z"), x).select(*by, F.inline(pairs))
+    sums = each.groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("m"), F.covar_pop("a", "b").alias("c"))
+    whole = sums.groupBy(*by).agg(F.max("n").alias("n"), (F.max("i") + 1).alias("_size"), F.sort_array(F.collect_list(F.struct("i", "j", "m", "c"))).alias("_s"))
     place = lambda i, j: (i * F.col("_size") - (i * (i - 1) / 2).cast("int") + j - i).cast("int")
     every = F.sequence(F.lit(0), F.col("_size") - 1)
     means = F.transform(every, lambda i: F.get("_s", place(i, i))["m"])
     matrix = F.transform(every, lambda i: F.transform(every, lambda j: F.get("_s", place(F.least(i, j), F.greatest(i, j)))["c"]))
-    return whole.select(*SERIES, "n", means.alias("means"), matrix.alias("cov"))
+    return whole.select(*by, "n", means.alias("means"), matrix.alias("cov"))
 
 
 def solve(cov: Column, scale: Column | None = None) -> Column:
@@ -95,10 +95,14 @@ def solve(cov: Column, scale: Column | None = None) -> Column:
     return found if scale is None else F.transform(found, lambda b: b * scale)
 
 
+def _guess(x: Column, means: Column, beta: Column) -> Column:
+    k = F.size(means) - 1
+    parts = F.zip_with(beta, F.zip_with(x, F.slice(means, 1, k), lambda v, m: v - m), lambda b, d: b * d)
+    return F.when(x.isNotNull(), F.element_at(means, -1) + F.aggregate(parts, F.lit(0.0), lambda a, v: a + v))
+
+
 def _fill(rows: DataFrame, model: DataFrame, x: str, drop: Sequence[str]) -> DataFrame:
-    k = F.size("means") - 1
-    parts = F.zip_with("_beta", F.zip_with(x, F.slice("means", 1, k), lambda v, m: v - m), lambda b, d: b * d)
-    guess = F.when(F.col(x).isNotNull(), F.element_at("means", -1) + F.aggregate(parts, F.lit(0.0), lambda a, v: a + v))
+    guess = _guess(F.col(x), F.col("means"), F.col("_beta"))
     joined = rows.join(model.select(*SERIES, "means", "_beta"), list(SERIES), "left")
     return joined.withColumn("filled", F.coalesce(F.col("value"), guess)).drop("means", "_beta", *drop)
 
@@ -128,3 +132,18 @@ def kriging(cells: DataFrame, donors: DataFrame, fit: str = "value", min_pairs:
     model = moments(rows, fit, f"x_{fit}").filter(F.col("n") >= min_pairs)
     beta = solve(F.col("cov"), F.col("n") / (F.col("n") - 1))
     return _fill(rows, model.withColumn("_beta", beta), "x_value", [f"x_{c}" for c in _columns(fit)])
+
+
+def context_regression(df: DataFrame, target: str, features: Sequence[str], min_rows: int = 20) -> DataFrame:
+    """``filled``: ``target``, or its least-squares estimate from ``features`` where all of them exist.
+
+    One model for all rows, fitted where the target and all features exist, if there are
+    ``min_rows`` of them. A feature that does not vary, or follows from those before it, has no weight.
+    The model is one row, which the plan looks up as a scalar.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    whole = F.when(F.forall(x, lambda v: v.isNotNull()), x)
+    fitted = moments(df.select(F.col(target).alias("_y"), whole.alias("_x")), "_y", "_x", ())
+    model = fitted.filter(F.col("n") >= min_rows).select(F.struct("means", solve(F.col("cov")).alias("beta"))).scalar()
+    rows = df.withColumn("_x", whole).withColumn("_model", model)
+    return rows.withColumn("filled", F.coalesce(F.col(target), _guess(F.col("_x"), F.col("_model.means"), F.col("_model.beta")))).drop("_x", "_model")

@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,12 +291,6 @@ def gradient_regression(
     df: DataFrame, target: str, features: Sequence[str], min_rows: int = 20
 ) -> DataFrame:
     """OLS of a variable on spatial context features; fills where all features exist."""
-    train = df.dropna(subset=[target, *features])
-    if train.agg(F.count(F.lit(1))).first()[0] < min_rows:
-        return df.withColumn("filled", F.col(target))
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    model = LinearRegression(featuresCol="_x", labelCol=target, solver="normal").fit(assembler.transform(train))
-    predicted = F.lit(float(model.intercept))
-    for name, b in zip(features, model.coefficients.toArray()):
-        predicted = predicted + F.col(name) * F.lit(float(b))
-    return df.withColumn("filled", F.coalesce(F.col(target), predicted))
+    from lacuna.operators.joint import context_regression
+
+    return context_regression(df, target, features, min_rows)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
-from lacuna.operators import features, hybrid, joint, masking, spatial, spline, temporal
+from lacuna.operators import coast, features, hybrid, joint, masking, spatial, spline, temporal, zonal
 from lacuna.operators.panel import to_cells, to_wide, with_donor
 from lacuna.plans.common import (
     DAYS, GAP, LINE, LINE_DAY, R, VARS, cells, cells_sql, donors_sql, neighbours_sql, order_days, pairs_sql, panel_sql, r,
@@ -399,11 +401,85 @@ def impute_eof_pca(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter(F.col("value").isNull()).select("obs_date", r("truth").alias("truth"), r("filled").alias("filled"))
 
 
-@query()
-def gradient_regression_impute(spark: SparkSession, sf: str) -> DataFrame:
+def elimination_sql(features: Sequence[str], target: str, src: str) -> list[str]:
+    """``beta`` (i, b, m) and ``goal`` (my): least squares over the rows of ``src``, solved one predictor a step."""
+    k = len(features)
+    names = [*features, target]
+    cells_ = "\n  UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_pop({names[i]}, {names[j]}) AS v FROM {src}" for i in range(k) for j in range(k + 1))
+    steps = [
+        f"""e{p + 1} AS (SELECT a.i, a.j, CASE WHEN a.i = {p} THEN a.v / pp.v ELSE a.v - ip.v / pp.v * pj.v END AS v FROM e{p} a
+  JOIN e{p} pp ON pp.i = {p} AND pp.j = {p} JOIN e{p} ip ON ip.i = a.i AND ip.j = {p} JOIN e{p} pj ON pj.i = {p} AND pj.j = a.j)""" for p in range(k)
+    ]
+    line = " + ".join(f"(SELECT v FROM e{k} WHERE i = {i} AND j = {k}) * ({c} - (SELECT avg({c}) FROM {src}))" for i, c in enumerate(features))
+    return [f"e0 AS ({cells_})", *steps, f"guess AS (SELECT *, (SELECT avg({target}) FROM {src}) + {line} AS e FROM rows_)"]
+
+
+CALENDAR = ["balance", "n_orders", "doy", "mon"]
+
+
+@query(with_(
+    *spined_sql("region"), "rows_ AS (SELECT location, obs_date, CASE WHEN day(obs_date) % 4 <> 0 THEN total END AS total, balance, n_orders, dayofyear(obs_date)::DOUBLE AS doy, month(obs_date)::DOUBLE AS mon FROM spined)",
+    "known AS (SELECT * FROM rows_ WHERE total IS NOT NULL AND balance IS NOT NULL AND n_orders IS NOT NULL)", *elimination_sql(CALENDAR, "total", "known"),
+) + f"SELECT location, obs_date, {R('e', 2)} AS filled FROM guess WHERE total IS NULL")
+def calendar_regression_impute(spark: SparkSession, sf: str) -> DataFrame:
     """Total from balance, count and calendar position by least squares on the region panel."""
     df = _holed(spark, sf).withColumn("doy", F.dayofyear("obs_date").cast("double")).withColumn("mon", F.month("obs_date").cast("double"))
-    out = spatial.gradient_regression(df, "total", ["balance", "n_orders", "doy", "mon"])
+    out = spatial.gradient_regression(df, "total", CALENDAR)
+    return out.filter(F.col("total").isNull()).select("location", "obs_date", r("filled", 2).alias("filled"))
+
+
+GRID = """grid AS (SELECT (l_partkey % 100) / 10.0::DOUBLE AS lat, (l_suppkey % 100) / 10.0::DOUBLE AS lon, CAST(l_linenumber AS DOUBLE) AS depth, CAST(l_shipdate AS DATE) AS obs_date,
+  CASE WHEN l_linenumber <> 7 THEN l_quantity END AS u FROM lineitem)"""
+BOXES = """boxes AS (SELECT r_name AS site, r_regionkey * 2.0::DOUBLE AS lon_min, r_regionkey * 2.0::DOUBLE + 1.5 AS lon_max, r_regionkey * 1.5::DOUBLE AS lat_min, r_regionkey * 1.5::DOUBLE + 2.0 AS lat_max FROM region)"""
+SITES = [
+    GRID, BOXES, "mid AS (SELECT site, (lon_min + lon_max) / 2 AS lon, (lat_min + lat_max) / 2 AS lat FROM boxes)",
+    "shore AS (SELECT DISTINCT lon, lat FROM grid WHERE u IS NULL)",
+    f"""km AS (SELECT m.site, min(2 * {coast.EARTH_KM} * asin(sqrt(least(1.0, pow(sin(radians(s.lat - m.lat) / 2), 2) + cos(radians(m.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - m.lon) / 2), 2))))) AS distance_km
+  FROM mid m, shore s GROUP BY 1)""",
+    "deep AS (SELECT lat, lon, max(depth) AS depth FROM grid WHERE u IS NOT NULL GROUP BY 1, 2)",
+    "dp AS (SELECT site, -avg(depth) AS depth_m FROM boxes JOIN deep ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY 1)",
+    "attrs AS (SELECT mid.*, distance_km, depth_m FROM mid LEFT JOIN km USING (site) LEFT JOIN dp USING (site))",
+]
+
+
+def _attributes(spark: SparkSession, sf: str) -> DataFrame:
+    grid = T.grid_cells(spark, sf)
+    return coast.site_attributes(T.sites(spark, sf), grid.filter(F.col("u").isNull()).select("lon", "lat"), grid.filter(F.col("u").isNotNull()))
+
+
+@query(with_(*SITES) + f"SELECT site, {R('lon')} AS lon, {R('lat')} AS lat, {R('distance_km')} AS distance_km, {R('depth_m')} AS depth_m FROM attrs")
+def site_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """Middle, distance to the nearest land point of the grid, and mean depth of every site."""
+    return rr(_attributes(spark, sf), "lon", "lat", "distance_km", "depth_m")
+
+
+def _halves(across: str, along: str) -> str:
+    w = f"(PARTITION BY site, period, {across} ORDER BY {along})"
+    return f"""CASE WHEN lag(1) OVER {w} IS NULL AND lead(1) OVER {w} IS NULL THEN NULL WHEN lag(1) OVER {w} IS NULL THEN lead(v) OVER {w} - v
+    WHEN lead(1) OVER {w} IS NULL THEN v - lag(v) OVER {w} ELSE (lead(v) OVER {w} - lag(v) OVER {w}) / 2 END"""
+
+
+AROUND = [
+    "inside AS (SELECT site, CAST(date_trunc('month', obs_date) AS DATE) AS period, g.lat, g.lon, u FROM grid g JOIN boxes ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max WHERE u IS NOT NULL)",
+    "sq AS (SELECT site, period, floor(lat / 0.5) AS lat, floor(lon / 0.5) AS lon, avg(u) AS v FROM inside GROUP BY ALL)",
+    f"gr AS (SELECT site, period, sqrt(avg(gx) * avg(gx) + avg(gy) * avg(gy)) AS gradient FROM (SELECT site, period, {_halves('lat', 'lon')} AS gx, {_halves('lon', 'lat')} AS gy FROM sq) GROUP BY 1, 2)",
+    "around_ AS (SELECT * FROM gr JOIN (SELECT site, period, var_pop(u) AS variance FROM inside GROUP BY 1, 2) USING (site, period))",
+]
+
+
+@query(with_(
+    *spined_sql("region"), *SITES, *AROUND,
+    """rows_ AS (SELECT s.location, s.obs_date, CASE WHEN day(s.obs_date) % 4 <> 0 THEN s.total END AS total, gradient, variance, distance_km, depth_m FROM spined s
+  LEFT JOIN around_ a ON a.site = s.location AND a.period = CAST(date_trunc('month', s.obs_date) AS DATE) LEFT JOIN attrs t ON t.site = s.location)""",
+    "known AS (SELECT * FROM rows_ WHERE total IS NOT NULL AND gradient IS NOT NULL AND variance IS NOT NULL AND distance_km IS NOT NULL AND depth_m IS NOT NULL)",
+    *elimination_sql(coast.CONTEXT, "total", "known"),
+) + f"SELECT location, obs_date, {R('e', 2)} AS filled FROM guess WHERE total IS NULL")
+def gradient_regression_impute(spark: SparkSession, sf: str) -> DataFrame:
+    """Total of a region from what surrounds its site: gradient and variance of the gridded field, distance to land, depth."""
+    near = coast.spatial_context(T.grid_cells(spark, sf), zonal.site_boxes(T.sites(spark, sf)), "u", F.trunc("obs_date", "month"))
+    facts = _attributes(spark, sf).drop("lon", "lat").withColumnRenamed("site", "location")
+    rows = _holed(spark, sf).withColumn("period", F.trunc("obs_date", "month")).join(near.withColumnRenamed("site", "location"), ["location", "period"], "left")
+    out = spatial.gradient_regression(rows.join(facts, "location", "left"), "total", coast.CONTEXT)
     return out.filter(F.col("total").isNull()).select("location", "obs_date", r("filled", 2).alias("filled"))
 
 
