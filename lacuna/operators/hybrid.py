@@ -7,9 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import joint, spatial, temporal
+from lacuna.operators import joint, modes, spatial, temporal
 from lacuna.operators.gaps import with_gaps
-from lacuna.operators.panel import sites_wide, to_wide, with_donor
+from lacuna.operators.panel import to_wide, with_donor
 
 # Method key -> display name and family.
 METHODS = {
@@ -75,25 +75,11 @@ def gap_ensemble(cells: DataFrame, donors: DataFrame, zero_fill: bool = False, s
 
 
 def leading_modes(cells: DataFrame, locations: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """:func:`spatial.eof_pca` on a cell panel: the named sites and variables become the
-    columns of one wide matrix and come back as cells."""
-    wide = sites_wide(to_wide(cells, variables), variables, locations)
-    filled = spatial.eof_pca(wide, [f"{v}_{loc}" for v in variables for loc in locations])
-    back = filled.select(
-        "obs_date",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(loc).alias("location"), F.lit(v).alias("variable"), F.col(f"`{v}_{loc}`").alias("_e"))
-                    for v in variables
-                    for loc in locations
-                ]
-            )
-        ),
-    )
-    return cells.join(back, ["location", "variable", "obs_date"], "left").withColumn(
-        "filled", F.coalesce("value", "_e")
-    ).drop("_e")
+    """:func:`modes.eof_fill` over the cells of the named sites and variables; other cells keep their values."""
+    named = F.col("location").isin(*locations) & F.col("variable").isin(*variables)
+    keys = ["location", "variable", "obs_date"]
+    filled = modes.eof_fill(cells.filter(named).select(*keys, "value")).select(*keys, F.col("filled").alias("_e"))
+    return cells.join(filled, keys, "left").withColumn("filled", F.coalesce("value", "_e")).drop("_e")
 
 
 def similar_days(cells: DataFrame, donors: DataFrame, variables: Sequence[str]) -> DataFrame:

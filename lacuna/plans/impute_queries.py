@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions.scan import exact_quantiles
-from lacuna.operators import coast, features, hybrid, joint, masking, spatial, spline, temporal, zonal
+from lacuna.operators import coast, features, hybrid, joint, masking, modes, spatial, spline, temporal, zonal
 from lacuna.operators.panel import to_cells, to_wide, with_donor
 from lacuna.plans.common import (
     DAYS, GAP, LINE, LINE_DAY, R, VARS, cells, cells_sql, donors_sql, neighbours_sql, order_days, pairs_sql, panel_sql, r,
@@ -385,20 +385,13 @@ def impute_knn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def impute_eof_pca(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per date, one column per region and variable; a third of the dates of one
-    column are blanked, filled from the leading modes, and shown beside the truth."""
-    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    from lacuna.operators.panel import sites_wide
-    from lacuna.sources.files import stored
-
-    wide = stored(spark, sites_wide(spined(spark, sf, "region"), ["n_orders", "total"], regions), "wide")
-    cols = [c for c in wide.columns if c != "obs_date"]
-    blank = wide.withColumn("total_ASIA", F.when(F.dayofmonth("obs_date") % 3 != 0, F.col("total_ASIA")))
-    filled = spatial.eof_pca(blank, cols)
-    out = blank.select("obs_date", F.col("total_ASIA").alias("value")).join(
-        filled.select("obs_date", F.col("total_ASIA").alias("filled")), "obs_date"
-    ).join(wide.select("obs_date", F.col("total_ASIA").alias("truth")), "obs_date")
-    return out.filter(F.col("value").isNull()).select("obs_date", r("truth").alias("truth"), r("filled").alias("filled"))
+    """All regions and variables; a third of the days of one series are blanked, filled from
+    the leading modes, and shown beside the truth."""
+    truth = cells(spark, sf, "region")
+    hidden = (F.col("location") == "ASIA") & (F.col("variable") == "total") & (F.dayofmonth("obs_date") % 3 == 0)
+    blank = truth.withColumn("truth", F.col("value")).withColumn("value", F.when(~hidden, F.col("value")))
+    out = modes.eof_fill(blank).filter((F.col("location") == "ASIA") & (F.col("variable") == "total") & F.col("value").isNull())
+    return out.select("obs_date", r("truth").alias("truth"), r("filled").alias("filled"))
 
 
 def elimination_sql(features: Sequence[str], target: str, src: str) -> list[str]:
