@@ -5,18 +5,22 @@ taken: a whole part that all of them get, and a fraction that becomes the inclus
 probability of one more take. The fractions move through the null space of the balancing
 constraints (document total and token total of the source): the flight holds a few units,
 moves one more of them than there are constraints along a null vector until a
-probability hits 0 or 1, and replaces the decided unit by the next row. Each task
-therefore needs a handful of numbers and leaves as many units undecided as there are
+probability hits 0 or 1, and replaces the decided unit by the next row. Units of like size
+move against each other, so that a move is far and what stays undecided is a mixture of long and short
+ones. Each task needs a handful of numbers and leaves as many units undecided as there are
 constraints. These few go on to a flight over fewer tasks until one is left, or until the
 undecided units of any one source fit a task: then each source is one task's. There the
-constraints are dropped one by one, which is the landing.
+constraints are dropped one by one, and where a long document leaves the tokens off by more than half a
+percent, units decided last, some of every size, change places. That is the landing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import n_words, spread, stored
 
 EPS = 1e-9
+#: Decided units of each power of two that may still change places, and how often they do.
+HELD, TURNS = 16, 6
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -77,21 +83,29 @@ def null_vector(columns: list[tuple[float, ...]]) -> list[float]:
     raise ArithmeticError("no free column")
 
 
+def _power(size: float) -> int:
+    return int(size).bit_length()
+
+
 class Flight:
     """Flight phase over a stream of units (payload, probability, balancing values).
 
-    ``pool`` undecided units are held. Each move takes the units that are largest in the
-    first balancing value, and the smallest one: a very long document then moves far and
-    is decided while many others can make up for it, and short ones are left to the end.
+    ``pool`` undecided units are held. Each move takes one more of them than there are
+    constraints, those next to each other in the first balancing value whose values are
+    most alike, out of the power of two that holds most units: they decide each other by small moves.
     """
 
     def __init__(self, seed: str, pool: int = 24):
         self.random = random.Random(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "big"))
-        self.pool, self.active = pool, []
+        self.pool, self.active, self.held = pool, [], {}
+        #: Promised less given, of every balancing value; the first promise.
+        self.owed, self.total = None, 0.0
 
     def push(self, payload, p: float, values: tuple[float, ...]) -> list[tuple]:
-        """Units decided by this one: (payload, 0 or 1)."""
+        """Units decided for good by this one: (payload, 0 or 1)."""
         self.active.append([payload, p, values])
+        self.total += p * values[0]
+        self.owed = [o + p * v for o, v in zip(self.owed or [0.0] * len(values), values, strict=True)]
         return self._move(len(values)) if len(self.active) > max(self.pool, len(values)) else []
 
     def settle(self) -> list[tuple]:
@@ -99,11 +113,28 @@ class Flight:
         out: list[tuple] = []
         while self.active and len(self.active) > len(self.active[0][2]):
             out += self._move(len(self.active[0][2]))
+        return out + self._free()
+
+    def _free(self) -> list[tuple]:
+        out = [(payload, s) for own in self.held.values() for payload, s, _ in own]
+        self.held = {}
         return out
 
+    def _decide(self, payload, s: int, values: tuple[float, ...]) -> list[tuple]:
+        """Hold a decided unit; the one held longest of its power of two goes where there are too many."""
+        self.owed = [o - s * v for o, v in zip(self.owed, values, strict=True)]
+        own = self.held.setdefault((_power(values[0]), s), [])
+        own.append((payload, s, values))
+        return [own.pop(0)[:2]] if len(own) > HELD // 2 else []
+
     def _move(self, constraints: int) -> list[tuple]:
         self.active.sort(key=lambda x: x[2])
-        own = self.active[-constraints:] + self.active[:1] if constraints else self.active[:1]
+        held = Counter(_power(x[2][0]) for x in self.active)
+        # Most units of one power of two first; then the most alike, one of those drawn.
+        windows = [(-held[_power(a[2][0])] if _power(a[2][0]) == _power(b[2][0]) else 0, (b[2][0] + 1) / (a[2][0] + 1)) for a, b in zip(self.active, self.active[constraints:], strict=False)]
+        crowd, alike = min(windows)
+        at = self.random.choice([i for i, (c, r) in enumerate(windows) if c == crowd and r <= 1.1 * alike])
+        own = self.active[at : at + constraints + 1]
         u = null_vector([x[2][:constraints] for x in own]) if constraints else [1.0]
         moving = [(x, d) for x, d in zip(own, u, strict=True) if abs(d) > 1e-14]
         up = min((1 - x[1]) / d if d > 0 else -x[1] / d for x, d in moving)
@@ -111,16 +142,50 @@ class Flight:
         step = up if self.random.random() * (up + down) < down else -down
         for x, d in moving:
             x[1] += step * d
-        done = [(x[0], int(x[1] > 0.5)) for x in own if x[1] < EPS or x[1] > 1 - EPS]
+        done = [x for x in own if x[1] < EPS or x[1] > 1 - EPS]
         self.active = [x for x in self.active if EPS <= x[1] <= 1 - EPS]
-        return done
+        return [unit for payload, p, values in done for unit in self._decide(payload, int(p > 0.5), values)]
 
     def land(self) -> list[tuple]:
-        """Decide all: settle, then drop the last constraint, move, and so on."""
-        out = self.settle()
+        """Decide all: move on, drop the last constraint, move, and so on; then changes of places."""
+        out: list[tuple] = []
         while self.active:
             out += self._move(min(len(self.active) - 1, len(self.active[0][2])))
-        return out
+        self._change_places()
+        return out + self._free()
+
+    def _change_places(self) -> None:
+        """While the first value is owed or overdrawn by more than half a percent: exchange a taken unit for one
+        that is not, or turn one, so that it comes near, or as near as it can; of all that do, one is drawn."""
+        units = [u for own in self.held.values() for u in own]
+        if not units:
+            return
+        size, taken = np.array([u[2][0] for u in units]), np.array([u[1] for u in units])
+        near = self.total / 200
+        for _ in range(TURNS):
+            owed = self.owed[0]
+            if abs(owed) <= near:
+                break
+            ins, outs = np.flatnonzero(taken == 0), np.flatnonzero(taken == 1)
+            # An exchange leaves the number of units; a turn is tried where no exchange comes near.
+            miss = np.abs(owed - (size[ins][:, None] - size[outs]))
+            alone = np.abs(owed - (1 - 2 * taken) * size)
+            if miss.size and miss.min() <= max(near, alone.min()):
+                i, j = np.nonzero(miss <= max(near, miss.min()))
+                k = self.random.randrange(len(i))
+                missed, turned = miss[i[k], j[k]], (ins[i[k]], outs[j[k]])
+            else:
+                turned = (self.random.choice(np.flatnonzero(alone <= max(near, alone.min())).tolist()),)
+                missed = alone[turned[0]]
+            if missed >= abs(owed) - EPS:
+                break
+            for k in turned:
+                sign = 1 - 2 * int(taken[k])
+                self.owed = [o - sign * v for o, v in zip(self.owed, units[k][2], strict=True)]
+                taken[k] = 1 - taken[k]
+        self.held = {}
+        for (payload, _, values), s in zip(units, taken.tolist(), strict=True):
+            self.held.setdefault((_power(values[0]), s), []).append((payload, s, values))
 
 
 UNIT = "doc_id long, size long, source string, n long, source_size long, target double, p double, taken int"

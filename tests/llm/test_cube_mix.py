@@ -93,3 +93,23 @@ def test_mixed_repeats_rows(docs, odd, none):
     assert cube_mix.mixed(odd).columns == odd.columns
     assert cube_mix.mixed(odd).count() == cube_mix.mix(odd).agg(F.sum("copies")).first()[0]
     assert cube_mix.mix(none).count() == 0 and cube_mix.mixed(none).count() == 0
+
+
+def test_taken_words_come_near_every_target(spark):
+    """A source may hold a document of a third of its words: units of every size then change places."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = cube_mix.mix(docs).toPandas()
+    for _, own in rows.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= max(0.01 * own.target.iloc[0], own["size"].min())
+
+
+def test_a_long_document_is_made_up_for():
+    sizes = [4000, *range(20, 420, 4)]
+    for run in range(30):
+        flight, done = cube_mix.Flight(str(run)), []
+        for i, n in enumerate(sizes):
+            done += flight.push(i, 0.4, (float(n), 1.0))
+        done += flight.land()
+        assert sorted(i for i, _ in done) == list(range(len(sizes)))
+        assert abs(sum(sizes[i] * s for i, s in done) - 0.4 * sum(sizes)) <= 0.01 * 0.4 * sum(sizes)
+        assert abs(sum(s for _, s in done) - 0.4 * len(sizes)) <= 12
