@@ -1,10 +1,12 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits the vectors along random directions at the median. Splits overlap by a
+Every tree splits the vectors along random directions, where few of them lie near the cut
+and neither side is small: a dense group then falls on one side. Splits overlap by a
 width in the projection, ``spill`` times the chord of the threshold, whatever the ranks: a
-close pair is parted only if its projections lie further apart than that. Where the
-overlap would hold more than a quarter of the vectors, as inside a dense group, the tree
-stops: no split parts such vectors cheaply without parting links. Vectors are compared in
+close pair is parted only if its projections lie further apart than that. Where on several
+directions every cut has more than a quarter of the vectors in its overlap, as inside a dense group, the tree
+stops: no split parts such vectors cheaply without parting links. A tree that cannot split
+all vectors is left out and another one drawn. Vectors are compared in
 double precision within the leaves of every tree, and a leaf of more than ``block``
 vectors is dealt out as pairs of blocks.
 
@@ -28,34 +30,67 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import components, stored
 from lacuna.llm.vectors import matrix, usable
 
-Thresholds = dict[int, tuple[float, float]]
+#: Node -> (bounds of the overlap, number of the direction).
+Thresholds = dict[int, tuple[float, float, int]]
 #: A node whose overlap holds a larger share is a leaf; nodes lie at most this deep.
 OVERLAP, DEPTH = 0.25, 50
+#: Directions tried at a node, and the ranks at which it may be cut.
+TRIES, RANKS = 4, np.linspace(0.1, 0.9, 33)
 
 
-def direction(tree: int, node: int, dim: int) -> np.ndarray:
-    return np.random.default_rng([tree, node & 0xFFFFFFFF, node >> 32, dim]).standard_normal(dim)
+def direction(tree: int, node: int, dim: int, k: int = 0) -> np.ndarray:
+    return np.random.default_rng([tree, node & 0xFFFFFFFF, node >> 32, dim, k]).standard_normal(dim)
+
+
+def cut(p: np.ndarray, width: float) -> tuple[float, float]:
+    """(share of the projections in the overlap, cut): the cut with the least overlap, of like ones the most even."""
+    n = len(p)
+    p = np.sort(p)
+    at = p[(RANKS * (n - 1)).astype(int)]
+    left, right = np.searchsorted(p, at + width / 2, "right"), n - np.searchsorted(p, at - width / 2, "left")
+    shared = (left + right - n) / n
+    whole = np.maximum(left, right) >= n
+    best = int((shared + 0.1 * np.abs(left - right) / n + whole).argmin())
+    return float(shared[best] + whole[best]), float(at[best])
 
 
 def fit(sample: np.ndarray, tree: int, leaf: int, width: float) -> Thresholds:
-    """Bounds of the overlap at every inner node; node 1 is the root, 2k and 2k + 1 its sides."""
+    """Overlaps at every inner node; node 1 is the root, 2k and 2k + 1 its sides."""
     out: Thresholds = {}
     todo = [(1, sample)]
     while todo:
         node, x = todo.pop()
         if len(x) <= leaf or node >> DEPTH:
             continue
-        p = x @ direction(tree, node, x.shape[1])
-        middle = float(np.median(p))
-        lo, hi = middle - width / 2, middle + width / 2
-        left, right = p <= hi, p >= lo
-        if left.sum() + right.sum() > (1 + OVERLAP) * len(x) or max(left.sum(), right.sum()) >= len(x):
+        tried = []
+        for k in range(TRIES):
+            p = x @ direction(tree, node, x.shape[1], k)
+            shared, middle = cut(p, width)
+            tried.append((shared, k, middle, p))
+            if shared <= OVERLAP / 2:
+                break
+        shared, k, middle, p = min(tried, key=lambda t: t[:2])
+        if shared > OVERLAP:
             continue
-        out[node] = (lo, hi)
-        todo += [(2 * node, x[left]), (2 * node + 1, x[right])]
+        lo, hi = middle - width / 2, middle + width / 2
+        out[node] = (lo, hi, k)
+        todo += [(2 * node, x[p <= hi]), (2 * node + 1, x[p >= lo])]
     return out
 
 
+def forest_of(sample: np.ndarray, trees: int, leaf: int, width: float) -> list[Thresholds]:
+    """``trees`` trees that split the sample, out of four times as many tries; one leaf for all where fewer than half can be had.
+
+    A number of a try stays that of its tree: where it cannot split, its place holds None.
+    """
+    if len(sample) <= leaf:
+        return [{}]
+    out: list[Thresholds | None] = []
+    while sum(t is not None for t in out) < trees and len(out) < 4 * trees:
+        out.append(fit(sample, len(out), leaf, width) or None)
+    return out if 2 * sum(t is not None for t in out) >= trees else [{}]
+
+
 def route(x: np.ndarray, tree: int, bounds: Thresholds) -> Iterator[tuple[int, np.ndarray]]:
     """(leaf, row numbers) for every leaf that gets rows."""
     todo = [(1, np.arange(len(x)))]
@@ -66,8 +101,8 @@ def route(x: np.ndarray, tree: int, bounds: Thresholds) -> Iterator[tuple[int, n
         if node not in bounds:
             yield node, rows
             continue
-        p = x[rows] @ direction(tree, node, x.shape[1])
-        lo, hi = bounds[node]
+        lo, hi, k = bounds[node]
+        p = x[rows] @ direction(tree, node, x.shape[1], k)
         todo += [(2 * node, rows[p <= hi]), (2 * node + 1, rows[p >= lo])]
 
 
@@ -121,6 +156,19 @@ def first_met(link: np.ndarray, a: list[np.ndarray], b: list[np.ndarray], leaf:
     return link & (marks[0] @ marks[1].T < 0.5)
 
 
+def compared(a: list[np.ndarray], b: list[np.ndarray], leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the vectors that lie in the one earlier leaf in which most of these pairs have met.
+
+    A dense group stays together in every tree; so only the first of its leaves compares it whole.
+    """
+    (ca, na), (cb, nb) = (np.unique(np.concatenate([v[v < leaf] for v in x]), return_counts=True) for x in (a, b))
+    shared, ia, ib = np.intersect1d(ca, cb, assume_unique=True, return_indices=True)
+    if not len(shared):
+        return np.zeros(len(a), bool), np.zeros(len(b), bool)
+    best = shared[(na[ia] * nb[ib]).argmax()]
+    return tuple(np.fromiter(((v == best).any() for v in x), bool, len(x)) for x in (a, b))
+
+
 def linked(
     vectors: DataFrame, cosine: float = 0.95, trees: int = 8, leaf: int = 1024, spill: float = 1.0, sample: int = 65_536, block: int = 4096,
     vec_id: str = "vec_id", embedding: str = "embedding",
@@ -144,9 +192,7 @@ def linked(
         fitted = own.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()
         x = _unit(matrix(fitted.column(0)))
         small = max(16, min(leaf, leaf * len(x) // rows))
-        forest = [fit(x, t, small, width) for t in range(trees)]
-        if not all(forest):
-            forest = [{}]  # one leaf holds all vectors, and meets every pair
+        forest = forest_of(x, trees, small, width)
         found = _dealt(stored(_leaves(own, forest), "leaves"), block).groupBy("leaf", "one", "two").applyInPandas(_comparer(cosine), MET)
         met = found if met is None else met.union(found)
     if met is None:
@@ -175,7 +221,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _leaves(reps: DataFrame, forest: list[Thresholds]) -> DataFrame:
+def _leaves(reps: DataFrame, forest: list[Thresholds | None]) -> DataFrame:
     """(node, copies, unit, leaves): every vector with its leaves in all trees, in order."""
 
     def sent(batches):
@@ -183,7 +229,7 @@ def _leaves(reps: DataFrame, forest: list[Thresholds]) -> DataFrame:
             x = _unit(matrix(batch.column("embedding")))
             leaves: list[list[int]] = [[] for _ in x]
             for tree, bounds in enumerate(forest):
-                for leaf, rows in route(x, tree, bounds):
+                for leaf, rows in route(x, tree, bounds) if bounds is not None else ():
                     for r in rows.tolist():
                         leaves[r].append((tree << DEPTH + 2) + leaf)
             yield pa.RecordBatch.from_pydict({
@@ -217,9 +263,12 @@ def _comparer(cosine: float, chunk: int = 1024):
         if not len(a) or not len(b):
             return none
         x, y = (np.frombuffer(b"".join(d["unit"]), float).reshape(len(d), -1) for d in (a, b))
-        link = np.empty((len(x), len(y)), bool)
-        for at in range(0, len(x), chunk):
-            np.greater_equal(x[at : at + chunk] @ y.T, cosine, out=link[at : at + chunk])
+        met_a, met_b = compared(a["leaves"].tolist(), b["leaves"].tolist(), leaf)
+        link = np.zeros((len(x), len(y)), bool)
+        for rows, columns in ((np.flatnonzero(~met_a), slice(None)), (np.flatnonzero(met_a), np.flatnonzero(~met_b))):
+            own = y[columns]
+            for at in range(0, len(rows) if len(own) else 0, chunk):
+                link[np.ix_(rows[at : at + chunk], np.arange(len(y))[columns])] = x[rows[at : at + chunk]] @ own.T >= cosine
         if one == two:
             np.fill_diagonal(link, False)
             link |= link.T  # rounding may differ by side

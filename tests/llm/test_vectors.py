@@ -64,6 +64,48 @@ def test_dense_group_among_others(spark):
     assert (got <= want).all() and got.sum() >= 0.999 * want.sum() and want.sum() > 300_000
 
 
+def _grouped(n, share, seed):
+    """Random unit vectors, ``share`` of them around one centre with cosines near 0.96."""
+    rng = np.random.default_rng(seed)
+    g = int(n * share)
+    c = rng.standard_normal(64)
+    x = np.concatenate([c / np.linalg.norm(c) + 0.195 / 8 * rng.standard_normal((g, 64)), rng.standard_normal((n - g, 64))])
+    return x / np.linalg.norm(x, axis=1, keepdims=True), g
+
+
+@pytest.mark.parametrize("share", [0.2, 0.3, 0.34, 0.4, 0.5])
+def test_a_dense_group_does_not_stop_the_trees(share):
+    """A group that holds up to half of all vectors ends in leaves of its own; the others go on being split."""
+    n = 20_000
+    for seed in range(3):
+        x, g = _grouped(n, share, seed)
+        forest = rp_forest.forest_of(x, 8, 1024, float(np.sqrt(0.1)))
+        trees = [(t, b) for t, b in enumerate(forest) if b is not None]
+        assert len(trees) == 8
+        for t, b in trees:
+            sizes = [len(rows) for _, rows in rp_forest.route(x, t, b)]
+            assert max(sizes) <= 1.05 * g + 1024
+            # Pairs compared beside those of the group itself.
+            assert sum(k * k for k in sizes) - max(sizes) ** 2 <= 0.12 * n * n
+
+
+def test_links_where_a_group_holds_two_fifths(spark):
+    x, _ = _grouped(6000, 0.4, 5)
+    x = x.astype(np.float32)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = rp_forest.linked(frame, leaf=256, block=500).toPandas().sort_values("vec_id").n_links.to_numpy()
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() and want.sum() > 1_000_000
+
+
+def test_trees_that_cannot_split_are_replaced():
+    x, _ = _grouped(3000, 1.0, 1)
+    assert rp_forest.forest_of(x, 8, 256, float(np.sqrt(0.1))) == [{}]
+    assert rp_forest.forest_of(x[:100], 8, 256, float(np.sqrt(0.1))) == [{}]
+
+
 def test_forest_on_odd_vectors(spark, vectors):
     rows = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in rp_forest.linked(vectors).collect()]
     assert len(rows) == vectors.count()
