@@ -122,6 +122,9 @@ def display_value(name: str, *prefixes: str) -> Column:
     return F.coalesce(*[F.col(f"{p}{name}") for p in prefixes])
 
 
+# Column prefixes of a displayed variable, the one shown first in front: live reading, raw input, model input, latest history.
+SHOWN_FIRST = ("live_", "raw_", "", "latest_")
+
 # Displayed variable, digits, unit, name in the document.
 DISPLAY = (
     ("CHL", 2, "mg/m3", "Chlorophyll-a"),
@@ -142,9 +145,13 @@ def document(df: DataFrame, run_date: Column, latitude: str = "latitude", longit
     """Nested forecast of each site, ready for a JSON sink partitioned by ``run_date``.
 
     Expects the output of :func:`risk` with ``data_quality`` columns, coordinates, and
-    whichever displayed variables exist; absent ones read N/A.
+    whichever displayed variables exist, each as up to four columns (``SHOWN_FIRST``) of
+    which the first with a value is shown; absent ones read N/A.
     """
-    have = lambda v: F.col(v) if v in df.columns else F.lit(None).cast("double")
+    def have(v: str) -> Column:
+        found = [p for p in SHOWN_FIRST if f"{p}{v}" in df.columns]
+        return display_value(v, *found) if found else F.lit(None).cast("double")
+
     limited, signal = F.col("data_limited"), F.coalesce(F.col("has_signal"), F.lit(False))
     word = F.split_part(F.col("risk_level"), F.lit(" "), F.lit(1))
     days = F.array(
@@ -248,6 +255,14 @@ def daily_timeline(alert_rows: DataFrame) -> DataFrame:
     return alert_rows.groupBy("obs_date").agg(F.sum("is_alert").alias("value"))
 
 
+def alert_range(alert_rows: DataFrame) -> DataFrame:
+    """First and last day of the rows, how many days they cover, and their alerts: one row, nulls and 0 without rows."""
+    return alert_rows.agg(
+        F.min("obs_date").alias("first_day"), F.max("obs_date").alias("last_day"),
+        (F.datediff(F.max("obs_date"), F.min("obs_date")) + 1).alias("days"), F.coalesce(F.sum("is_alert"), F.lit(0)).alias("alerts"),
+    )
+
+
 def quarterly_alerts(monthly: DataFrame, from_months: int = 24) -> DataFrame:
     """Monthly rows as they are, or by quarter once the range exceeds ``from_months``."""
     day = F.to_date(F.concat("label", F.lit("-01")))

@@ -57,6 +57,16 @@ def nearest_date(
     )
 
 
+def by_alias(df: DataFrame, aliases: DataFrame, key: str = "location") -> DataFrame:
+    """``df`` with the name that ``aliases`` (alias, name) gives its ``key`` as ``key``, and the given one as ``alias``.
+
+    A name the table does not know has a null ``key``, so that lookups by it come back empty.
+    """
+    known = aliases.select(F.col("alias").alias("_alias"), F.col("name").alias("_name"))
+    joined = df.withColumnRenamed(key, "alias").join(known, F.col("alias") == F.col("_alias"), "left")
+    return joined.withColumn(key, F.col("_name")).drop("_alias", "_name")
+
+
 def trailing(
     daily: DataFrame, reductions: dict[str, tuple[Column, int]], key: str = "location", ts: str = "obs_date"
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import expr as E
 from lacuna.operators import forecast as FC
 from lacuna.operators import zonal
-from lacuna.plans.common import R, labels_sql, order_days, panel_sql, r, rr, with_
+from lacuna.plans.common import R, labels_sql, order_days, panel_sql, r, rr, spined, spined_sql, with_
 from lacuna.plans.impute_queries import RUN, run_date
 from lacuna.plans.metric_queries import SCORED
 from lacuna.sources import tables as T
@@ -304,3 +304,65 @@ def env_overview(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(*labels_sql()) + "SELECT CAST(least(greatest(year(obs_date), 1997), 2000) - 1996 AS INTEGER) AS split_num, count(*) AS n FROM label_rows GROUP BY 1")
 def split_routing(spark: SparkSession, sf: str) -> DataFrame:
     return T.urgent_labels(spark, sf).groupBy(FC.split_for_year(F.col("obs_date"), 2000, 1997).alias("split_num")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(*labels_sql()) + """SELECT min(obs_date) AS first_day, max(obs_date) AS last_day, CAST(date_diff('day', min(obs_date), max(obs_date)) + 1 AS INTEGER) AS days, CAST(sum(CASE WHEN label >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS alerts FROM label_rows""")
+def alert_range(spark: SparkSession, sf: str) -> DataFrame:
+    return FC.alert_range(FC.alerts(T.urgent_labels(spark, sf)))
+
+
+@query(with_(*ROWS) + f"SELECT location, risk_level, {R('confidence')} AS confidence FROM fc WHERE location = 'NATION_7'")
+def location_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """The forecast of one site, asked for by a name written differently."""
+    found = FC.find_location(forecast_rows(spark, sf), "nation 7")
+    return rr(found.select("location", "risk_level", "confidence"), "confidence")
+
+
+SHOWN = [
+    *ROWS, """shown AS (SELECT f.location, coalesce(CASE WHEN f.k % 5 = 0 THEN f.k * 1.5 END, CASE WHEN f.k % 3 = 0 THEN f.so + 100 END, f.so, l.n_orders + 200) AS so, coalesce(f.thetao, l.balance) AS thetao, "CHL" AS chl
+  FROM fc f JOIN lastrow l USING (location))""",
+]
+
+
+@query(with_(*SHOWN) + """SELECT location, coalesce(CAST(round(so, 2)::DOUBLE AS VARCHAR) || ' PSU', 'N/A') AS salinity, round(thetao, 2) AS sst, round(chl, 3) AS chl_a FROM shown""")
+def display_values(spark: SparkSession, sf: str) -> DataFrame:
+    """What a forecast document shows of a variable: live reading, raw input, model input, latest history."""
+    from lacuna.operators.panel import latest_per_location
+
+    last = latest_per_location(T.orders_panel(spark, sf, "nation")).select("location", (F.col("n_orders") + 200).alias("latest_so"), F.col("balance").alias("latest_thetao"))
+    k = F.col("k")
+    rows = forecast_rows(spark, sf).join(last, "location").withColumns({
+        "live_so": F.when(k % 5 == 0, k * F.lit(1.5)), "raw_so": F.when(k % 3 == 0, F.col("so") + 100), "latitude": F.lit(0.0), "longitude": F.lit(0.0),
+    })
+    docs = FC.document(rows, run_date(spark, sf))
+    return docs.select(
+        "location", F.col("environmental_data.`Salinity (PSU)`").alias("salinity"), F.col("contributing_factors.sst").alias("sst"), F.col("contributing_factors.`chl-a`").alias("chl_a"),
+    )
+
+
+def _written(spark: SparkSession, df: DataFrame, fmt: str) -> str:
+    from lacuna.session import fresh_path
+    from lacuna.sources.files import write_results
+
+    path = fresh_path(spark, f"results-{fmt}")
+    write_results(df, path, fmt)
+    return path
+
+
+@query(with_(*MONTHLY) + "SELECT f AS format, label, value FROM monthly, (SELECT unnest(['csv', 'parquet']) AS f)")
+def results_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly results written as CSV with a header and as Parquet, and read back."""
+    monthly = FC.monthly_alerts(FC.alerts(T.urgent_labels(spark, sf)))
+    text = spark.read.option("header", True).schema("label string, value long").csv(_written(spark, monthly, "csv"))
+    table = spark.read.schema("label string, value long").parquet(_written(spark, monthly, "parquet"))
+    return text.select(F.lit("csv").alias("format"), "label", "value").unionByName(table.select(F.lit("parquet").alias("format"), "label", "value"))
+
+
+@query(with_(*spined_sql("region")) + f"SELECT location, obs_date, {R('balance')} AS balance, {R('n_orders')} AS n_orders, {R('total')} AS total FROM spined")
+def panel_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily panel through a CSV file: empty fields and NaN come back as missing."""
+    from lacuna.sources.files import read_panel_csv
+
+    panel = spined(spark, sf, "region")
+    text = panel.withColumn("total", F.coalesce("total", F.lit(float("nan"))))
+    return rr(read_panel_csv(spark, _written(spark, text, "csv"), T.VARIABLES).select("location", "obs_date", *T.VARIABLES), *T.VARIABLES)

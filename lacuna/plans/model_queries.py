@@ -120,6 +120,14 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rr(_matrix(spark, sf).select("location", "obs_date", "day_of_year", *MATRIX), *MATRIX, digits=3)
 
 
+@query(with_(*MATRIX_SQL) + f"SELECT location, {', '.join(f'{R(f'avg({c})', 3)} AS {c}' for c in ['day_of_year', *MATRIX])} FROM fm GROUP BY 1")
+def numeric_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of all numeric columns of the feature matrix but those on the deny list."""
+    rows = _matrix(spark, sf).select("location", "obs_date", "day_of_year", "balance", "month", "is_wet_season", *MATRIX)
+    names = features.numeric_features(rows, ("balance", "month", "is_wet_season"))
+    return rows.groupBy("location").agg(*[r(F.avg(c), 3).alias(c) for c in names])
+
+
 @query(with_(*MATRIX_SQL, YEARS, """tt AS (SELECT s.split_num, f.*, CASE WHEN f.obs_date <= s.cutoff THEN 'train' ELSE 'test' END AS role FROM fm f JOIN ysplits s
     ON f.obs_date <= s.cutoff OR f.obs_date BETWEEN s.test_start AND s.test_end WHERE f.total IS NOT NULL)""")
 + f"SELECT CAST(split_num AS INTEGER) AS split_num, role, count(*) AS n, {R('avg(coalesce(total_lag1, 0))', 3)} AS total_lag1, {R('avg(coalesce(balance_stress, 0))', 3)} AS balance_stress FROM tt GROUP BY 1, 2")

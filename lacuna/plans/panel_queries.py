@@ -206,18 +206,38 @@ def asof_tolerance(spark: SparkSession, sf: str) -> DataFrame:
     return rr(lookup.asof(targets, _readings(spark, sf), ["reading"], 7), "reading")
 
 
-@query(with_(*spined_sql("nation"), READINGS,
-"lo AS (SELECT s.location, s.obs_date, x.obs_date AS d, x.reading AS v FROM spined s ASOF LEFT JOIN reads x ON s.location = x.location AND s.obs_date >= x.obs_date)",
-"hi AS (SELECT s.location, s.obs_date, x.obs_date AS d, x.reading AS v FROM spined s ASOF LEFT JOIN reads x ON s.location = x.location AND s.obs_date <= x.obs_date)",
-"""both_ AS (SELECT location, obs_date, lo.d AS ld, lo.v AS lv, hi.d AS hd, hi.v AS hv,
-  coalesce(date_diff('day', obs_date, hi.d) < date_diff('day', lo.d, obs_date), lo.d IS NULL) AS later FROM lo JOIN hi USING (location, obs_date))""")
-+ f"""SELECT location, obs_date, CASE WHEN later THEN hd ELSE ld END AS source_date,
-  CAST(abs(date_diff('day', obs_date, CASE WHEN later THEN hd ELSE ld END)) AS INTEGER) AS days_apart, {R('CASE WHEN later THEN hv ELSE lv END')} AS reading FROM both_""")
+NEAREST = (
+    with_(*spined_sql("nation"), READINGS,
+    "lo AS (SELECT s.location, s.obs_date, x.obs_date AS d, x.reading AS v FROM spined s ASOF LEFT JOIN reads x ON s.location = x.location AND s.obs_date >= x.obs_date)",
+    "hi AS (SELECT s.location, s.obs_date, x.obs_date AS d, x.reading AS v FROM spined s ASOF LEFT JOIN reads x ON s.location = x.location AND s.obs_date <= x.obs_date)",
+    """both_ AS (SELECT location, obs_date, lo.d AS ld, lo.v AS lv, hi.d AS hd, hi.v AS hv,
+      coalesce(date_diff('day', obs_date, hi.d) < date_diff('day', lo.d, obs_date), lo.d IS NULL) AS later FROM lo JOIN hi USING (location, obs_date))""")
+    + f"""SELECT location, obs_date, CASE WHEN later THEN hd ELSE ld END AS source_date,
+      CAST(abs(date_diff('day', obs_date, CASE WHEN later THEN hd ELSE ld END)) AS INTEGER) AS days_apart, {R('CASE WHEN later THEN hv ELSE lv END')} AS reading FROM both_"""
+)
+
+
+@query(NEAREST)
 def asof_nearest(spark: SparkSession, sf: str) -> DataFrame:
     targets = spined(spark, sf, "nation").select("location", "obs_date")
     return rr(lookup.nearest_date(targets, _readings(spark, sf), ["reading"]), "reading")
 
 
+@query(f"""SELECT lower(n_name) || ' bay' AS alias, x.obs_date, source_date, days_apart, reading FROM nation JOIN ({NEAREST}) x ON x.location = n_name WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT lower(n_name) || ' bay', obs_date, NULL, NULL, NULL FROM nation, ({NEAREST}) y WHERE y.location = n_name AND n_nationkey % 2 = 1""")
+def asof_alias(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest readings of sites known by another name; the names of every second one are not in the table."""
+    nation = T.table(spark, sf, "nation")
+    bay = F.concat(F.lower("n_name"), F.lit(" bay"))
+    names = nation.filter(F.col("n_nationkey") % 2 == 0).select(bay.alias("alias"), F.col("n_name").alias("name"))
+    asked = spined(spark, sf, "nation").select(F.concat(F.lower("location"), F.lit(" bay")).alias("location"), "obs_date")
+    placed = lookup.by_alias(asked, names)
+    found = lookup.nearest_date(placed.select("location", "obs_date"), _readings(spark, sf), ["reading"])
+    out = placed.join(found, ["location", "obs_date"], "left")
+    return rr(out.select("alias", "obs_date", "source_date", "days_apart", "reading"), "reading")
+
+
+
 @query(with_(*spined_sql("nation")) + f"""SELECT location, obs_date, {R("sum(total) OVER (w RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)", 3)} AS sum3,
   {R("avg(n_orders) OVER (w RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)")} AS mean3,
   {R("avg(balance) OVER (w RANGE BETWEEN INTERVAL 15 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)", 3)} AS mean15

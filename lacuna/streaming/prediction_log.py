@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.day_log import add_predictions
 from lacuna.sources.stores import new_predictions
 
 EVENTS_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -73,3 +74,25 @@ def append_log(events: DataFrame, log_path: str, checkpoint: str, key: str = "ev
         .trigger(availableNow=True)
         .start()
     )
+
+
+def log_by_day(events: DataFrame, log_path: str, checkpoint: str, key: str = "event_type"):
+    """As :func:`append_log`, into a :mod:`lacuna.sources.day_log`: one file a day however many batches come.
+
+    A batch that is retried finds its rows in the log and adds nothing.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        add_predictions(batch.select(key, F.col("ts").alias("prediction_timestamp"), "value"), log_path, (key,))
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def close_totals(totals: DataFrame, events: DataFrame, key: str = "event_type") -> DataFrame:
+    """``totals`` of the days that the watermark has closed, and those of the days after, which it leaves open.
+
+    Run when no more events are expected. Only events after the last closed day are read.
+    """
+    last = totals.select(F.max("day")).scalar()
+    day = F.to_date("ts")
+    open_ = events.filter(last.isNull() | (day > last)).groupBy(key, day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return totals.unionByName(open_)
