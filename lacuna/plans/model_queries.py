@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import expr as E
-from lacuna.operators import ensemble, features, masking, metrics, models, splits, temporal
+from lacuna.operators import ensemble, features, masking, metrics, models, search, splits, temporal
 from lacuna.operators.panel import sites_wide
 from lacuna.plans.common import R, VARS, cells, cells_sql, labels_sql, order_days, panel_sql, r, rr, spined, spined_sql, with_
 from lacuna.plans.gap_queries import YEARS, random_sql
 from lacuna.plans.metric_queries import BINARY, SCORED, auc_sql, binary_sql, rounded_sql
+from lacuna.session import fresh_path
 from lacuna.sources import tables as T
 from lacuna.sources.files import stored
 
@@ -284,11 +287,37 @@ def gbt_random_search(spark: SparkSession, sf: str) -> DataFrame:
     return models.search_report(spark, fitted)
 
 
+def _searched(spark: SparkSession, sf: str) -> tuple[DataFrame, search.Ledger]:
+    """Two splits, two draws of the whole space, two folds; boosting is cut to a few rounds (README: figures)."""
+    rows = features.train_test(_matrix(spark, sf), splits.yearly_splits(1999, 2, 1), "total", TREE_FEATURES)
+    rows = stored(spark, rows.withColumn("label", (F.col("balance") >= 4500).cast("int")).filter(F.col("label").isNotNull()), "searched")
+    ledger = search.Ledger(spark, fresh_path(spark, "ledger"))
+    draws = [d | {"n_estimators": 4, "max_depth": 3} for d in search.draw_params(2)]
+    search.search(rows.filter(F.col("role") == "train"), TREE_FEATURES, "label", ledger, (1, 2), draws, folds=2)
+    return rows, ledger
+
+
+@query()
+def gbt_search_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Every split and draw of the search with its folds and mean AUC."""
+    return search.report(_searched(spark, sf)[1])
+
+
+@query()
+def gbt_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """Test scores of every split's best parameters, and whether the final model takes them."""
+    rows, ledger = _searched(spark, sf)
+    scores = stored(spark, metrics.binary_scores(search.scored_splits(rows, TREE_FEATURES, "label", ledger), ("split_num",)), "scores")
+    _, params = search.refit(rows.filter(F.col("split_num") == 2), TREE_FEATURES, "label", ledger, scores)
+    best = search.winners(ledger).select("split_num", "params", F.col("params").eqNullSafe(F.lit(json.dumps(params, sort_keys=True))).alias("taken"))
+    return rr(scores.join(best, "split_num"), *BINARY)
+
+
 @query()
 def gbt_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = _training(spark, sf).filter(F.col("role") == "train")
     model = models.fit_regressor(rows, TREE_FEATURES, "total", rounds=10)
-    return models.importance(spark, model, TREE_FEATURES)
+    return search.top_importance(spark, model, TREE_FEATURES).select("feature", "importance")
 
 
 @query()

@@ -11,7 +11,7 @@ from lacuna.plans import catalogue
 # Queries that write or fit at build time; the others only build a plan.
 EAGER = {
     "geojson_sites", "masked_partitions", "forecast_document", "impute_eof_pca", "gradient_regression_impute", "site_attributes", "ens_stacked",
-    "gbt_regressor", "gbt_random_search", "gbt_importance", "method_split_eval", "stream_prediction_log", "stream_daily_totals",
+    "gbt_regressor", "gbt_random_search", "gbt_search_ledger", "gbt_refit", "gbt_importance", "method_split_eval", "stream_prediction_log", "stream_daily_totals",
     "stream_log_by_day", "stream_daily_totals_closed", "results_files", "panel_csv",
 }
 STUDY = {
