@@ -210,10 +210,17 @@ def knn(
         sq = np.zeros((len(q), len(t)))
         for j in range(qx.shape[1]):
             sq += (qx[:, j, None] - tx[None, :, j]) ** 2
-        dist = np.sqrt(sq) / decay ** np.abs(qd[:, None] - td[None, :])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # Days so far apart that the decay is 0 count as infinitely far, equal ones too.
+            dist = np.nan_to_num(np.sqrt(sq) / decay ** np.abs(qd[:, None] - td[None, :]), nan=np.inf, posinf=np.inf)
+        # Only what is at most as far as the k-th is sorted, with its ties.
         n = min(k, len(t))
-        order = np.lexsort((np.broadcast_to(td, dist.shape), dist), axis=1)[:, :n].ravel()
-        rows = np.repeat(np.arange(len(q)), n)
+        rows, order = np.nonzero(dist <= np.partition(dist, n - 1, axis=1)[:, n - 1 : n])
+        place = np.lexsort((td[order], dist[rows, order], rows))
+        rows, order = rows[place], order[place]
+        first = np.searchsorted(rows, np.arange(len(q)))
+        best = np.arange(len(rows)) - first[rows] < n
+        rows, order = rows[best], order[best]
         return pd.DataFrame(
             {
                 "donor": q["donor"].to_numpy()[rows], "day": qd[rows], "dist": dist[rows, order],

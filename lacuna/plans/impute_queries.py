@@ -322,7 +322,8 @@ _C = [["c00", "c01", "c02"], ["c01", "c11", "c12"], ["c02", "c12", "c22"]]
 _BETA = [
     f"{_det([[f'y{i}' if j == k else _C[i][j] for j in range(3)] for i in range(3)])} / nullif({_det(_C)}, 0) AS b{k}" for k in range(3)
 ]
-COEF = f"coef AS (SELECT location, donor, variable, my, m0, m1, m2, {', '.join(_BETA)} FROM mom)"
+COEF_OF = f"coef AS (SELECT {{keys}}, my, m0, m1, m2, {', '.join(_BETA)} FROM mom)"
+COEF = COEF_OF.format(keys="location, donor, variable")
 REGR3 = "k.my + k.b0 * (p.x0 - k.m0) + k.b1 * (p.x1 - k.m1) + k.b2 * (p.x2 - k.m2)"
 
 

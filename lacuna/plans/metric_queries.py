@@ -52,7 +52,7 @@ def method_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rr(s, *SUMMARY_COLS).select("method", "mask_type", *SUMMARY_COLS)
 
 
-CATEGORY = """CASE WHEN lower(method_name) LIKE '%hybrid%' THEN 'Hybrid' WHEN lower(method_name) LIKE '%kriging%' THEN 'Spatial' ELSE 'Temporal' END"""
+CATEGORY = """CASE WHEN lower(method_name) LIKE '%hybrid%' THEN 'Hybrid' WHEN regexp_matches(lower(method_name), 'kriging|cross-location|distance|advection|eof') THEN 'Spatial' ELSE 'Temporal' END"""
 
 
 @query(with_(*RESULTS) + f"SELECT {CATEGORY} AS category, count(*) AS n, {R('avg(rmse)')} AS rmse, {R('avg(mae)')} AS mae, {R('avg(r2)')} AS r2 FROM results GROUP BY 1")
@@ -62,8 +62,11 @@ def category_rollup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(with_(*RESULTS) + "SELECT CAST(CASE mask_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reports.GAP_DAYS.items()) + " END AS INTEGER) AS gap_days, "
-+ ", ".join(f"{R(f'''avg(CASE WHEN method = '{m}' THEN rmse END)''')} AS {m}" for m in study.STUDY_METHODS) + f", {R('avg(m)')} AS row_mean FROM (SELECT *, avg(rmse) OVER (PARTITION BY mask_type, method) AS m0 FROM results) JOIN (SELECT mask_type AS t, avg(v) AS m FROM (SELECT mask_type, method, avg(rmse) AS v FROM results GROUP BY 1, 2) GROUP BY 1) ON t = mask_type GROUP BY mask_type")
+GAPPED = "gapped AS (SELECT *, CAST(CASE mask_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in reports.GAP_DAYS.items()) + " END AS INTEGER) AS gap_days FROM results)"
+BY_METHOD = [R(f"max(CASE WHEN method = '{m}' THEN m END)") + f" AS {m}" for m in study.STUDY_METHODS]
+
+
+@query(with_(*RESULTS, GAPPED, "means AS (SELECT gap_days, method, avg(rmse) AS m FROM gapped GROUP BY 1, 2)") + f"SELECT gap_days, {', '.join(BY_METHOD)}, {R('avg(m)')} AS row_mean FROM means GROUP BY gap_days")
 def decay_by_gap(spark: SparkSession, sf: str) -> DataFrame:
     rows = study.results(spark, sf).withColumn("gap_days", reports.pattern_days())
     out = reports.pivot_metric(rows, "gap_days", "method", study.STUDY_METHODS, "rmse")
@@ -245,16 +248,13 @@ def pairwise_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rr(out, "value_a", "value_b", "delta")
 
 
-SCENARIO = "CASE WHEN doc_half = 0 THEN 'adaptive' ELSE 'native' END"
-
-
 @query(with_(
     *SCORED, "sc AS (SELECT model, CASE WHEN sample_id % 4 < 2 THEN 'adaptive' ELSE 'native' END AS scenario, label, prob FROM probs)", *binary_sql("model, scenario", "sc"),
     "single AS (SELECT * FROM bin QUALIFY row_number() OVER (PARTITION BY model ORDER BY CASE WHEN scenario = 'native' AND model <> 'gru' THEN 0 ELSE 1 END, auc DESC NULLS LAST, scenario) = 1)",
     """ens AS (SELECT 'soft_vote' AS model, 'all' AS scenario, label, avg(prob) AS prob FROM probs GROUP BY sample_id, label
   UNION ALL SELECT 'best_of', 'all', label, max(prob) FROM probs GROUP BY sample_id, label)""", *binary_sql("model, scenario", "ens", "eb"),
     "top1 AS (SELECT * FROM eb ORDER BY auc DESC NULLS LAST, f1 DESC NULLS LAST, recall DESC NULLS LAST, model LIMIT 1)", "u AS (SELECT * FROM single UNION ALL SELECT * FROM top1)",
-) + f"SELECT model, scenario, n, {rounded_sql(*BINARY)}, CAST(row_number() OVER (ORDER BY auc DESC NULLS LAST, f1 DESC NULLS LAST, recall DESC NULLS LAST, model) AS INTEGER) AS rank FROM u".replace("n, round", "n, round"))
+) + f"SELECT model, scenario, n, {rounded_sql(*BINARY)}, CAST(row_number() OVER (ORDER BY auc DESC NULLS LAST, f1 DESC NULLS LAST, recall DESC NULLS LAST, model) AS INTEGER) AS rank FROM u")
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     s = T.scores(spark, sf)
     half = F.when(F.col("sample_id") % 4 < 2, "adaptive").otherwise("native")

@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from lacuna.operators import hybrid, masking, metrics, spatial, temporal
 from lacuna.operators.panel import with_donor
 from lacuna.plans.common import (
-    GAP, LINE, cells, cells_sql, donors_sql, neighbours_sql, order_days,
+    GAP, LINE, LINE_DAY, cells, cells_sql, donors_sql, neighbours_sql, order_days,
 )
-from lacuna.plans.gap_queries import SEASONAL_RATE, WET, block_sql, random_sql, rolling_sql
+from lacuna.plans.gap_queries import PERIODS, SEASONAL_RATE, WET, block_sql, random_sql, rolling_sql
+from lacuna.plans.impute_queries import COEF_OF, REGR3, parabola_sql
 from lacuna.sources import tables as T
 from lacuna.sources.files import stored
 
-PATTERNS = ("random_10", "block_7day", "seasonal", "rolling_origin")
-STUDY_METHODS = ("linear", "climatology", "kriging", "hybrid_ensemble")
+PATTERNS = tuple(masking.STRATEGIES)
+#: Where variables are hidden together, it is these in these periods.
+OPTIONS = {"cross_variable": {"variables": ("balance", "total"), "periods": PERIODS}}
+#: All methods that fill one variable at a time; similar days and leading modes, which see all at once, have keys of their own.
+STUDY_METHODS = (
+    "linear", "climatology", "kriging", "cross_regression", "distance_weighted", "advection", "hybrid_sequential", "hybrid_adaptive", "hybrid_ensemble",
+)
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -41,7 +47,7 @@ def masked_sets(spark: SparkSession, sf: str, patterns=PATTERNS) -> DataFrame:
     panel = _kept(spark, sf, "cells", lambda: cells(spark, sf, "region"))
     out = None
     for name in patterns:
-        m = masking.Strategy(name).apply(panel, bounds=order_days(spark, sf))
+        m = masking.Strategy(name, OPTIONS.get(name, {})).apply(panel, bounds=order_days(spark, sf))
         if "split_num" not in m.columns:
             m = m.withColumn("split_num", F.lit(1))
         m = m.select(
@@ -91,34 +97,63 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
 # --- SQL -----------------------------------------------------------------------
 
 KEYS = "mask_type, split_num, location, variable"
+_CROSS = " OR ".join(f"obs_date BETWEEN DATE '{lo}' AND DATE '{hi}'" for lo, hi in PERIODS)
+_ROLL180 = [x.replace("bounds", "bounds180").replace("splits", "splits180") for x in rolling_sql(180, name="m_roll180")]
+_PARTS = {
+    "random_10": "m_random", "random_20": "m_random20", "block_7day": "m_block", "block_14day": "m_block14", "seasonal": "m_season", "cross_variable": "m_cross",
+    "rolling_origin": "m_roll", "rolling_origin_180": "m_roll180",
+}
 _SETS = [
     *cells_sql("region"), donors_sql("region"),
-    random_sql("0.1::DOUBLE", name="m_random"), *block_sql(7, 8, name="m_block"),
-    random_sql(SEASONAL_RATE, f"variable, {WET}", name="m_season"), *rolling_sql(name="m_roll"),
-    """sets AS (SELECT 'random_10' AS mask_type, 1 AS split_num, location, variable, obs_date, value AS truth, is_masked FROM m_random
-  UNION ALL SELECT 'block_7day', 1, location, variable, obs_date, value, is_masked FROM m_block
-  UNION ALL SELECT 'seasonal', 1, location, variable, obs_date, value, is_masked FROM m_season
-  UNION ALL SELECT 'rolling_origin', split_num, location, variable, obs_date, value, is_masked FROM m_roll)""",
-    "holed AS (SELECT *, CASE WHEN NOT is_masked THEN truth END AS value FROM sets)",
+    random_sql("0.1::DOUBLE", name="m_random"), random_sql("0.2::DOUBLE", name="m_random20"), *block_sql(7, 8, name="m_block"), *block_sql(14, 4, name="m_block14"),
+    random_sql(SEASONAL_RATE, f"variable, {WET}", name="m_season"),
+    f"m_cross AS (SELECT *, value IS NOT NULL AND variable IN ('balance', 'total') AND ({_CROSS}) AS is_masked FROM cells)", *rolling_sql(name="m_roll"), *_ROLL180,
+    "sets AS (" + "\n  UNION ALL ".join(
+        f"SELECT '{k}' AS mask_type, {'split_num' if k.startswith('rolling') else '1 AS split_num'}, location, variable, obs_date, value AS truth, is_masked FROM {m}" for k, m in _PARTS.items()
+    ) + ")",
+    "holed AS MATERIALIZED (SELECT *, CASE WHEN NOT is_masked THEN truth END AS value FROM sets)",
 ]
 _T = f"coalesce({LINE}, pval, nval)"
 _W = f"CASE WHEN {GAP} < 3 THEN 0.8::DOUBLE WHEN {GAP} > 14 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END"
+_ADAPTIVE = f"CASE WHEN {GAP} < 7 THEN {LINE_DAY} WHEN {GAP} <= 30 THEN coalesce({parabola_sql('day')}, {LINE_DAY}) ELSE md END"
+
+
+def _same(a: str, b: str) -> str:
+    """Same data set and variable, of whatever site."""
+    return " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("mask_type", "split_num", "variable"))
+
+
 FILLS = [
     *_SETS, *neighbours_sql("holed", KEYS),
-    f"""hp AS (SELECT c.*, d.value AS donor_value FROM holed c JOIN donors x ON x.target = c.location
-  LEFT JOIN holed d ON d.location = x.donor AND d.variable = c.variable AND d.obs_date = c.obs_date AND d.mask_type = c.mask_type AND d.split_num = c.split_num)""",
+    f"hl AS (SELECT *, lag(value, 1) OVER w AS l1, lag(value, 7) OVER w AS l7 FROM holed WINDOW w AS (PARTITION BY {KEYS} ORDER BY obs_date))",
+    f"""hp AS MATERIALIZED (SELECT c.*, x.donor, d.value AS donor_value, d.value AS x0, d.l1 AS x1, d.l7 AS x2 FROM holed c JOIN donors x ON x.target = c.location
+  LEFT JOIN hl d ON d.location = x.donor AND d.obs_date = c.obs_date AND {_same('d', 'c')})""",
     f"""hk AS (SELECT {KEYS}, avg(value) AS mt, avg(donor_value) AS md, CASE WHEN var_pop(donor_value) > 0 THEN covar_samp(value, donor_value) / var_pop(donor_value) ELSE 0 END AS w
   FROM hp WHERE value IS NOT NULL AND donor_value IS NOT NULL GROUP BY {KEYS} HAVING count(*) >= 20)""",
+    f"""mom AS (SELECT {KEYS}, avg(value) AS my, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2, covar_pop(x0, value) AS y0, covar_pop(x1, value) AS y1, covar_pop(x2, value) AS y2,
+    covar_pop(x0, x0) AS c00, covar_pop(x0, x1) AS c01, covar_pop(x0, x2) AS c02, covar_pop(x1, x1) AS c11, covar_pop(x1, x2) AS c12, covar_pop(x2, x2) AS c22
+  FROM hp WHERE value IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY {KEYS} HAVING count(*) >= 10)""",
+    COEF_OF.format(keys=KEYS),
     f"hc AS (SELECT {KEYS}, dayofyear(obs_date) AS doy, avg(value) AS m FROM holed GROUP BY {KEYS}, dayofyear(obs_date))",
-    f"""est AS (SELECT nb.mask_type, nb.split_num, nb.location, nb.variable, nb.obs_date, nb.truth, {_T} AS linear, hc.m AS climatology,
-    hk.mt + hk.w * (hp.donor_value - hk.md) AS kriging, {_W} AS wt
-  FROM nb JOIN hp USING ({KEYS}, obs_date) LEFT JOIN hk USING ({KEYS})
-  LEFT JOIN hc ON hc.mask_type = nb.mask_type AND hc.split_num = nb.split_num AND hc.location = nb.location AND hc.variable = nb.variable AND hc.doy = dayofyear(nb.obs_date)
+    f"""lg AS (SELECT t.mask_type, t.split_num, t.location, t.variable, x.donor, lag, covar_pop(t.value, d.value) / nullif(sqrt(var_pop(t.value) * var_pop(d.value)), 0) AS r
+  FROM (SELECT * FROM holed WHERE value IS NOT NULL) t JOIN donors x ON x.target = t.location CROSS JOIN (SELECT unnest(generate_series(0, 7))::INTEGER AS lag)
+  JOIN (SELECT * FROM holed WHERE value IS NOT NULL) d ON d.location = x.donor AND d.obs_date = t.obs_date - lag AND {_same('d', 't')} GROUP BY ALL HAVING count(*) > 20)""",
+    f"bl AS (SELECT * FROM lg WHERE r > -1 QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY round(r, 12) DESC, lag) = 1)",
+    f"""ad AS (SELECT b.mask_type, b.split_num, b.location, b.variable, d.obs_date + b.lag AS obs_date, d.value AS moved FROM bl b JOIN holed d ON d.location = b.donor AND {_same('d', 'b')} WHERE d.value IS NOT NULL)""",
+    f"ga0 AS (SELECT *, avg(value) OVER (PARTITION BY {KEYS}, month(obs_date), day(obs_date)) AS md FROM nb)",
+    f"ga1 AS (SELECT {KEYS}, obs_date, coalesce(value, {_ADAPTIVE}) AS v FROM ga0)",
+    f"""ga AS (SELECT {KEYS}, obs_date, coalesce(v, last_value(v IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY obs_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(v IGNORE NULLS) OVER (PARTITION BY {KEYS} ORDER BY obs_date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS adaptive FROM ga1)""",
+    f"""est AS MATERIALIZED (SELECT nb.mask_type, nb.split_num, nb.location, nb.variable, nb.obs_date, nb.truth, {_T} AS linear, {LINE} AS inside, hc.m AS climatology,
+    hk.mt + hk.w * (p.donor_value - hk.md) AS kriging, {_W} AS wt, {REGR3} AS cross_regression, p.donor_value AS distance_weighted, ad.moved AS advection, ga.adaptive AS hybrid_adaptive
+  FROM nb JOIN hp p USING ({KEYS}, obs_date) LEFT JOIN hk USING ({KEYS}) LEFT JOIN coef k USING ({KEYS}) LEFT JOIN ad USING ({KEYS}, obs_date) JOIN ga USING ({KEYS}, obs_date)
+  LEFT JOIN hc ON hc.location = nb.location AND {_same('hc', 'nb')} AND hc.doy = dayofyear(nb.obs_date)
   WHERE nb.is_masked AND nb.truth IS NOT NULL)""",
-    """fills AS (SELECT mask_type, split_num, location, variable, obs_date, truth, 'linear' AS method, linear AS filled FROM est
-  UNION ALL SELECT mask_type, split_num, location, variable, obs_date, truth, 'climatology', climatology FROM est
-  UNION ALL SELECT mask_type, split_num, location, variable, obs_date, truth, 'kriging', kriging FROM est
-  UNION ALL SELECT mask_type, split_num, location, variable, obs_date, truth, 'hybrid_ensemble', coalesce(wt * linear + (1 - wt) * kriging, linear, kriging) FROM est)""",
+    "fills AS (" + "\n  UNION ALL ".join(f"SELECT mask_type, split_num, location, variable, obs_date, truth, '{m}' AS method, {e} AS filled FROM est" for m, e in {
+        "linear": "linear", "climatology": "climatology", "kriging": "kriging", "cross_regression": "cross_regression", "distance_weighted": "distance_weighted",
+        "advection": "advection", "hybrid_sequential": "coalesce(inside, cross_regression)", "hybrid_adaptive": "hybrid_adaptive",
+        "hybrid_ensemble": "coalesce(wt * linear + (1 - wt) * kriging, linear, kriging)",
+    }.items()) + ")",
 ]
 NAMES = "CASE method " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in hybrid.METHODS.items()) + " END"
 
