@@ -54,9 +54,12 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return files.latest_snapshot(daily).select("location", "run_date", "n_events", r("value", 2).alias("value"))
 
 
-@query("""SELECT r_name AS site, CAST(5 AS INTEGER) AS points, '[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n || '],[' || w || ',' || n || '],[' || w || ',' || s || ']]' AS ring
+RINGS = """SELECT r_name AS site, CAST(5 AS INTEGER) AS points, '[[' || w || ',' || s || '],[' || e || ',' || s || '],[' || e || ',' || n || '],[' || w || ',' || n || '],[' || w || ',' || s || ']]' AS ring
 FROM (SELECT r_name, CAST(r_regionkey * 2.0::DOUBLE AS VARCHAR) AS w, CAST(r_regionkey * 2.0::DOUBLE + 1.5 AS VARCHAR) AS e,
-  CAST(r_regionkey * 1.5::DOUBLE AS VARCHAR) AS s, CAST(r_regionkey * 1.5::DOUBLE + 2.0 AS VARCHAR) AS n FROM region)""")
+  CAST(r_regionkey * 1.5::DOUBLE AS VARCHAR) AS s, CAST(r_regionkey * 1.5::DOUBLE + 2.0 AS VARCHAR) AS n FROM region)"""
+
+
+@query(RINGS)
 def geojson_sites(spark: SparkSession, sf: str) -> DataFrame:
     """Region polygons as one feature collection per region, written, read and parsed."""
     point = F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))
@@ -68,6 +71,17 @@ def geojson_sites(spark: SparkSession, sf: str) -> DataFrame:
     return files.parse_geojson(lines).select("site", F.size("ring").alias("points"), F.to_json("ring").alias("ring"))
 
 
+@query(RINGS)
+def geojson_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The same polygons as one collection in one file, read feature by feature."""
+    point = F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("site").alias("name")).alias("properties"), point.alias("geometry"))
+    doc = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")
+    path = fresh_path(spark, "collection")
+    T.sites(spark, sf).select(doc).write.text(path)
+    return files.read_geojson_features(spark, path).select("site", F.size("ring").alias("points"), F.to_json("ring").alias("ring"))
+
+
 @query(with_(*panel_sql("nation")) + f"""SELECT n_nationkey AS location_id, obs_date AS date, coalesce(n_orders > 1, false) AS redtide_present,
   {R('balance')} AS sst, {R('total')} AS chlorophyll_a_proxy FROM panel JOIN nation ON n_name = location WHERE n_regionkey < 3""")
 def history_load(spark: SparkSession, sf: str) -> DataFrame:

@@ -81,12 +81,35 @@ def parse_geojson(df: DataFrame, text: str = "text") -> DataFrame:
     A point is a ring of one point, so that its box is the point itself; a geometry of
     another kind has no ring.
     """
-    f = F.explode(F.from_json(text, FEATURES).features).alias("f")
+    return _sites(df.select(F.explode(F.from_json(text, FEATURES).features).alias("f")))
+
+
+def _sites(features: DataFrame) -> DataFrame:
     kind, place = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     polygon = F.get(F.from_json(place, "array<array<array<double>>>"), 0)
     ring = F.when(kind == "Polygon", polygon).when(kind == "Point", F.array(F.from_json(place, "array<double>")))
     properties = F.col("f.properties")
-    return df.select(f).select(F.coalesce(properties.getItem("Name"), properties.getItem("name")).alias("site"), ring.alias("ring"))
+    return features.select(F.coalesce(properties.getItem("Name"), properties.getItem("name")).alias("site"), ring.alias("ring"))
+
+
+ONE_FEATURE = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
+
+
+def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_geojson`, for collections of any size: a file is read by as many tasks as it has splits.
+
+    The text is cut at the value ``"Feature"``, with which writers begin a feature
+    (``{"type": "Feature", ...``); quotes inside strings are escaped, so no other text cuts it but a
+    property that is this very word. What follows up to the next one is the rest of a feature, then
+    the beginning of another that the parser leaves unread. A feature whose type
+    does not come first has no properties and no ring.
+    """
+    pieces = spark.read.option("lineSep", '"Feature"').text(path).select(F.ltrim("value").alias("rest"))
+    # The head of a collection, before its first feature, opens an object.
+    rest = pieces.filter(F.col("rest").startswith(",") | F.col("rest").startswith("}"))
+    # Without the comma the rest is the inside of an object.
+    f = F.from_json(F.concat(F.lit("{"), F.regexp_replace("rest", r"^,", "")), ONE_FEATURE).alias("f")
+    return _sites(rest.select(f))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,7 @@ from lacuna.plans import catalogue
 EAGER = {
     "geojson_sites", "masked_partitions", "forecast_document", "impute_eof_pca", "gradient_regression_impute", "site_attributes", "ens_stacked",
     "gbt_regressor", "gbt_random_search", "gbt_search_ledger", "gbt_refit", "gbt_importance", "method_split_eval", "stream_prediction_log", "stream_daily_totals",
-    "stream_log_by_day", "stream_daily_totals_closed", "results_files", "panel_csv",
+    "stream_log_by_day", "stream_daily_totals_closed", "results_files", "panel_csv", "geojson_features",
 }
 STUDY = {
     "impute_metrics", "method_results", "method_summary", "category_rollup", "decay_by_gap", "method_pattern_pivot", "method_rank",

@@ -54,6 +54,33 @@ def test_geojson(spark, tmp_path):
     assert got["s1"][1] == [3.0, 2.0] and len(got["s2"]) == 3
 
 
+def test_large_collections_are_read_in_splits(spark, tmp_path):
+    """One file, indented in several ways, with braces, quotes and the word itself in its texts."""
+    import json
+    import random
+
+    rng = random.Random(1)
+    features = []
+    for i in range(3000):
+        x, y = rng.uniform(-170, 170), rng.uniform(-80, 80)
+        kind, place = rng.choice([("Point", [x, y]), ("Polygon", [[[x, y], [x + 1, y], [x, y + 1], [x, y]]]), ("LineString", [[x, y], [y, x]])])
+        named = {rng.choice(["name", "Name"]): f'{i} {{"type": "Feature"}} }}, {{ \\ é', "other": i}
+        features.append({"type": "Feature", "id": i, "properties": named if i % 50 else {}, "geometry": {"type": kind, "coordinates": place}})
+    parts = [json.dumps(f, indent=rng.choice([None, 1, 4]), ensure_ascii=False) for f in features]
+    text = '{ "type": "FeatureCollection", "name": "Feature x",\n"features": [' + ",\n ".join(parts) + "]}\n"
+    (tmp_path / "sites.geojson").write_text(text)
+    key = lambda r: (str(r.site), str(r.ring))
+    want = sorted(map(key, files.read_geojson(spark, str(tmp_path)).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        rows = files.read_geojson_features(spark, str(tmp_path))
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+        assert sorted(map(key, rows.collect())) == want and len(want) == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_geojson_points_and_other_spellings(spark):
     text = '{"type":"FeatureCollection","features":[{"properties":{"Name":"p","depth":3},"geometry":{"type":"Point","coordinates":[120.5,14.25]}},{"properties":{"name":"line"},"geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]}}]}'
     rows = files.parse_geojson(spark.createDataFrame([(text,)], "text string")).collect()
