@@ -111,11 +111,14 @@ class Linear:
 
     def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Log loss over the rows, its gradient and second derivatives."""
-        z = np.column_stack([self.standard(x), np.ones(len(x))]).astype(np.float32)
-        margin = (z @ self.weights).astype(float)
+        z = np.ones((len(x), len(self.weights)), np.float32)
+        # Single precision and one array: a task's share of memory is a few of these.
+        np.clip((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32), -10, 10, out=z[:, :-1])
+        margin = (z @ self.weights.astype(np.float32)).astype(float)
         p = probability(margin)
         loss = np.logaddexp(0, np.where(y > 0, -margin, margin)).sum()
-        return loss, z.T @ (p - y), ((z * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ z).astype(float)
+        gradient = z.T @ (p - y).astype(np.float32)
+        return loss, gradient.astype(float), (z * (p * (1 - p) + 1e-9)[:, None].astype(np.float32)).T @ z
 
     def at(self, weights: np.ndarray) -> Linear:
         return Linear(self.mean, self.scale, weights)
@@ -206,8 +209,8 @@ def summed(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterable[tuple[str,
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                for name, value in work(batch.slice(at, 2048)):
+            for at in range(0, batch.num_rows, 1024):
+                for name, value in work(batch.slice(at, 1024)):
                     total[name] = total.get(name, 0) + np.asarray(value, float)
         for name, value in total.items():
             parts = [value[at : at + ROW].astype(kind(name)).tobytes() for at in range(0, len(value), ROW)]
@@ -321,7 +324,8 @@ def fit_prepared(views: DataFrame, labels: DataFrame, rounds: int = 3, step: flo
     both kinds every score is the share of good labels (0 without any).
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    own = own.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    # Written first, so that the planner knows its size before it decides whether the features must move.
+    own = stored(own.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality")), "labels")
     aside = F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0)
     rows = stored(views.join(own, "doc_id", "left").select("x", "quality", F.coalesce(aside, F.lit(False)).alias("aside")), "taught")
     kinds = {(r.aside, r.quality): r["count"] for r in rows.groupBy("aside", "quality").count().collect()}
