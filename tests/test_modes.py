@@ -60,9 +60,9 @@ def test_like_numpy(spark, series, block):
 
 
 def test_block_grows_until_the_share_is_held(spark):
-    x, _ = signals(200, 12, 12, 1.0, 3)
+    x, _ = signals(200, 8, 8, 1.0, 3)
     x[50, 2] = np.nan
-    got = matrix(modes.eof_fill(table(spark, x), block=2).collect(), x.shape)
+    got = matrix(modes.eof_fill(table(spark, x), block=4).collect(), x.shape)
     np.testing.assert_allclose(got[50, 2], by_numpy(x)[50, 2], atol=1e-5)
 
 
