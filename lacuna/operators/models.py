@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,22 +56,50 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, weight
     return gbt.fit(assemble(train, features))
 
 
+@dataclass(frozen=True)
+class Searched:
+    """What a search found, by the names that Spark's cross validation gives it."""
+
+    bestModel: Model
+    avgMetrics: list[float]
+    paramMaps: list[dict]
+
+    def getEstimatorParamMaps(self) -> list[dict]:
+        return self.paramMaps
+
+
 def random_search(
     train: DataFrame, features: Sequence[str], label: str, draws: int = 20, folds: int = 3, rounds: int = 100,
     parallelism: int = 4, seed: int = 42,
-):
-    """Random draws from the search space, cross-validated by AUC; candidates train in parallel."""
+) -> Searched:
+    """Random draws from the search space, cross-validated by AUC; candidates train in parallel.
+
+    Spark's ``CrossValidator`` hands one object of local properties to all its threads, where the
+    ids of their queries overwrite each other and a fit may find none. Here every fit has a copy of its own.
+    Folds are dealt as there, once for all fits.
+    """
+    spark = train.sparkSession
     rng = random.Random(seed)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, seed=seed)
     maps = [{getattr(gbt, k): rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(draws)]
-    cv = CrossValidator(
-        estimator=gbt, estimatorParamMaps=maps, numFolds=folds, parallelism=parallelism, seed=seed,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
-    )
-    return cv.fit(assemble(train, features).select("features", label))
+    scorer = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    dealt = assemble(train, features).select("features", label, F.rand(seed).alias("_at")).cache()
+
+    def auc(draw: int, fold: int) -> float:
+        held = (F.col("_at") >= fold / folds) & (F.col("_at") < (fold + 1) / folds)
+        return scorer.evaluate(gbt.fit(dealt.filter(~held), maps[draw]).transform(dealt.filter(held)))
+
+    fits = [inheritable_thread_target(spark)(partial(auc, d, f)) for d in range(draws) for f in range(folds)]
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            scores = list(pool.map(lambda fit: fit(), fits))
+        means = [sum(scores[d * folds : (d + 1) * folds]) / folds for d in range(draws)]
+        return Searched(gbt.fit(dealt, maps[means.index(max(means))]), means, maps)
+    finally:
+        dealt.unpersist()
 
 
-def search_report(spark: SparkSession, fitted) -> DataFrame:
+def search_report(spark: SparkSession, fitted: Searched) -> DataFrame:
     """One row per draw: its parameters, its mean AUC, whether it won."""
     rows = []
     best = max(fitted.avgMetrics)

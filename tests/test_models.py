@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,24 @@ def test_random_search_reports_every_draw(spark, rows):
     assert len(report) == 2 and sum(r["is_best"] for r in report) >= 1 and min(r["mean_auc"] for r in report) > 0.8
 
 
+def test_fits_of_a_search_share_no_local_properties(spark, rows, monkeypatch):
+    """Query ids are local properties: threads that share them overwrite each other's (a fit then failed on a null id)."""
+    seen, fit = [], models.GBTClassifier._fit
+
+    def watched(self, dataset):
+        held = spark.sparkContext._jsc.sc().getLocalProperties()
+        seen.append((spark._jvm.System.identityHashCode(held), threading.get_ident()))
+        return fit(self, dataset)
+
+    monkeypatch.setattr(models.GBTClassifier, "_fit", watched)
+    found = models.random_search(rows, ["a", "b"], "label", draws=4, folds=2, rounds=1)
+    owners = {}
+    for held, thread in seen:
+        owners.setdefault(held, set()).add(thread)
+    assert len(seen) == 9 and all(len(threads) == 1 for threads in owners.values())
+    assert len(found.avgMetrics) == 4 and min(found.avgMetrics) > 0.8
+
+
 def test_methods_are_scored_per_split(rows):
     split = rows.withColumn("split_num", F.lit(1)).withColumn("role", F.when(F.col("id") < 200, "train").otherwise("test"))
     out = models.evaluate_methods([1], {"plain": lambda a, b: (a, b)}, split, ["a", "b"], "label", rounds=2).collect()
