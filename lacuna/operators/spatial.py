@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scan import drop_halo, with_halo
+from lacuna.sources.files import join_stats
 
 PAIR = ("location", "donor", "variable")
 
@@ -132,15 +133,18 @@ def best_lag(
     cells: DataFrame, donors: DataFrame, value: str = "value", max_lag: int = 7, min_pairs: int = 20
 ) -> DataFrame:
     """Per pair and variable the lag in 0..``max_lag`` days with the highest correlation
-    between target and lagged donor; on a tie (to 12 digits) the smaller lag."""
+    between target and lagged donor; on a tie (to 12 digits) the smaller lag.
+
+    The lagged donors are the panel ``max_lag`` + 1 times, whatever the planner thinks of its files, and are sorted and merged.
+    """
     lag = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
     moved = cells.filter(F.col(value).isNotNull()).select(
         F.col("location").alias("donor"), "variable", F.col(value).alias("_d"), "obs_date", lag
     ).withColumn("obs_date", F.date_add("obs_date", F.col("lag")))
     mine = cells.filter(F.col(value).isNotNull()).select("location", "variable", "obs_date", F.col(value).alias("_t"))
-    target = mine.join(donors.select(F.col("target").alias("location"), "donor"), "location")
+    target = join_stats(mine, donors.select(F.col("target").alias("location"), "donor"), ["location"], "inner")
     per_lag = (
-        target.join(moved, ["donor", "variable", "obs_date"])
+        target.join(moved.hint("merge"), ["donor", "variable", "obs_date"])
         .groupBy(*PAIR, "lag")
         .agg(F.count(F.lit(1)).alias("n"), correlation("_t", "_d").alias("r"))
         .filter((F.col("n") > min_pairs) & (F.col("r") > -1))
@@ -154,13 +158,13 @@ def advection(cells: DataFrame, donors: DataFrame, fit: str = "value", max_lag:
     """Fill with the donor's value at its best lag: one row per cell.
 
     Of several donors with a value for the day the one whose best lag correlates most counts, of
-    equals (to 12 digits) the first by name.
+    equals (to 12 digits) the first by name. The lags are few, so they go to the panel.
     """
     lags = best_lag(cells, donors, fit, max_lag).select("location", "donor", "variable", "lag", F.round("r", 12).alias("_r"))
     source = cells.select(F.col("location").alias("donor"), "variable", "obs_date", F.col("value").alias("_d")).filter(
         F.col("_d").isNotNull()
     )
-    moved = source.join(lags, ["donor", "variable"]).withColumn("obs_date", F.date_add("obs_date", F.col("lag")))
+    moved = join_stats(source, lags, ["donor", "variable"], "inner").withColumn("obs_date", F.date_add("obs_date", F.col("lag")))
     shifted = moved.groupBy("location", "variable", "obs_date").agg(F.min_by("_d", F.struct(-F.col("_r"), "donor")).alias("_d"))
     return cells.join(shifted, ["location", "variable", "obs_date"], "left").withColumn(
         "filled", F.coalesce("value", "_d")

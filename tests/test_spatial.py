@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lacuna.operators import hybrid, spatial
 from lacuna.operators.panel import with_donor
+from lacuna.sources.files import stored
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +63,30 @@ def test_tied_lags_keep_the_smaller(series, donors):
     assert spatial.best_lag(series(a=b, b=b), donors).first()["lag"] == 0
 
 
+@pytest.fixture
+def written(spark, series):
+    """A panel read back from files, which are far smaller than its rows in memory."""
+    x = noisy(3, 1501)
+    return stored(spark, series(a=[None if i == 700 else v for i, v in enumerate(x[:1500])], b=x[1:]), "panel")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lagged_donors_of_a_written_panel_are_not_broadcast(written, donors):
+    lags = spatial.best_lag(written, donors)
+    assert "SortMergeJoin [donor#" in plan_of(lags) and [r["lag"] for r in lags.collect()] == [1]
+
+
+def test_advection_sends_the_lags_to_the_panel(written, donors, column):
+    """Before, the panel was the smaller side by its files and went through the driver."""
+    out = spatial.advection(written, donors)
+    text = plan_of(out)
+    assert "BroadcastHashJoin [donor#" in text and "BuildLeft" not in text
+    assert column(out, location="a")[700] == noisy(3, 1501)[700]
+
+
 def test_idw(spark, series, column):
     table = spark.createDataFrame([("a", "b", 10.0), ("a", "c", 30.0)], "target string, donor string, distance_km double")
     pairs = with_donor(series(a=[None, None, None], b=[4, None, None], c=[8, 8, None]), table)
