@@ -82,12 +82,15 @@ def with_donor(cells: DataFrame, donors: DataFrame, columns: Sequence[str] = ("v
 
     Pairs come from the donor table, never from all pairs of sites, so the output is
     at most donors-per-target times the panel. A site without donor keeps its rows.
+
+    Both sides have the panel's size, so they are sorted and merged: the planner takes a
+    panel that was written for as large as its files, which compress well, and would send it whole through the driver.
     """
     other = cells.select(
         F.col("location").alias("donor"), "variable", "obs_date", *[F.col(c).alias(f"donor_{c}") for c in columns]
     )
     mine = cells.join(donors.withColumnRenamed("target", "location"), "location", "left")
-    return mine.join(other, ["donor", "variable", "obs_date"], "left")
+    return mine.join(other.hint("merge"), ["donor", "variable", "obs_date"], "left")
 
 
 def precedence_merge(

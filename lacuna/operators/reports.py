@@ -106,12 +106,12 @@ def master_comparison(meta: DataFrame, sources: Sequence[DataFrame], downstream:
 
 
 def missing_metric_report(master: DataFrame) -> DataFrame:
-    """A message per method and missing family of metrics."""
-    def note(col: str, text: str) -> DataFrame:
-        return master.filter(F.col(col).isNull()).select(
-            "method_name", F.concat(F.lit(text), F.lit(" for method: "), F.col("method_name")).alias("message")
-        )
-    return note("rmse", "Missing imputation metrics").unionByName(note("auc", "Missing downstream metrics"))
+    """A message per method and missing family of metrics, in one pass over the catalogue."""
+    def note(col: str, text: str) -> Column:
+        message = F.concat(F.lit(text), F.lit(" for method: "), F.col("method_name")).alias("message")
+        return F.when(F.col(col).isNull(), F.struct("method_name", message))
+    notes = F.array(note("rmse", "Missing imputation metrics"), note("auc", "Missing downstream metrics"))
+    return master.select(F.inline(F.filter(notes, lambda n: n.isNotNull())))
 
 
 def per_split_note(results: DataFrame, split: int = 3) -> DataFrame:

@@ -74,6 +74,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_written_panel_meets_its_donors_without_a_broadcast(written, donors):
+    pairs = with_donor(written, donors)
+    assert "SortMergeJoin [donor#" in plan_of(pairs) and pairs.count() == 3000
+
+
 def test_lagged_donors_of_a_written_panel_are_not_broadcast(written, donors):
     lags = spatial.best_lag(written, donors)
     assert "SortMergeJoin [donor#" in plan_of(lags) and [r["lag"] for r in lags.collect()] == [1]
