@@ -11,8 +11,8 @@ Three shapes cover every order-dependent operator of the library:
   pre-aggregated, cut at quantiles, and totals of the lower pieces are added on.
 
 The summaries are joined back on the very columns the rows are already partitioned
-by, so the large side is not shuffled again. None of the joins is hinted: Spark
-broadcasts the summary when its measured size allows, and otherwise sorts.
+by, and sorted by, so the large side is not shuffled again. These joins are hinted as
+merges: a broadcast would send every summary through the driver and save nothing.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def positions(df: DataFrame, keys: Sequence[str], ts: str = "obs_date", out: str
     local = F.row_number().over(Window.partitionBy(*part).orderBy(ts))
     return (
         df.withColumn("_rn", local)
-        .join(offsets, part)
+        .join(offsets.hint("merge"), part)
         .withColumn(out, (F.col("_base") + F.col("_rn") - 1).cast("long"))
         .drop("_rn", "_base")
     )
@@ -92,7 +92,7 @@ def nearest(
     return (
         df.withColumn(prev, F.last(payload, ignorenulls=True).over(up))
         .withColumn(nxt, F.last(payload, ignorenulls=True).over(down))
-        .join(carried, part)
+        .join(carried.hint("merge"), part)
         .withColumn(prev, F.coalesce(prev, "_from_left"))
         .withColumn(nxt, F.coalesce(nxt, "_from_right"))
         .drop("_from_left", "_from_right")
@@ -155,7 +155,7 @@ def running_totals(
     out = tagged
     for m in measures:
         out = out.withColumn(f"{m}_upto", F.sum(m).over(local))
-    out = out.join(offsets, part)
+    out = out.join(offsets.hint("merge"), part)
     for m in measures:
         out = out.withColumn(f"{m}_upto", F.col(f"{m}_upto") + F.col(f"_{m}_base"))
     return out.drop("_piece", *[f"_{m}_base" for m in measures])
@@ -183,7 +183,7 @@ def hash_rank(
     local = F.sum(one).over(Window.partitionBy(*part).orderBy(digest).rowsBetween(UNBOUNDED, 0))
     return (
         pieces.withColumn("_rank", local)
-        .join(offsets, part)
+        .join(offsets.hint("merge"), part)
         .withColumn("_rank", F.col("_rank") + F.col("_below"))
         .drop("_piece", "_below")
     )

@@ -75,7 +75,7 @@ def neighbours(
     ends = ends.withColumn("_left", from_left()).withColumn("_right", from_right())
 
     out = rows.drop("_obs", "_lo", "_hi").join(
-        ends.select(*part, "_base", "pos_last", "_left", "_right"), part
+        ends.select(*part, "_base", "pos_last", "_left", "_right").hint("merge"), part
     )
     flat = [(F.col("_rn") + F.col("_base")).alias("pos"), F.col("pos_last")]
     for side, carried, far, inner in (("prev", "_left", "before", inner_lo), ("next", "_right", "after", inner_hi)):

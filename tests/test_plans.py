@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from lacuna.plans import catalogue
+from lacuna.sources import tables as T
 
 # Queries that write or fit at build time; the others only build a plan.
 EAGER = {
@@ -47,6 +48,13 @@ def test_linear_scans_the_orders_once_and_shares_the_chunk_exchange(spark, sf):
     assert "ReusedExchange" in "".join(final)
 
 
+def test_chunk_summaries_are_merged_where_the_rows_lie(spark, sf):
+    df = catalogue.QUERIES["gap_runs"](spark, sf)
+    df.collect()
+    final = plan(spark, df).split("== Initial Plan ==")[0]
+    assert re.search(r"SortMergeJoin[^\n]*_chunk", final) and not re.search(r"BroadcastHashJoin[^\n]*_chunk", final)
+
+
 def test_every_oracle_has_a_query_and_names_agree():
     qs, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) > 120
