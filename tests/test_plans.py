@@ -55,6 +55,11 @@ def test_chunk_summaries_are_merged_where_the_rows_lie(spark, sf):
     assert re.search(r"SortMergeJoin[^\n]*_chunk", final) and not re.search(r"BroadcastHashJoin[^\n]*_chunk", final)
 
 
+def test_customers_are_not_broadcast_to_their_nations(spark, sf):
+    text = plan(spark, T.orders_by_place(spark, sf, "region"))
+    assert re.search(r"BroadcastHashJoin \[c_nationkey#\d+\], \[n_nationkey#\d+\], Inner, BuildRight", text)
+
+
 def test_every_oracle_has_a_query_and_names_agree():
     qs, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) > 120
