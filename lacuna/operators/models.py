@@ -76,14 +76,14 @@ def random_search(
 
     Spark's ``CrossValidator`` hands one object of local properties to all its threads, where the
     ids of their queries overwrite each other and a fit may find none. Here every fit has a copy of its own.
-    Folds are dealt as there, once for all fits.
+    Folds are dealt as there, once for all fits. Rows without a label take no part.
     """
     spark = train.sparkSession
     rng = random.Random(seed)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxIter=rounds, seed=seed)
     maps = [{getattr(gbt, k): rng.choice(v) for k, v in SEARCH_SPACE.items()} for _ in range(draws)]
     scorer = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    dealt = assemble(train, features).select("features", label, F.rand(seed).alias("_at")).cache()
+    dealt = assemble(train.filter(F.col(label).isNotNull()), features).select("features", label, F.rand(seed).alias("_at")).cache()
 
     def auc(draw: int, fold: int) -> float:
         held = (F.col("_at") >= fold / folds) & (F.col("_at") < (fold + 1) / folds)

@@ -64,6 +64,13 @@ def test_fits_of_a_search_share_no_local_properties(spark, rows, monkeypatch):
     assert len(found.avgMetrics) == 4 and min(found.avgMetrics) > 0.8
 
 
+def test_a_row_without_a_label_takes_no_part_in_a_search(rows):
+    """Spark's trees refuse it."""
+    holed = rows.withColumn("label", F.when(F.col("id") % 50 != 0, F.col("label")))
+    found = models.random_search(holed, ["a", "b"], "label", draws=1, folds=2, rounds=1)
+    assert min(found.avgMetrics) > 0.8
+
+
 def test_methods_are_scored_per_split(rows):
     split = rows.withColumn("split_num", F.lit(1)).withColumn("role", F.when(F.col("id") < 200, "train").otherwise("test"))
     out = models.evaluate_methods([1], {"plain": lambda a, b: (a, b)}, split, ["a", "b"], "label", rounds=2).collect()
